@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Config keys that hold topic names.
@@ -45,32 +45,48 @@ def topics_to_string(config: Column, keys: Sequence[str] = TOPIC_LIST_KEYS) -> C
     return F.transform_values(config, flat)
 
 
-def active_variant(config_json: Column, name: str, ignored: str) -> Column:
-    """Settings as a map with the active one of ``name``, ``name_1``, ``name_2`` .. as ``name``.
+def with_active_variant(df: DataFrame, config_json: str, name: str, ignored: str,
+                        out: str = "config") -> DataFrame:
+    """Add the settings as a map with the active one of ``name``, ``name_1``, .. under ``name``.
 
     Variants holding the ``ignored`` key are dropped, the last other one is used, and the search
-    stops at the first missing number.
+    stops at the first missing number. Done in steps so that the JSON is parsed once.
     """
-    settings = F.from_json(strip_comments(config_json), "map<string,string>")
-
-    def key(i: Column) -> Column:
-        return F.when(i == 0, F.lit(name)).otherwise(F.concat(F.lit(f"{name}_"),
-                                                              i.cast("string")))
-
-    numbers = F.sequence(F.lit(0), F.size(settings))
-    gap = F.array_min(F.filter(numbers, lambda i: ~F.map_contains_key(settings, key(i))))
-    seen = F.filter(numbers, lambda i: i < gap)
-
-    def is_ignored(i: Column) -> Column:
-        return F.array_contains(F.json_object_keys(settings[key(i)]), ignored)
-
-    dropped = F.transform(F.filter(seen, is_ignored), key)
-    best = F.array_max(F.filter(seen, lambda i: ~is_ignored(i)))
-    moved = F.coalesce(best, F.lit(0)) > 0
-    rest = F.map_filter(settings, lambda k, v: ~F.array_contains(dropped, k) & ~(
-        moved & k.isin(name)) & ~(moved & (k == key(best))))
-    return F.when(moved, F.map_concat(rest, F.create_map(F.lit(name), settings[key(best)]))
-                  ).otherwise(rest)
+    prefix = f"{name}_"
+    settings, variants, found = F.col("__settings"), F.col("__variants"), F.col("__found")
+
+    def variant(entry: Column) -> Column:
+        number = F.substring(entry["key"], len(prefix) + 1, 9).try_cast("int")
+        number = F.when(entry["key"] == name, 0).when(
+            (number > 0) & (entry["key"] == F.concat(F.lit(prefix), number.cast("string"))), number)
+        is_ignored = F.array_contains(F.json_object_keys(entry["value"]), ignored)
+        return F.struct(number.alias("number"), entry["key"].alias("key"),
+                        F.coalesce(is_ignored, F.lit(False)).alias("ignored"))
+
+    def follow(state: Column, v: Column) -> Column:
+        is_next = v["number"] == state["next"]
+        return F.struct(
+            F.when(is_next, state["next"] + 1).otherwise(state["next"]).alias("next"),
+            F.when(is_next & ~v["ignored"], v["number"]).otherwise(state["best"]).alias("best"))
+
+    start = F.struct(F.lit(0).alias("next"), F.lit(0).alias("best"))
+    steps = (
+        df.withColumn("__settings", F.from_json(strip_comments(F.col(config_json)),
+                                                "map<string,string>"))
+        .withColumn("__variants", F.sort_array(F.filter(
+            F.transform(F.map_entries(settings), variant), lambda v: v["number"].isNotNull())))
+        .withColumn("__found", F.aggregate("__variants", start, follow))
+    )
+    gone = F.transform(F.filter(variants, lambda v: v["ignored"] & (v["number"] < F.col(
+        "__found")["next"])), lambda v: v["key"])
+    active = F.when(found["best"] > 0, F.concat(F.lit(prefix), found["best"].cast("string")))
+    steps = steps.withColumns({"__gone": gone, "__active": active})
+    moved = F.col("__active").isNotNull()
+    rest = F.map_filter(settings, lambda k, v: ~F.array_contains(F.col("__gone"), k) & ~(
+        F.col("__active").isNotNull() & ((k == name) | (k == F.col("__active")))))
+    chosen = F.create_map(F.lit(name), settings[F.col("__active")])
+    return steps.withColumn(out, F.when(moved, F.map_concat(rest, chosen)).otherwise(rest)).drop(
+        "__settings", "__variants", "__found", "__gone", "__active")
 
 
 def choose(a: Column, b: Column, same: Column, other: Column) -> Column:

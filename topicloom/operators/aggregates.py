@@ -13,16 +13,10 @@ UNASSIGNED, FINISHED, FAILED, CANCELED = "UNASSIGNED", "FINISHED", "FAILED", "CA
 STREAMING, LOST, PAUSED = "STREAMING", "LOST", "PAUSED"
 
 
-def words(text: Column) -> Column:
-    """Lower-case words of a text; anything but ASCII letters, digits and _ separates."""
-    return F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != "")
-
-
 def word_count(df: DataFrame, text: str) -> DataFrame:
-    return (
-        df.select(F.explode(words(F.col(text))).alias("word"))
-        .groupBy("word").agg(F.count("*").alias("frequency"))
-    )
+    """Lower-case words and their number; all but ASCII letters, digits and _ separates words."""
+    words = df.select(F.explode(F.split(F.lower(text), r"\W+")).alias("word"))
+    return words.where("word <> ''").groupBy("word").agg(F.count("*").alias("frequency"))
 
 
 def process_history(df: DataFrame, cuid: str, file_name: str, millis: str, status: str,

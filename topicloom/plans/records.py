@@ -132,8 +132,8 @@ def config_variant(t):
     text = F.concat(F.lit('{"config":'), base, F.lit(' /* note */,"config_1":'), first,
                     F.when(F.col("event_type") == "error", ',"config_3":{"k":"three"}')
                     .otherwise(""), F.lit("}"))
-    active = t.events.select("event_id", "event_type",
-                             sc.active_variant(text, "config", "off").alias("m"))
+    events = t.events.select("event_id", "event_type", text.alias("text"))
+    active = sc.with_active_variant(events, "text", "config", "off", out="m")
     return active.select("event_id", F.col("m")["config"].alias("config"),
                          (F.col("event_type") != "view").alias("moved"),
                          F.col("m")["config_3"].alias("beyond"))

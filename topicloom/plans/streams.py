@@ -6,7 +6,7 @@ from topicloom.operators import operations as ops
 from topicloom.operators import transforms as tf
 from topicloom.operators.aggregates import tumble
 from topicloom.operators.joins import lookup
-from topicloom.operators.ordered import over_last_rows
+from topicloom.operators.ordered import hot_keys, over_last_rows
 from topicloom.operators.scripts import run_stream_sql
 from topicloom.plans.operations import with_status
 from topicloom.plans.registry import query
@@ -103,7 +103,8 @@ def stream_interval_join(t):
     buys = events.where("event_type = 'purchase'").select(
         "user_id", F.col("event_id").alias("purchase_id"), F.col("ts").alias("bought"))
     pairs = st.stream_interval_join(clicks, buys, ["user_id"], "clicked", "bought", "2 hours",
-                                    "1 hour", spread=F.col("click_id"))
+                                    "1 hour", spread=F.col("click_id"),
+                                    hot=hot_keys(t.events, ["user_id"])[0])
     out = _sink(t, pairs.select("click_id", "purchase_id", "user_id", "clicked"))
     return as_plain_time(out, "clicked")
 

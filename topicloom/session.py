@@ -32,6 +32,7 @@ def build_session(app: str = "topicloom", cores: int | str = "*", **conf: str) -
     builder = (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", os.environ.get("TOPICLOOM_DRIVER_MEMORY", "8g"))
     )

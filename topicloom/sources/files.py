@@ -113,7 +113,7 @@ def read_libsvm(spark: SparkSession, path: str, features: int | None = None) ->
 def file_progress(spark: SparkSession, path: str) -> DataFrame:
     """Files per stage of a hand-over folder, and whether the hand-over is done.
 
-    Only names are read, never file content.
+    Only names are read, never file content. Empty files hand over nothing and do not count.
     """
     names = spark.read.format("binaryFile").load(path).select("path")
     kind = F.element_at(F.split("path", r"\."), -1)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from topicloom.operators.ordered import last_rows
+from topicloom.operators.ordered import key_hash, last_rows
 from topicloom.session import path_exists, remove_path
 
 JOIN_SALT = 8
@@ -51,18 +51,19 @@ def over_stream_rows(stream: DataFrame, path: str, state: str, checkpoint: str,
 
 def stream_interval_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str,
                          right_ts: str, within: str, delay: str, spread: Column,
-                         salt: int = JOIN_SALT) -> DataFrame:
+                         hot: Sequence[int] = (), salt: int = JOIN_SALT) -> DataFrame:
     """Inner join of two streams: right events of the same key up to ``within`` after the left one.
 
-    State of a hot key is spread over ``salt`` groups: left rows go to one of them by ``spread``,
-    right rows to all. Watermarks let state older than the interval go. Apart from ``by``, column
-    names of the two sides differ.
+    ``hot`` holds the hashes of hot keys, as ``ordered.hot_keys`` measures them on the records a
+    topic already has. Their state is spread over ``salt`` groups: left rows go to one of them by
+    ``spread``, right rows to all. Watermarks let state older than the interval go. Apart from
+    ``by``, column names of the two sides differ.
     """
-    a = (
-        left.withWatermark(left_ts, delay)
-        .withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salt)).cast("int"))
-    )
-    slots = F.array(*[F.lit(i) for i in range(salt)])
+    is_hot = key_hash(list(by)).isin(list(hot)) if hot else F.lit(False)
+    a = left.withWatermark(left_ts, delay).withColumn(
+        "__salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salt)).cast("int")).otherwise(0))
+    slots = F.when(is_hot, F.array(*[F.lit(i) for i in range(salt)])).otherwise(
+        F.array(F.lit(0)))
     b = right.withWatermark(right_ts, delay).withColumn("__slot", F.explode(slots))
     b = b.withColumnsRenamed({k: f"__r_{k}" for k in by})
     same = [F.col(k) == F.col(f"__r_{k}") for k in by]
