@@ -14,6 +14,7 @@ def spark(tmp_path_factory):
 
     shared = tmp_path_factory.mktemp("shared")
     session = build_session("tests", 4, spark__checkpoint__dir=str(shared),
+                            spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),
                             spark__sql__shuffle__partitions="4")
     yield session
     session.stop()

@@ -1,6 +1,7 @@
 """Ordered operators against plain Python, with one key holding a third of the rows and more."""
 
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -169,6 +170,29 @@ def test_status_changes(spark, hot_rows):
     assert {(r["id"], r["old_status"], r["new_status"]) for r in out.collect()} == want
 
 
+@pytest.mark.parametrize("hot_rows", [40, 10**9])
+def test_except_all(spark, hot_rows):
+    rows = skewed(700)
+    df = spark.createDataFrame(rows, SCHEMA)
+    taken = [(7,)] * 100 + [(1,)] * 2 + [(99,)] + [(2,)] * 10_000
+    out = o.except_all(df, spark.createDataFrame(taken, "user long"), ["user"], ["ts", "id"],
+                       hot_rows)
+    want = Counter(r[1] for r in rows) - Counter(k for k, in taken)
+    assert Counter(r["user"] for r in out.collect()) == want
+
+
+def test_sampled_detection_finds_the_hot_key(spark, monkeypatch):
+    df = spark.range(200_000).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("user"),
+        F.col("id").alias("at"))
+    hot, rows = o.hot_keys(df, ["user"], hot_rows=20_000)
+    assert len(hot) == 1 and 0.7 * 66_668 < rows < 1.3 * 66_668
+    monkeypatch.setattr(o, "SAMPLES", 20)
+    out = o.running_sums(df, ["user"], ["at"], {"n": F.lit(1)}, hot_rows=20_000)
+    assert out.where("user = 7").agg(F.max("n"), F.count("*")).first() == (66_668, 66_668)
+    assert out.where("user <> 7").agg(F.max("n")).first()[0] == 1
+
+
 def test_text_cannot_be_cut(spark):
     df = spark.createDataFrame([("a", "b")] * 10, "k string, t string")
     with pytest.raises(TypeError):

@@ -152,6 +152,13 @@ def test_scripts_run(spark):
     assert "json" in written.inputFiles()[0]
 
 
+def test_script_over_catalog_tables(spark):
+    out = run_script(spark, "create table if not exists kept using parquet as select 1 as id; "
+                            "insert into kept select 2; select count(*) as n from kept")
+    assert out.first()["n"] == 2
+    spark.sql("drop table kept")
+
+
 def test_user_functions(spark):
     register_words(spark)
     rows = spark.sql("SELECT word, frequency FROM split_words('Ab, c-ab')").collect()

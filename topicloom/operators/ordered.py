@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 
 HOT_ROWS = 2_000_000
 MAX_HOT = 10_000
-MAX_CHUNKS = 4_096
+MAX_CHUNKS = 16_384
+SAMPLES = 200  # sampled rows per hot key, and per chunk
 
 CHUNK, REAL, SEQ = "__chunk", "__real", "__seq"
 
@@ -50,14 +51,23 @@ def key_hash(keys: list[str]) -> Column:
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> tuple[list[int], int]:
-    """Hashes of the hot keys (never more than ``MAX_HOT``) and the number of rows they hold."""
+    """Hashes of the hot keys and about how many rows they hold.
+
+    Large tables are sampled, so at most ``SAMPLES * MAX_HOT`` rows are counted and the list stays
+    within a small multiple of ``MAX_HOT``. A key missed or listed in error only changes how the
+    work is spread, never a result.
+    """
     total = df.count()
     limit = max(hot_rows, total // MAX_HOT)
     if total <= limit:
         return [], 0
-    counts = df.groupBy(key_hash(keys).alias("h")).agg(F.count("*").alias("n"))
-    found = counts.where(F.col("n") > limit).collect()
-    return [row["h"] for row in found], sum(row["n"] for row in found)
+    share = min(1.0, SAMPLES / limit)
+    seen = df.select(key_hash(keys).alias("h"))
+    seen = seen if share == 1.0 else seen.sample(share, seed=1)
+    counts = seen.groupBy("h").agg(F.count("*").alias("n"))
+    enough = limit if share == 1.0 else SAMPLES * 0.75
+    found = counts.where(F.col("n") > enough).collect()
+    return [row["h"] for row in found], int(sum(row["n"] for row in found) / share)
 
 
 def order_number(df: DataFrame, column: str) -> Column:
@@ -73,10 +83,14 @@ def order_number(df: DataFrame, column: str) -> Column:
     return F.coalesce(value.cast("double"), F.lit(float("-inf")))
 
 
-def quantile_cuts(df: DataFrame, value: Column, pieces: int) -> list[float]:
-    """Approximate quantiles: one bounded sketch per task, ``pieces`` numbers on the driver."""
+def quantile_cuts(df: DataFrame, value: Column, rows: int, pieces: int) -> list[float]:
+    """About evenly spaced quantiles, from a sample whose size depends on ``pieces`` only."""
     shares = [i / pieces for i in range(1, pieces)]
-    return list(df.agg(F.percentile_approx(value, shares, 4 * pieces).alias("q")).first()["q"])
+    values = df.select(value.alias("v"))
+    if rows > SAMPLES * pieces:
+        values = values.sample(SAMPLES * pieces / rows, seed=1)
+    found = values.agg(F.percentile_approx("v", shares, 4 * pieces).alias("q")).first()["q"]
+    return list(found or [])
 
 
 def bucketed(df: DataFrame, value: Column, cuts: list[float], name: str) -> DataFrame:
@@ -97,7 +111,7 @@ def split_hot(df: DataFrame, keys: list[str], order: list[str],
     is_hot = key_hash(keys).isin(hot)
     first = order_number(df, order[0])
     hot_df = df.where(is_hot)
-    cuts = quantile_cuts(hot_df, first, pieces)
+    cuts = quantile_cuts(hot_df, first, rows, pieces)
     # A value met at two cuts fills at least one chunk alone: cut it along the next column too.
     heavy = sorted({c for c in cuts if cuts.count(c) > 1})
     staged = bucketed(df, first, cuts, "__first")
@@ -105,7 +119,7 @@ def split_hot(df: DataFrame, keys: list[str], order: list[str],
     inner = F.lit(0)
     if heavy and len(order) > 1:
         second = order_number(df, order[1])
-        inner_cuts = quantile_cuts(hot_df.where(first.isin(heavy)), second, pieces)
+        inner_cuts = quantile_cuts(hot_df.where(first.isin(heavy)), second, rows, pieces)
         staged = bucketed(staged, second, inner_cuts, "__second")
         width = len(inner_cuts) + 3
         inner = F.when(first.isin(heavy), F.col("__second")).otherwise(F.lit(width - 1))
@@ -210,6 +224,26 @@ def ranks(df: DataFrame, keys: list[str], by: str, hot_rows: int = HOT_ROWS) ->
     return df.join(placed, same).drop(*[f"__k_{c}" for c in [*keys, by]])
 
 
+def except_all(left: DataFrame, right: DataFrame, keys: list[str], order: list[str],
+               hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Left rows less as many rows of each key as the right side has.
+
+    Rows are numbered and kept where they are; the copies of a hot key are never rebuilt from a
+    count in one task.
+    """
+    numbered = running_sums(left, keys, order, {"__place": F.lit(1)}, hot_rows)
+    taken = right.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(
+        F.count("*").alias("__taken"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return (
+        numbered.join(taken, same, "left")
+        .where(F.col("__place") > F.coalesce("__taken", F.lit(0)))
+        .drop("__place", "__taken", *[f"__k_{k}" for k in keys])
+    )
+
+
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str,
               take: dict[str, str], tie: str | None = None,
               hot_rows: int = HOT_ROWS) -> DataFrame:

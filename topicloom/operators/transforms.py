@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Predicate = Column | str
@@ -82,6 +82,11 @@ def not_equal(column: str, value: object) -> Column:
     return ~F.col(column).eqNullSafe(F.lit(value))
 
 
+def keep_equal(df: DataFrame, column: str, value: object) -> DataFrame:
+    """Conditional delete: only rows whose field equals the value stay."""
+    return df.where(F.col(column) == value)
+
+
 def name_matches(column: str, pattern: str) -> Column:
     return F.col(column).rlike(f"(?i){pattern}")
 
@@ -128,8 +133,3 @@ def run_transform(name: str, df: DataFrame, **params: object) -> DataFrame:
     if name not in _PROGRAMS:
         raise KeyError(f"no transform registered as {name!r}")
     return _PROGRAMS[name](df, **params)
-
-
-def temp_view(df: DataFrame, name: str) -> SparkSession:
-    df.createOrReplaceTempView(name)
-    return df.sparkSession

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from topicloom.operators import transforms as tf
 from topicloom.operators.aggregates import category, word_count
+from topicloom.operators.ordered import except_all
 from topicloom.plans.registry import money, query
 from topicloom.sources.topics import register_views
 
@@ -218,16 +219,9 @@ def set_except(t):
 @query("set_except_all", """
 SELECT user_id AS k FROM events EXCEPT ALL SELECT o_custkey FROM orders""")
 def set_except_all(t):
-    # Counting both sides first lets a hot value travel as one row per task.
-    left = t.events.groupBy(F.col("user_id").alias("k")).agg(F.count("*").alias("a"))
-    right = t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("b"))
-    spare = F.col("a") - F.coalesce("b", F.lit(0))
-    return (
-        left.join(right, left["k"].eqNullSafe(right["k"]), "left").drop(right["k"])
-        .where(spare > 0)
-        .select("k", F.explode(F.sequence(F.lit(1).cast("long"), spare)).alias("i"))
-        .select("k")
-    )
+    left = t.events.select(F.col("user_id").alias("k"), "event_id")
+    return except_all(left, t.orders.select(F.col("o_custkey").alias("k")), ["k"],
+                      ["event_id"]).select("k")
 
 
 @query("sort_page", """

@@ -63,10 +63,9 @@ def replay_since(t):
 @query("file_to_topic", EVENTS_SQL)
 def file_to_topic(t):
     topics = tp.Topics(t.spark)
-    glob = t.root.rsplit("/", 1)
-    drain(files.file_to_topic(topics, f"{glob[0]}/[{glob[1][0]}]{glob[1][1:]}", "events.parquet",
-                              "landed", t.events.schema, fresh_dir(t.spark, "checkpoint"),
-                              fmt="parquet"))
+    # The table may be one file or a folder of files; the pattern finds both.
+    drain(files.file_to_topic(topics, f"{t.root}/events.parque[t]", "*.parquet", "landed",
+                              t.events.schema, fresh_dir(t.spark, "checkpoint"), fmt="parquet"))
     return topics.read("landed")
 
 

@@ -25,6 +25,8 @@ RUNTIME_CONF = {
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+MEASURE_FACTOR = 16
+UNKNOWN_SIZE = 2**63 - 1  # what Spark plans with where it knows nothing
 
 
 def build_session(app: str = "topicloom", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -64,8 +66,20 @@ def workspace(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_made: dict[str, list[str]] = {}
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    return f"{workspace(spark)}/topicloom/{label}-{uuid.uuid4().hex}"
+    """A new folder name below the shared folder; nothing is created yet."""
+    path = f"{workspace(spark)}/topicloom/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def discard_fresh_dirs(spark: SparkSession) -> None:
+    """Delete the folders this application made, once nothing reads them any more."""
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        remove_path(spark, path)
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
@@ -89,14 +103,14 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS,
                    max_bytes: int = BROADCAST_BYTES) -> bool:
     """Measure a table before broadcasting it.
 
-    Reads at most ``max_rows + 1`` rows, so the check itself stays cheap however large it is.
+    A table whose planned size is far beyond the bound is not read at all; any other one is counted
+    and its rows are sized where they are, so a wrong estimate cannot lead to a large broadcast.
     """
-    seen = (
-        df.limit(max_rows + 1)
-        .select(F.length(F.to_json(F.struct(*df.columns))).alias("size"))
-        .agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"))
-        .first()
-    )
+    planned = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if MEASURE_FACTOR * max_bytes < planned < UNKNOWN_SIZE:
+        return False
+    size = F.length(F.to_json(F.struct(*df.columns)))
+    seen = df.agg(F.count("*").alias("rows"), F.sum(size).alias("bytes")).first()
     return seen["rows"] <= max_rows and (seen["bytes"] or 0) <= max_bytes
 
 

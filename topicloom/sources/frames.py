@@ -53,9 +53,9 @@ def decode_framed(df: DataFrame, schema: T.StructType | str, value: str = "value
             *[c for c in parts.columns if c != "body"], "__r.*")
 
     text = F.col("body").cast("string")
-    target, mode = T.StructType(struct.fields), "FAILFAST"
     # Fields stay optional here; whether absence is an error is decided by `on_missing`.
-    target = T.StructType([T.StructField(f.name, f.dataType, True) for f in target.fields])
+    target = T.StructType([T.StructField(f.name, f.dataType, True) for f in struct.fields])
+    mode = "FAILFAST"
     if on_corrupt == "quarantine":
         target, mode = target.add(CORRUPT, T.StringType()), "PERMISSIVE"
     record = F.from_json(text, target, {"mode": mode, "columnNameOfCorruptRecord": CORRUPT})

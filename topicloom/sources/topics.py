@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 
-from topicloom.session import fresh_dir
+from topicloom.session import fresh_dir, remove_path
 
 FILES_PER_BATCH = 1000
 PREVIEW_ROWS = 10  # fixed value: records shown when a topic is previewed
@@ -57,6 +57,9 @@ class Topics:
             (self.stream(name) if streaming else self.read(name)).createOrReplaceTempView(name)
         return names
 
+    def drop(self, topic: str) -> None:
+        remove_path(self.spark, self.path(topic))
+
     def publish(self, stream: DataFrame, topic: str, checkpoint: str) -> StreamingQuery:
         """Append a stream to a topic until the input seen at start is used up."""
         return (
@@ -78,6 +81,10 @@ def stream_files(spark: SparkSession, path: str, schema: T.StructType,
     )
 
 
+def with_processing_time(df: DataFrame, name: str = "proctime") -> DataFrame:
+    return df.withColumn(name, F.current_timestamp())
+
+
 def with_event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
     """Watermarks need a zoned timestamp; the session zone is UTC."""
     return df.withColumn(ts, F.col(ts).cast("timestamp"))
@@ -122,6 +129,16 @@ def kafka_options(servers: str, topics: str, start: str = "earliest",
     return options | {"startingTimestamp": str(now_ms - int(since.total_seconds() * 1000))}
 
 
+def kafka_writer(stream: DataFrame, servers: str, topic: str, checkpoint: str,
+                 mode: str = "append") -> StreamingQuery:
+    """Send key and value columns (see ``message``) to a Kafka topic."""
+    return (
+        stream.writeStream.format("kafka").outputMode(mode)
+        .options(**{"kafka.bootstrap.servers": servers, "topic": topic,
+                    "checkpointLocation": checkpoint}).start()
+    )
+
+
 def kafka_reader(spark: SparkSession, options: dict[str, str],
                  streaming: bool = True) -> DataFrame:
     reader: DataStreamReader = spark.readStream if streaming else spark.read

@@ -68,6 +68,15 @@ def compact(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence
     return spark.read.schema(schema).parquet(target)
 
 
+def show(stream: DataFrame, checkpoint: str, mode: str = "append", rows: int = 20
+         ) -> StreamingQuery:
+    """Print micro-batches to the console, for debugging."""
+    return (
+        stream.writeStream.format("console").outputMode(mode).option("numRows", rows)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
 class StreamTask:
     """A job that can be paused and resumed; an action that fails leaves the status as it was."""
 
