@@ -5,6 +5,8 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from topicloom.operators import operations as ops
@@ -170,6 +172,21 @@ def test_status_changes(spark, hot_rows):
     assert {(r["id"], r["old_status"], r["new_status"]) for r in out.collect()} == want
 
 
+@pytest.mark.parametrize("n", [1, 3, 50])
+@pytest.mark.parametrize("hot_rows", [40, 10**9])
+def test_ntiles(spark, n, hot_rows):
+    rows = skewed(400)
+    out = o.ntiles(spark.createDataFrame(rows, SCHEMA), ["user"], ["ts", "id"], n,
+                   hot_rows=hot_rows)
+    want = {}
+    for group in by_user(rows).values():
+        base, extra = divmod(len(group), n)
+        sizes = [base + 1] * extra + [base] * (n - extra)
+        tiles = [i + 1 for i, size in enumerate(sizes) for _ in range(size)]
+        want |= {row[0]: tile for row, tile in zip(group, tiles)}
+    assert {r["id"]: r["ntile"] for r in out.collect()} == want
+
+
 @pytest.mark.parametrize("hot_rows", [40, 10**9])
 def test_except_all(spark, hot_rows):
     rows = skewed(700)
@@ -193,6 +210,19 @@ def test_sampled_detection_finds_the_hot_key(spark, monkeypatch):
     assert out.where("user <> 7").agg(F.max("n")).first()[0] == 1
 
 
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.one_of(st.none(), st.integers(0, 5))), min_size=1,
+                max_size=60), st.integers(1, 4), st.integers(2, 12))
+def test_any_small_table_agrees_with_the_plain_window(spark, pairs, back, hot_rows):
+    rows = [(i, k, t) for i, (k, t) in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "id long, k long, t long")
+    exprs = {"n": lambda w: F.count("id").over(w.rowsBetween(-back, 0)),
+             "b": lambda w: F.lag("id", back).over(w)}
+    hot = o.over_last_rows(df, ["k"], ["t", "id"], back, exprs, hot_rows=hot_rows)
+    plain = o.over_last_rows(df, ["k"], ["t", "id"], back, exprs)
+    assert sorted(map(str, hot.collect())) == sorted(map(str, plain.collect()))
+
+
 def test_text_cannot_be_cut(spark):
     df = spark.createDataFrame([("a", "b")] * 10, "k string, t string")
     with pytest.raises(TypeError):

@@ -105,6 +105,29 @@ def test_restart_resumes_from_the_checkpoint(spark):
     assert run().agg(F.sum("n")).first()[0] == 240
 
 
+def test_late_rows_are_dropped_once_the_watermark_passed(spark):
+    data = rows(100)
+    late = [(900, 1, START, "click", 1)]  # an hour and a half behind by then
+    topics = topic_in_pieces(spark, data[:50] + data[50:], 2)
+    stream = topics.stream("t", files_per_batch=1).withWatermark("ts", "10 minutes")
+    counts = tumble(stream, "ts", "10 minutes", [], n=F.count("*"))
+    path, checkpoint = fresh_dir(spark, "out"), fresh_dir(spark, "cp")
+    runs.drain(runs.write_batches(counts, path, checkpoint, "update"))
+    topics.append(spark.createDataFrame(late, SCHEMA), "t")
+    runs.drain(runs.write_batches(counts, path, checkpoint, "update"))
+    latest = runs.read_latest(spark, path, counts.schema, ["window_start"])
+    assert latest.agg(F.sum("n")).first()[0] == 100
+
+
+def test_console_and_processing_time(spark):
+    topics = topic_in_pieces(spark, rows(3), 1)
+    stream = tp.with_processing_time(topics.stream("t"))
+    assert dict(stream.dtypes)["proctime"] == "timestamp"
+    shown = runs.show(stream.select("id"), fresh_dir(spark, "cp"))
+    runs.drain(shown)
+    assert shown.lastProgress["numInputRows"] == 3
+
+
 def test_config_decides_the_checkpoint():
     a = runs.checkpoint_for("r", "j", {"x": 1, "y": 2})
     assert a == runs.checkpoint_for("r", "j", {"y": 2, "x": 1})

@@ -224,6 +224,27 @@ def ranks(df: DataFrame, keys: list[str], by: str, hot_rows: int = HOT_ROWS) ->
     return df.join(placed, same).drop(*[f"__k_{c}" for c in [*keys, by]])
 
 
+def ntiles(df: DataFrame, keys: list[str], order: list[str], n: int, name: str = "ntile",
+           hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Number ``n`` groups of (nearly) equal size per key, larger groups first."""
+    placed = running_sums(df, keys, order, {"__place": F.lit(1)}, hot_rows)
+    sizes = df.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(
+        F.count("*").alias("__size"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    small = F.floor(F.col("__size") / n)
+    larger = F.col("__size") % n
+    before = F.col("__place") - 1
+    edge = larger * (small + 1)
+    group = F.when(before < edge, F.floor(before / (small + 1))).otherwise(
+        larger + F.floor((before - edge) / F.greatest(small, F.lit(1))))
+    return (
+        placed.join(sizes, same).withColumn(name, (group + 1).cast("int"))
+        .drop("__place", "__size", *[f"__k_{k}" for k in keys])
+    )
+
+
 def except_all(left: DataFrame, right: DataFrame, keys: list[str], order: list[str],
                hot_rows: int = HOT_ROWS) -> DataFrame:
     """Left rows less as many rows of each key as the right side has.

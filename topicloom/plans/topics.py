@@ -128,9 +128,29 @@ def routed_sink(t):
 
 
 @query("file_progress", """
-SELECT count(*) FILTER (event_type = 'none') AS json, CAST(0 AS BIGINT) AS processing,
-       least(count(DISTINCT event_type), 0) AS processed, true AS done FROM events""")
+SELECT 'written' AS stage, count(*) > 0 AS pending, count(*) = 0 AS done FROM events
+UNION ALL SELECT 'handed over', count(*) < 0, count(*) >= 0 FROM events""")
 def file_progress(t):
-    path = fresh_dir(t.spark, "handover")
-    files.write_partitioned(t.events, path, ["event_type"])
-    return files.file_progress(t.spark, path)
+    waiting, landed = fresh_dir(t.spark, "handover"), fresh_dir(t.spark, "landed")
+    files.write_schemaed(t.events, waiting)
+    t.spark.read.schema(t.events.schema).json(waiting).write.parquet(landed)
+    stages = [files.file_progress(t.spark, path).select(
+        F.lit(stage).alias("stage"), (F.col("json") > 0).alias("pending"), "done")
+        for stage, path in (("written", waiting), ("handed over", landed))]
+    return stages[0].unionByName(stages[1])
+
+
+@query("log_flatten", """
+SELECT CAST(conv_id AS VARCHAR) || '-' || turn AS id, CAST(turn AS VARCHAR) AS timestamp,
+       role AS class_name, role AS level, text AS message FROM conversations""")
+def log_flatten(t):
+    """Log documents as stored (id, time and class nested), then flattened."""
+    key = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    nested = t.conversations.select(
+        F.struct(key.alias("$oid")).alias("_id"),
+        F.struct(F.col("turn").cast("string").alias("$date")).alias("timestamp"),
+        F.struct(F.col("role").alias("className")).alias("class"),
+        F.col("role").alias("level"), F.col("text").alias("message"))
+    path = fresh_dir(t.spark, "logs")
+    files.write_documents(nested, path)
+    return files.flatten_log(files.read_documents(t.spark, path, nested.schema))

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from topicloom.operators.aggregates import sessions, slide, tumble
-from topicloom.operators.ordered import over_last_rows, ranks, running_sums
+from topicloom.operators.ordered import ntiles, over_last_rows, ranks, running_sums
 from topicloom.plans.registry import query
 
 
@@ -48,6 +48,44 @@ def win_rank(t):
     return ranks(numbered, ["event_type"], "value")
 
 
+@query("win_ntile", """
+SELECT o_orderkey, CAST(ntile(7) OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey)
+       AS INTEGER) AS seventh
+FROM orders""")
+def win_ntile(t):
+    df = t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return ntiles(df, ["o_orderpriority"], ["o_totalprice", "o_orderkey"], 7, "seventh").select(
+        "o_orderkey", "seventh")
+
+
+@query("win_lead", """
+SELECT event_id, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_type
+FROM events""")
+def win_lead(t):
+    # The next row is the previous one in reverse order.
+    df = t.events.select("event_id", "user_id", "event_type",
+                         (-F.unix_micros(F.col("ts").cast("timestamp"))).alias("back"),
+                         (-F.col("event_id")).alias("back_id"))
+    out = over_last_rows(df, ["user_id"], ["back", "back_id"], 1,
+                         {"next_type": lambda w: F.lag("event_type").over(w)})
+    return out.select("event_id", "next_type")
+
+
+@query("win_first_last", """
+SELECT event_id, first_value(value) OVER w AS first_value, last_value(value) OVER w AS last_value
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
+def win_first_last(t):
+    # One row per key is enough to know both ends.
+    at = F.struct("ts", "event_id")
+    ends = t.events.groupBy(F.col("user_id").alias("k")).agg(
+        F.min_by("value", at).alias("first_value"), F.max_by("value", at).alias("last_value"))
+    return (
+        t.events.select("event_id", "user_id")
+        .join(ends, F.col("user_id").eqNullSafe(F.col("k"))).drop("user_id", "k")
+    )
+
+
 @query("win_running", """
 SELECT o_orderkey, o_custkey,
        round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey

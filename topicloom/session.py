@@ -21,8 +21,12 @@ RUNTIME_CONF = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # One state store per join partition instead of four.
+    "spark.sql.streaming.join.stateFormatVersion": "3",
 }
 
+PARTITIONS = "spark.sql.shuffle.partitions"
+
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 MEASURE_FACTOR = 16
@@ -48,6 +52,10 @@ def build_session(app: str = "topicloom", cores: int | str = "*", **conf: str) -
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    context = spark.sparkContext
+    if context.master.startswith("local") and spark.conf.get(PARTITIONS) == "200":
+        # The default is far too many for one machine; a cluster keeps what it was given.
+        spark.conf.set(PARTITIONS, str(context.defaultParallelism))
     return spark
 
 
