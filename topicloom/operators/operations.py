@@ -58,10 +58,11 @@ def config_text(config: Column) -> Column:
 
 
 def config_changes(old: DataFrame, new: DataFrame, key: str, config: str) -> DataFrame:
-    """Tasks whose config differs between two tables with one row per task."""
+    """Tasks whose config differs between two tables with one row per task; none at all differs
+    from any config."""
     a = old.select(F.col(key), config_text(F.col(config)).alias("old_config"))
     b = new.select(F.col(key), config_text(F.col(config)).alias("new_config"))
-    return a.join(b, key).where(F.col("old_config") != F.col("new_config"))
+    return a.join(b, key).where(~F.col("old_config").eqNullSafe(F.col("new_config")))
 
 
 def needs_refresh(status: Column) -> Column:
