@@ -17,7 +17,8 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for path in glob.glob(f"{sf_dir}/*.parquet"):
         name = os.path.basename(path).removesuffix(".parquet")
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}'")
+        files = f"{path}/*.parquet" if os.path.isdir(path) else path
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{files}'")
     return con
 
 
@@ -36,8 +37,7 @@ def rows_of(columns, rows):
 
 # Spark type -> DuckDB type, as the two must agree on the schema too.
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
-         "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT",
-         "array<float>": "FLOAT[]"}
+         "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
 
 
 def check(spark, con, name, query, sql, sf_dir):

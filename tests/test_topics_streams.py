@@ -49,8 +49,9 @@ def test_shared_folder_comes_from_the_session(spark):
     assert materialize(spark.range(5)).count() == 5
 
 
-@pytest.mark.parametrize("pieces", [1, 4])
-def test_row_frames_do_not_depend_on_batches(spark, pieces):
+@pytest.mark.parametrize("pieces,every", [(1, 20), (4, 20), (7, 2), (5, 3)])
+def test_row_frames_do_not_depend_on_batches(spark, pieces, every, monkeypatch):
+    monkeypatch.setattr(st, "SNAPSHOT_EVERY", every)
     data = rows()
     topics = topic_in_pieces(spark, data, pieces)
     path, state = fresh_dir(spark, "out"), fresh_dir(spark, "state")
@@ -69,7 +70,9 @@ def test_row_frames_do_not_depend_on_batches(spark, pieces):
         want[i] = sum(last[user])
     assert got == want
     assert len([d for d in os.listdir(path) if d.startswith("batch_id=")]) == pieces
-    assert len([d for d in os.listdir(state) if d.startswith("batch_id=")]) <= 2
+    kept = sorted(int(d.split("=")[1]) for d in os.listdir(state) if d.startswith("batch_id="))
+    assert kept[-1] == pieces - 1 and len(kept) <= 2 * every + 1
+    assert pieces <= every or kept[0] >= every
 
 
 @pytest.mark.parametrize("pieces", [1, 4])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.operators.aggregates import LOST, RUNNING, STREAMING, UNASSIGNED
-from topicloom.operators.ordered import HOT_ROWS, over_last_rows
+from topicloom.operators.ordered import over_last_rows
 from topicloom.operators.transforms import not_equal, search_records
 
 # Fixed value: log level never shown.
@@ -36,7 +36,7 @@ def is_status_change(old: Column, new: Column) -> Column:
 
 
 def status_changes(df: DataFrame, keys: Sequence[str], order: Sequence[str], status: str,
-                   seed: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+                   seed: DataFrame | None = None, hot_rows: int | None = None) -> DataFrame:
     """Rows whose status differs from the previous row of the same task."""
     watched = over_last_rows(df, list(keys), list(order), 1,
                              {"old_status": lambda w: F.lag(status).over(w)}, seed, hot_rows)

@@ -1,7 +1,8 @@
 """Ordered-group operators that stay bounded when one key holds a large share of the rows.
 
 A plain ``Window.partitionBy(key).orderBy(..)`` puts every row of a key into one task. Here a key
-counts as hot when it has more than ``hot_rows`` rows and more than 1/``MAX_HOT`` of the table.
+counts as hot when it has more than ``hot_rows`` rows (default ``HOT_ROWS``) and more than
+1/``MAX_HOT`` of the table.
 Rows of hot keys are cut along the order columns into chunks, the window runs per (key, chunk),
 and the little that a chunk needs from earlier chunks arrives as extra rows that are dropped
 again. Keys that are not hot take the plain window, and without hot keys nothing is added to the
@@ -50,7 +51,7 @@ def key_hash(keys: list[str]) -> Column:
     return F.xxhash64(*keys) if keys else F.lit(0).cast("long")
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> tuple[list[int], int]:
+def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> tuple[list[int], int]:
     """Hashes of the hot keys and about how many rows they hold.
 
     Large tables are sampled, so at most ``SAMPLES * MAX_HOT`` rows are counted and the list stays
@@ -58,7 +59,7 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> tuple[
     work is spread, never a result.
     """
     total = df.count()
-    limit = max(hot_rows, total // MAX_HOT)
+    limit = max(hot_rows or HOT_ROWS, total // MAX_HOT)
     if total <= limit:
         return [], 0
     share = min(1.0, SAMPLES / limit)
@@ -103,11 +104,11 @@ def bucketed(df: DataFrame, value: Column, cuts: list[float], name: str) -> Data
 
 
 def split_hot(df: DataFrame, keys: list[str], order: list[str],
-              hot_rows: int = HOT_ROWS) -> Split:
+              hot_rows: int | None = None) -> Split:
     hot, rows = hot_keys(df, keys, hot_rows)
     if not hot:
         return Split(df.withColumn(CHUNK, F.lit(0).cast("long")), keys, [])
-    pieces = max(2, min(MAX_CHUNKS, math.ceil(rows / hot_rows) * 2))
+    pieces = max(2, min(MAX_CHUNKS, math.ceil(rows / (hot_rows or HOT_ROWS)) * 2))
     is_hot = key_hash(keys).isin(hot)
     first = order_number(df, order[0])
     hot_df = df.where(is_hot)
@@ -130,7 +131,7 @@ def split_hot(df: DataFrame, keys: list[str], order: list[str],
 
 def over_last_rows(df: DataFrame, keys: list[str], order: list[str], back: int,
                    exprs: dict[str, Callable[[WindowSpec], Column]],
-                   seed: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+                   seed: DataFrame | None = None, hot_rows: int | None = None) -> DataFrame:
     """Window expressions that look back at most ``back`` rows (lag, ROWS n PRECEDING).
 
     Each expression gets an ordered window spec and returns a column. ``order`` must be a total
@@ -180,7 +181,7 @@ def last_rows(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataF
 
 
 def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column],
-                 hot_rows: int = HOT_ROWS) -> DataFrame:
+                 hot_rows: int | None = None) -> DataFrame:
     """Sum of each expression over all rows up to the current one (row numbers: ``lit(1)``)."""
     split = split_hot(df, keys, order, hot_rows)
     if not split.hot:
@@ -207,7 +208,7 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str], sums: dict[st
     return out.where(F.col(SEQ) == 1).drop(CHUNK, SEQ, *parts.values())
 
 
-def ranks(df: DataFrame, keys: list[str], by: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def ranks(df: DataFrame, keys: list[str], by: str, hot_rows: int | None = None) -> DataFrame:
     """Add ``rank`` and ``dense_rank`` by an ascending column.
 
     Equal values are counted first, so the ordered step works on distinct values only.
@@ -225,7 +226,7 @@ def ranks(df: DataFrame, keys: list[str], by: str, hot_rows: int = HOT_ROWS) ->
 
 
 def ntiles(df: DataFrame, keys: list[str], order: list[str], n: int, name: str = "ntile",
-           hot_rows: int = HOT_ROWS) -> DataFrame:
+           hot_rows: int | None = None) -> DataFrame:
     """Number ``n`` groups of (nearly) equal size per key, larger groups first."""
     placed = running_sums(df, keys, order, {"__place": F.lit(1)}, hot_rows)
     sizes = df.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(
@@ -246,7 +247,7 @@ def ntiles(df: DataFrame, keys: list[str], order: list[str], n: int, name: str =
 
 
 def except_all(left: DataFrame, right: DataFrame, keys: list[str], order: list[str],
-               hot_rows: int = HOT_ROWS) -> DataFrame:
+               hot_rows: int | None = None) -> DataFrame:
     """Left rows less as many rows of each key as the right side has.
 
     Rows are numbered and kept where they are; the copies of a hot key are never rebuilt from a
@@ -267,7 +268,7 @@ def except_all(left: DataFrame, right: DataFrame, keys: list[str], order: list[s
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str,
               take: dict[str, str], tie: str | None = None,
-              hot_rows: int = HOT_ROWS) -> DataFrame:
+              hot_rows: int | None = None) -> DataFrame:
     """Left rows with the latest right row of the same key at or before their time.
 
     ``take`` maps right columns to output names. Both sides go through one shuffle and one sort;

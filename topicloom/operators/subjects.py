@@ -59,8 +59,7 @@ def register_absent(subjects: DataFrame, candidates: DataFrame,
     top = subjects.agg(F.coalesce(F.max("schema_id"), F.lit(0)).alias("m")).first()["m"]
     # Order by a number so that even a very long list of subjects can be numbered in chunks.
     fresh = fresh.withColumn("__h", F.xxhash64("subject"))
-    limits = {} if hot_rows is None else {"hot_rows": hot_rows}
-    numbered = running_sums(fresh, [], ["__h", "subject"], {"__n": F.lit(1)}, **limits)
+    numbered = running_sums(fresh, [], ["__h", "subject"], {"__n": F.lit(1)}, hot_rows)
     added = numbered.select(
         "subject", F.lit(1).cast("long").alias("version"),
         (F.col("__n") + F.lit(top)).cast("long").alias("schema_id"), "schema_json",

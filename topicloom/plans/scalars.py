@@ -71,18 +71,21 @@ def fn_math(t):
 
 
 @query("fn_array", """
-SELECT vec_id, len(embedding) AS n, list_max(embedding) AS top, embedding[1] AS first,
+SELECT vec_id, len(embedding) AS n, CAST(list_max(embedding) AS DOUBLE) AS top,
+       CAST(embedding[1] AS DOUBLE) AS first,
        list_contains(embedding, embedding[2]) AS holds,
        len(list_filter(embedding, lambda x: x > 0)) AS positive,
-       list_sort(embedding)[1] AS lowest, array_slice(embedding, 2, 3) AS piece
+       CAST(list_sort(embedding)[1] AS DOUBLE) AS lowest,
+       CAST(array_slice(embedding, 2, 3)[2] AS DOUBLE) AS third
 FROM embeddings""")
 def fn_array(t):
     e = F.col("embedding")
     return t.embeddings.select(
-        "vec_id", F.size(e).cast("long").alias("n"), F.array_max(e).alias("top"),
-        e[0].alias("first"), F.array_contains(e, e[1]).alias("holds"),
+        "vec_id", F.size(e).cast("long").alias("n"), F.array_max(e).cast("double").alias("top"),
+        e[0].cast("double").alias("first"), F.array_contains(e, e[1]).alias("holds"),
         F.size(F.filter(e, lambda x: x > 0)).cast("long").alias("positive"),
-        F.sort_array(e)[0].alias("lowest"), F.slice(e, 2, 2).alias("piece"))
+        F.sort_array(e)[0].cast("double").alias("lowest"),
+        F.slice(e, 2, 2)[1].cast("double").alias("third"))
 
 
 @query("fn_map", """
