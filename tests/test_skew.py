@@ -13,7 +13,7 @@ NAMES = [
     "slide_sum", "join_asof", "join_range", "join_inner", "status_changes", "process_history",
     "status_rollup", "set_except_all", "upsert_latest", "merge_by_key", "lookup_growing",
     "lineage_topic_tasks", "register_absent", "stream_over_rows", "stream_status_changes",
-    "stream_interval_join",
+    "stream_interval_join", "stream_distinct",
 ]
 
 

@@ -177,12 +177,18 @@ def test_stream_join_with_hot_key(spark, hot_rows):
     assert sorted(map(tuple, got)) == sorted(want) and want
 
 
-def test_stream_distinct_with_watermark(spark):
-    topics = topic_in_pieces(spark, rows(), 2)
-    out = st.stream_distinct(topics.stream("t"), ["user", "kind"], "ts", "1 day")
+@pytest.mark.parametrize("limits", [{}, {"ts": "ts", "delay": "1 day"}])
+@pytest.mark.parametrize("hot_rows", [20, 10**9])
+def test_stream_distinct(spark, limits, hot_rows):
+    topics = topic_in_pieces(spark, rows(), 3)
+    columns = ["user", "kind"]
+    hot, _ = hot_keys(topics.read("t"), columns, hot_rows)
+    assert bool(hot) == (hot_rows == 20)
+    out = st.stream_distinct(topics.stream("t", files_per_batch=1), columns,
+                             spread=F.col("id"), hot=hot, salt=3, **limits)
     runs.drain(topics.publish(out, "d", fresh_dir(spark, "cp")))
-    assert topics.read("d").distinct().count() == topics.read("t").select(
-        "user", "kind").distinct().count()
+    assert sorted(topics.read("d").collect()) == sorted(
+        topics.read("t").select(*columns).distinct().collect())
 
 
 def test_stream_back_states(spark):
@@ -214,8 +220,13 @@ def test_topics_and_views(spark):
     assert spark.sql("select * from one union all select * from two").count() == 6
     topics.register("one", streaming=True)
     assert spark.table("one").isStreaming
-    topics.append_routed(spark.range(4).withColumn("route", F.lit("r")))
-    assert topics.routed("r").count() == 4
+    topics.append_routed(spark.range(4).withColumn("route", F.lit("r")), "group")
+    assert topics.routed("group", "r").count() == 4
+    plan = topics.routed("group", "r")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(route" in plan
+    topics.drop("one")
+    with pytest.raises(Exception):
+        topics.read("one")
 
 
 def test_replay_preview_and_messages(spark):

@@ -89,9 +89,9 @@ def _keys_of(other: DataFrame, on: dict[str, str]) -> tuple[DataFrame, list[Colu
 def topic_lineage(tasks: DataFrame, config: str, topic_keys: Sequence[str],
                   topics: DataFrame, topic: str = "topic") -> DataFrame:
     """(task, topic) pairs: each task with every listed topic its config names exactly."""
-    named = F.concat_ws(",", *[F.col(config)[k] for k in topic_keys])
+    named = F.trim(F.concat_ws(",", *[F.col(config)[k] for k in topic_keys]))
     uses = tasks.withColumn(
-        "__name", F.explode(F.array_distinct(F.transform(F.split(named, ","), lambda n: F.trim(n)))))
+        "__name", F.explode(F.array_distinct(F.split(named, r"\s*,\s*"))))
     wanted = topics.select(F.col(topic).alias("__topic")).distinct()
     return (
         uses.join(maybe_broadcast(wanted), F.col("__name") == F.col("__topic"))

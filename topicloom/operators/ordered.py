@@ -279,8 +279,9 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
     l_rows = left.select(*by, F.col(left_time).alias("__t"), F.lit(1).alias("__side"),
                          F.lit(None).cast("double").alias("__tie"),
                          F.struct(*left.columns).alias("__left"))
-    r_rows = right.where(F.col(right_time).isNotNull()).select(*by, F.col(right_time).alias("__t"), F.lit(0).alias("__side"),
-                          tied.alias("__tie"), payload.alias("__right"))
+    r_rows = right.where(F.col(right_time).isNotNull()).select(
+        *by, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), tied.alias("__tie"),
+        payload.alias("__right"))
     both = l_rows.unionByName(r_rows, allowMissingColumns=True)
     order = ["__t", "__side", "__tie"]
     split = split_hot(both, by, order, hot_rows)

@@ -182,7 +182,8 @@ def lineage_topic_tasks(t):
     tasks = t.orders.select("o_orderkey", named.alias("config"))
 
     def topics(df, prefix, column):
-        return df.select(F.concat(F.lit(prefix), F.col(column).cast("string")).alias("topic"))
+        return df.select(column).distinct().select(
+            F.concat(F.lit(prefix), F.col(column).cast("string")).alias("topic"))
 
     wanted = topics(t.events, "cust_", "user_id").union(
         topics(t.lineitem, "state_", "l_returnflag")).union(

@@ -54,6 +54,26 @@ def stream_union(t):
                                     events.where("event_type <> 'view'")))
 
 
+@query("stream_router", """
+SELECT event_id, user_id, CASE WHEN event_type = 'error' THEN 'alerts' WHEN value > 75 THEN 'large'
+       ELSE 'rest' END AS topic FROM events""")
+def stream_router(t):
+    topics = Topics(t.spark)
+    routed = tf.route(t.stream("events"), [("alerts", "event_type = 'error'"),
+                                           ("large", "value > 75")], default="rest")
+    drain(topics.publish_routed(routed, "out", fresh_dir(t.spark, "checkpoint")))
+    return tf.union_topics(*[
+        topics.routed("out", name).select("event_id", "user_id", F.lit(name).alias("topic"))
+        for name in ("alerts", "large", "rest")])
+
+
+@query("stream_copy", """
+SELECT event_id, topic FROM events, (VALUES ('audit'), ('live')) v(topic)""")
+def stream_copy(t):
+    events = t.stream("events").select("event_id")
+    return _sink(t, tf.copy_to(events, ["audit", "live"]))
+
+
 @query("framed_stream_sql", """
 SELECT true AS framed, CAST(11 AS BIGINT) AS schema_id, event_type, user_id + 1 AS user_id
 FROM events WHERE value < 90""")
@@ -88,7 +108,9 @@ def stream_agg_final(t):
 
 @query("stream_distinct", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_distinct(t):
-    return _sink(t, st.stream_distinct(t.stream("events"), ["user_id", "event_type"]))
+    columns = ["user_id", "event_type"]
+    return _sink(t, st.stream_distinct(t.stream("events"), columns, spread=F.col("event_id"),
+                                       hot=hot_keys(t.events, columns)[0]))
 
 
 @query("stream_interval_join", """

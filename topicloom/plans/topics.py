@@ -121,8 +121,8 @@ UNION ALL SELECT 'rest', count(*) FROM events WHERE event_type <> 'error'""")
 def routed_sink(t):
     topics = tp.Topics(t.spark)
     name = F.when(F.col("event_type") == "error", "alerts").otherwise("rest")
-    topics.append_routed(t.events.withColumn("route", name))
-    counted = [topics.routed(n).groupBy(F.lit(n).alias("topic")).agg(F.count("*").alias("n"))
+    topics.append_routed(t.events.withColumn("route", name), "out")
+    counted = [topics.routed("out", n).groupBy(F.lit(n).alias("topic")).agg(F.count("*").alias("n"))
                for n in ("alerts", "rest")]
     return counted[0].unionByName(counted[1])
 

@@ -34,12 +34,21 @@ class Topics:
         df.write.mode("append").parquet(self.path(topic))
         return self.path(topic)
 
-    def append_routed(self, df: DataFrame, route: str = "route") -> None:
+    def append_routed(self, df: DataFrame, group: str, route: str = "route") -> None:
         """Write each row to the topic its ``route`` column names: one scan, one write."""
-        df.write.mode("append").partitionBy(route).parquet(self.root)
+        df.write.mode("append").partitionBy(route).parquet(self.path(group))
 
-    def routed(self, topic: str, route: str = "route") -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{route}={topic}")
+    def publish_routed(self, stream: DataFrame, group: str, checkpoint: str,
+                       route: str = "route") -> StreamingQuery:
+        return (
+            stream.writeStream.format("parquet").outputMode("append").partitionBy(route)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True)
+            .start(self.path(group))
+        )
+
+    def routed(self, group: str, topic: str, route: str = "route") -> DataFrame:
+        """One topic of a routed group; other topics' files are not opened."""
+        return self.read(group).where(F.col(route) == topic).drop(route)
 
     def read(self, topic: str, schema: T.StructType | None = None) -> DataFrame:
         reader = self.spark.read.schema(schema) if schema else self.spark.read

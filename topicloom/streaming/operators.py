@@ -103,9 +103,22 @@ def stream_interval_join(left: DataFrame, right: DataFrame, by: Sequence[str], l
 
 
 def stream_distinct(stream: DataFrame, columns: Sequence[str], ts: str | None = None,
-                    delay: str | None = None) -> DataFrame:
-    """Each combination once. With a watermark, state of old combinations is let go."""
-    if ts and delay:
-        kept = stream.withWatermark(ts, delay)
-        return kept.dropDuplicatesWithinWatermark(list(columns)).select(*columns)
-    return stream.select(*columns).dropDuplicates(list(columns))
+                    delay: str | None = None, spread: Column | None = None,
+                    hot: Sequence[int] = (), salt: int = JOIN_SALT) -> DataFrame:
+    """Each combination once. With a watermark, state of old combinations is let go.
+
+    Hot combinations (hashes as ``ordered.hot_keys`` measures them) are first thinned out in
+    ``salt`` groups chosen by ``spread``, so their rows do not all reach one task.
+    """
+    rows = stream.withWatermark(ts, delay) if ts and delay else stream
+
+    def once(df: DataFrame, names: list[str]) -> DataFrame:
+        if ts and delay:
+            return df.dropDuplicatesWithinWatermark(names)
+        return df.select(*names).dropDuplicates(names)
+
+    if hot:
+        part = F.when(key_hash(list(columns)).isin(list(hot)),
+                      F.pmod(F.xxhash64(spread), F.lit(salt))).otherwise(0)
+        rows = once(rows.withColumn("__salt", part), [*columns, "__salt"])
+    return once(rows, list(columns)).select(*columns)
