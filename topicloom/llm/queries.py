@@ -1,6 +1,12 @@
 """Every query of this package; importing this module registers them."""
 
 from topicloom.llm import (  # noqa: F401
+    decontaminate,
+    jaccard_join,
+    language_id,
+    pieces,
     quality,
+    token_files,
+    warc,
 )
 from topicloom.llm.registry import ORACLES, QUERIES  # noqa: F401
