@@ -2,8 +2,10 @@
 
 from topicloom.llm import (  # noqa: F401
     decontaminate,
+    html_text,
     jaccard_join,
     language_id,
+    licenses,
     pieces,
     quality,
     token_files,
