@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,3 +80,16 @@ def shingle_set(hashes: np.ndarray, width: int, keys: np.ndarray) -> np.ndarray:
 def bucket(column, modulus: int):
     """crc32 of an id as text, modulo ``modulus``; null ids fall in bucket null."""
     return F.crc32(column.cast("string").cast("binary")) % modulus
+
+
+def gathered(batches, rows: int = 8000):
+    """Small batches joined to frames of about ``rows`` rows."""
+    part, size = [], 0
+    for batch in batches:
+        part.append(batch)
+        size += len(batch)
+        if size >= rows:
+            yield pd.concat(part, ignore_index=True)
+            part, size = [], 0
+    if size:
+        yield pd.concat(part, ignore_index=True)

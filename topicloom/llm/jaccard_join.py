@@ -10,7 +10,8 @@ A document is the set of its distinct five-word shingles (64-bit hashes). Two do
 3. ``postings``: a link needs T = ceil(0.8 n) common shingles, so with the long lists set aside each
    node only enters the n - T + 1 rarest of its lists. Lists with one node are dropped.
 4. ``star_pairs``: in each list every node is paired with one pivot, not with all others. A few rounds
-   with different pivots join nearly all of a group; only lists that still hold several groups go on.
+   with different pivots join nearly all of a group; only lists that still hold several groups go on. A
+   pair must meet in as many lists as a link needs (``_counted``).
 5. ``cross_pairs``: all pairs that are left between different groups of a list, so no link between groups
    can be missed.
 6. ``verify``: T-occurrence search. Candidates of a pivot form an index; the short lists of the pivot's
@@ -180,26 +181,47 @@ def mixed_lists(lists: DataFrame) -> DataFrame:
     return lists.join(several.filter("x <> y").select("shingle"), "shingle", "left_semi")
 
 
+def _counted(pairs: DataFrame) -> DataFrame:
+    """Pairs of (pivot, pn, node, n) that meet in enough lists, with ``low`` and ``high``.
+
+    Of two nodes' common shingles those up to the end of the shorter-reaching prefix lie in both prefixes,
+    and the others among the last T - 1 of one node. So a link meets in alpha - max(T) + 1 lists or more,
+    where alpha is the overlap it needs.
+    """
+    size = 100 + PERCENT
+    alpha = f"({PERCENT} * (pn + n) + {size - 1}) DIV {size}"
+    most = f"({PERCENT} * greatest(pn, n) + 99) DIV 100"
+    either = F.struct("pivot", "node")
+    return (pairs.groupBy(F.least("pivot", "node").alias("low"), F.greatest("pivot", "node").alias("high"))
+            .agg(F.count("*").alias("met"), F.min(either).alias("x"), F.min("n").alias("n"),
+                 F.min("pn").alias("pn"))
+            .filter(F.expr(f"met >= {alpha} - {most} + 1"))
+            .select("x.pivot", "x.node", "low", "high"))
+
+
 def star_pairs(lists: DataFrame, turn: int) -> DataFrame:
     """Each node of a list with the list's pivot, which differs by turn."""
     rank = F.xxhash64("node", F.lit(turn))
     pivots = lists.groupBy("shingle").agg(F.min_by(F.struct("node", "n", "group"), rank).alias("p"))
-    return (lists.join(pivots, "shingle")
-            .filter((F.col("group") != F.col("p.group")) & _close("n", "p.n"))
-            .select(F.col("p.node").alias("pivot"), "node").distinct())
+    return _counted(lists.join(pivots, "shingle")
+                    .filter((F.col("group") != F.col("p.group")) & _close("n", "p.n"))
+                    .select(F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), "node", "n"))
 
 
 def cross_pairs(lists: DataFrame) -> DataFrame:
-    """All pairs of different groups in a list; a list's largest group is not paired with itself."""
+    """All pairs of different groups in a list; a list's largest group is not paired with itself.
+
+    Each list gives an unordered pair once, so the lists in which it meets are counted in full.
+    """
     share = lists.groupBy("shingle", "group").agg(F.count("*").alias("rows"))
     major = share.groupBy("shingle").agg(F.max_by("group", F.struct("rows", "group")).alias("major"))
     marked = lists.join(major, "shingle")
     few = marked.filter("group <> major").select(
         "shingle", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("group").alias("pg"))
-    return (few.join(marked, "shingle")
-            .filter((F.col("pg") != F.col("group")) & _close("n", "pn")
-                    & ((F.col("group") == F.col("major")) | (F.col("pivot") < F.col("node"))))
-            .select("pivot", "node").distinct())
+    return _counted(few.join(marked, "shingle")
+                    .filter((F.col("pg") != F.col("group")) & _close("n", "pn")
+                            & ((F.col("group") == F.col("major")) | (F.col("pivot") < F.col("node"))))
+                    .select("pivot", "pn", "node", "n"))
 
 
 def occurrence_search(query_set: np.ndarray, sets: list[np.ndarray], floor: int) -> dict[int, int]:
@@ -243,10 +265,13 @@ def _array(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint64)
 
 
-def _search(pivots: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+def _search(group: pd.DataFrame) -> pd.DataFrame:
+    """Links of one pivot with a chunk of its candidates."""
     links = []
+    own = group["node"] == group["pivot"]
+    pivots, candidates = group[own], group[~own]
     if len(pivots) and len(candidates):
-        base = _array(pivots["base"].iloc[0])
+        base = _array(pivots["shingles"].iloc[0])
         sets = [_array(x) for x in candidates["shingles"]]
         least = min(map(len, sets))
         floor = max(1, -(-PERCENT * (len(base) + least) // (100 + PERCENT)))
@@ -258,18 +283,15 @@ def _search(pivots: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs that link. A pivot with many candidates is searched in several chunks."""
-    load = (pairs.join(sets.select(F.col("node"), F.col("n")), "node").groupBy("pivot")
+    load = (pairs.join(sets.select("node", "n"), "node").groupBy("pivot")
             .agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).alias("chunks")))
     load = materialize(load, "jaccard-load")
-    candidates = (pairs.join(load, "pivot")
-                  .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
-                  .join(sets.drop("n"), "node").select("pivot", "chunk", "node", "shingles"))
-    pivots = (load.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"),
-                                                            F.col("chunks") - 1)))
-              .join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("base")), "pivot")
-              .select("pivot", "chunk", "base"))
-    return (pivots.groupBy("pivot", "chunk").cogroup(candidates.groupBy("pivot", "chunk"))
-            .applyInPandas(_search, "a long, b long"))
+    candidates = pairs.join(load, "pivot").select(
+        "pivot", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), "node")
+    pivots = load.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"),
+                         F.col("pivot").alias("node"))
+    return (candidates.union(pivots).join(sets.select("node", "shingles"), "node")
+            .groupBy("pivot", "chunk").applyInPandas(_search, "a long, b long"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -331,20 +353,15 @@ def linked_groups(docs: DataFrame) -> DataFrame:
     described = describe(docs)
     lists = postings(docs, rarity(described))
     label, links, tried = None, None, None
-    sets = None
     for turn in range(STAR_ROUNDS + 1):
         left = materialize(mixed_lists(_grouped(lists, label)), "jaccard-lists")
         pairs = star_pairs(left, turn) if turn < STAR_ROUNDS else cross_pairs(left)
         # No pair is searched twice, whichever of the two was the pivot.
-        pairs = pairs.withColumns({"low": F.least("pivot", "node"),
-                                   "high": F.greatest("pivot", "node")})
-        pairs = pairs.dropDuplicates(["low", "high"])
         if tried is not None:
             pairs = pairs.join(tried, ["low", "high"], "left_anti")
         pairs = materialize(pairs, "jaccard-pairs")
-        if sets is None:
-            nodes = materialize(left.select("node").distinct(), "jaccard-nodes")
-            sets = shingle_sets(docs, nodes, described)
+        nodes = pairs.select("node").union(pairs.select("pivot")).distinct()
+        sets = shingle_sets(docs, materialize(nodes, "jaccard-nodes"), described)
         found = materialize(verify(pairs.select("pivot", "node"), sets), "jaccard-found")
         done = pairs.select("low", "high")
         tried = done if tried is None else tried.union(done)

@@ -19,14 +19,14 @@ language or text teach nothing; repeated rows count as often as they occur; othe
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import CACHE_WORDS, bucket, mixed, odd_keys, table
+from topicloom.llm.common import CACHE_WORDS, bucket, gathered, mixed, odd_keys, table
 from topicloom.llm.registry import query
 from topicloom.session import materialize
 
@@ -91,7 +91,7 @@ def _train_words(batches):
 
 
 def _train_grams(batches):
-    for batch in batches:
+    for batch in gathered(batches):
         for lang, part in batch.groupby("lang"):
             grams, owners = word_grams(part["word"].tolist())
             weight = part["n"].to_numpy()[owners]
@@ -107,7 +107,6 @@ class Model:
     languages: list[str]
     slots: np.ndarray
     false_hits: np.ndarray
-    _known: dict = field(default_factory=dict, repr=False)
 
     def masks(self, grams: np.ndarray) -> np.ndarray:
         found = np.full(len(grams), -1, np.int64)

@@ -6,6 +6,7 @@ from topicloom.llm import (  # noqa: F401
     jaccard_join,
     language_id,
     licenses,
+    mixing,
     pieces,
     quality,
     token_files,
