@@ -28,11 +28,12 @@ from topicloom.llm.common import WordCache, alnum_words, mixed, odd_keys, table
 from topicloom.llm.registry import query
 from topicloom.session import materialize
 
-# 1: position is hashed, 0: position is ignored.
-MASKS = ("111111", "11011011", "110010111", "1110100011")
 WINDOW = 12
 MIN_MATCH_PERCENT = 75
 MIN_ITEM_WORDS = 6
+# 1: position is hashed, 0: position is ignored. Together they meet every window of MIN_ITEM_WORDS to
+# WINDOW words that agrees in MIN_MATCH_PERCENT of its places, wherever the others are (tested).
+MASKS = ("11101", "100111", "1101001")
 BLOCK_WORDS = 2_000_000
 BITS = 22
 
@@ -111,8 +112,9 @@ def _hits(words: np.ndarray, block: Block):
             continue
         low = np.searchsorted(block.hashes, own[at], "left")
         high = np.searchsorted(block.hashes, own[at], "right")
-        for p, a, b in zip(at[high > low], low[high > low], high[high > low]):
-            found.append(np.column_stack((block.items[a:b], p - block.places[a:b])))
+        times = high - low
+        hit = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        found.append(np.column_stack((block.items[hit], np.repeat(at, times) - block.places[hit])))
     return np.unique(np.concatenate(found), axis=0) if found else ()
 
 
