@@ -125,8 +125,8 @@ METHOD_RULES = (
     Rule("upper_case", lambda t, w: _over(_letters(t, r"\p{Lu}"), MAX_UPPER_PERCENT,
                                           _letters(t, r"\p{L}"))),
     Rule("no_letters", lambda t, w: ~plain_text(t).rlike(r"\p{L}")),
-    Rule("word_length", lambda t, w: ~(F.length(F.array_join(w, "")) / F.size(w))
-         .between(*WORD_LENGTHS)),
+    Rule("word_length", lambda t, w: ~F.length(F.array_join(w, "")).between(
+        WORD_LENGTHS[0] * F.size(w), WORD_LENGTHS[1] * F.size(w))),
     Rule("repeated_lines", lambda t, w: let(lines_with_words(t), lambda x: _over(
         repeats_of(x), MAX_DUP_LINE_PERCENT, F.size(x)))),
     Rule("stutter", lambda t, w: _over(stutters_in(w), MAX_STUTTER_PERCENT, F.size(w))),
@@ -203,7 +203,7 @@ f AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(wor
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 100 * n_symbols > 10 * n_words OR 100 * shouts > 10 * n_words
-    OR 100 * uppers > 50 * letters OR letters = 0 OR NOT (word_chars / n_words BETWEEN 2 AND 20)
+    OR 100 * uppers > 50 * letters OR letters = 0 OR NOT (word_chars BETWEEN 2 * n_words AND 20 * n_words)
     OR 100 * n_dup_lines > 50 * n_lines OR 100 * stutters > 30 * n_words OR filler) AS kept
 FROM b
 """

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -240,11 +241,7 @@ def encoder(spark: SparkSession, model: str):
     return encode
 
 
-def _narrow(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint32)
-
-
-def _write(batches, out: shards.ShardWriter) -> None:
+def _write(batches, out: shards.ShardWriter, file_ids: int) -> None:
     shard, docs, parts, size = None, [], [], 0
 
     def close():
@@ -263,7 +260,7 @@ def _write(batches, out: shards.ShardWriter) -> None:
             docs.append(row["doc_id"])
             parts.append(np.frombuffer(row["ids"], np.uint32))
             size += len(parts[-1])
-            if size >= FILE_IDS:
+            if size >= file_ids:
                 close()
     close()
 
@@ -275,7 +272,8 @@ def write_tokens(docs: DataFrame, model: str | None = None) -> tuple[str, DataFr
     sizes = docs.select(doc_id, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("size"))
     rows, count = shards.with_shard(docs.select(doc_id, text.alias("text")), sizes, "doc_id", "size")
     rows = rows.select("doc_id", "shard", encoder(spark, model or tokenizer_text())("text").alias("ids"))
-    folder, manifest = shards.write_shards(rows, count, ["doc_id", "ids"], _write, "tokens")
+    folder, manifest = shards.write_shards(rows, count, ["doc_id", "ids"],
+                                           partial(_write, file_ids=FILE_IDS), "tokens")
     # Shards first, then the files of each shard, so that no window sees all files.
     totals = manifest.groupBy("shard").agg(F.sum("items").alias("all"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

@@ -17,6 +17,7 @@ import base64
 import hashlib
 import uuid
 import zlib
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -93,7 +94,7 @@ def base32_of_hex(sha1: str) -> str:
     return base64.b32encode(bytes.fromhex(sha1)).decode()
 
 
-def _write(batches, out: shards.ShardWriter) -> None:
+def _write(batches, out: shards.ShardWriter, roll_bytes: int) -> None:
     shard, data, records = None, bytearray(), 0
 
     def close():
@@ -114,7 +115,7 @@ def _write(batches, out: shards.ShardWriter) -> None:
             sha1 = digest(payload) if payload is not None else base32_of_hex(row["sha1"])
             data += member(page_record(row["page_id"], row["url"], payload, row["size"], sha1, row["refers_to"]))
             records += 1
-            if len(data) >= ROLL_BYTES:
+            if len(data) >= roll_bytes:
                 close()
     close()
 
@@ -135,7 +136,8 @@ def write_archives(pages: DataFrame) -> tuple[str, DataFrame]:
     rows = rows.withColumn("refers_to", F.when(revisit, F.col("first"))).withColumn(
         "payload", F.when(~revisit, F.col("payload"))).drop("first")
     rows, count = shards.with_shard(rows, facts, "page_id", "size")
-    return shards.write_shards(rows, count, ["page_id", "url", "sha1"], _write, "warc")
+    return shards.write_shards(rows, count, ["page_id", "url", "sha1"],
+                               partial(_write, roll_bytes=ROLL_BYTES), "warc")
 
 
 def members(file):
