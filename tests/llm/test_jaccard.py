@@ -76,7 +76,7 @@ def test_against_brute_force(spark, seed):
 def test_long_lists_and_chunks(spark, monkeypatch):
     """Everything is frequent: levels put the passage last, searches run in many chunks."""
     monkeypatch.setattr(jj, "CHUNK_SHINGLES", 2000)
-    monkeypatch.setattr(jj, "STAR_ROUNDS", 1)
+    monkeypatch.setattr(jj, "STAR_ROUNDS", (1,))
     rows = corpus(7, groups=3, size=60)
     assert got(documents(spark, rows)) == brute(rows)
 

@@ -33,7 +33,7 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topicloom.llm.common import WordCache, blank_words, mixed, odd_keys, shingle_set, table
@@ -44,7 +44,7 @@ WIDTH = 5
 PERCENT = 80
 SKETCH_BITS = 21
 SKETCH_BLOCKS = 32
-STAR_ROUNDS = 2
+STAR_ROUNDS = (1, 4)  # pivots per list in each round
 CHUNK_SHINGLES = 1_000_000  # shingles of candidates that one search holds at a time
 
 KEYS = odd_keys(WIDTH, seed=5)
@@ -166,8 +166,8 @@ def postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     alone = found.sparkSession.sql("""
         SELECT shingle, node, n, long, min(node) OVER w AS least, max(node) OVER w AS most
         FROM jaccard_postings WINDOW w AS (PARTITION BY shingle, spread)""")
-    return materialize(alone.filter("long OR least <> most").select("shingle", "node", "n"),
-                       "jaccard-postings")
+    return materialize(alone.filter("long OR least <> most").select("shingle", "node", "n")
+                       .distinct(), "jaccard-postings")
 
 
 def _close(a: str, b: str):
@@ -189,21 +189,33 @@ def _counted(pairs: DataFrame) -> DataFrame:
     where alpha is the overlap it needs.
     """
     size = 100 + PERCENT
-    alpha = f"({PERCENT} * (pn + n) + {size - 1}) DIV {size}"
-    most = f"({PERCENT} * greatest(pn, n) + 99) DIV 100"
+    alpha = f"({PERCENT} * (less + more) + {size - 1}) DIV {size}"
+    most = f"({PERCENT} * more + 99) DIV 100"
     either = F.struct("pivot", "node")
     return (pairs.groupBy(F.least("pivot", "node").alias("low"), F.greatest("pivot", "node").alias("high"))
-            .agg(F.count("*").alias("met"), F.min(either).alias("x"), F.min("n").alias("n"),
-                 F.min("pn").alias("pn"))
+            .agg(F.count("*").alias("met"), F.min(either).alias("x"),
+                 F.min(F.least("n", "pn")).alias("less"), F.max(F.greatest("n", "pn")).alias("more"))
             .filter(F.expr(f"met >= {alpha} - {most} + 1"))
             .select("x.pivot", "x.node", "low", "high"))
 
 
-def star_pairs(lists: DataFrame, turn: int) -> DataFrame:
-    """Each node of a list with the list's pivot, which differs by turn."""
-    rank = F.xxhash64("node", F.lit(turn))
-    pivots = lists.groupBy("shingle").agg(F.min_by(F.struct("node", "n", "group"), rank).alias("p"))
-    return _counted(lists.join(pivots, "shingle")
+def centrality(lists: DataFrame) -> DataFrame:
+    """(node, weight): rows of all lists a node is in. The text that others were copied from shares
+    more with them than they share with each other, so it weighs most."""
+    sizes = lists.groupBy("shingle").agg(F.count("*").alias("rows"))
+    return lists.join(sizes, "shingle").groupBy("node").agg(F.sum("rows").alias("weight"))
+
+
+def star_pairs(lists: DataFrame, pivots: int) -> DataFrame:
+    """Each node of a list with the ``pivots`` nodes of the list that weigh most."""
+    best = F.struct("weight", "node", "n", "group")
+    if pivots == 1:
+        best = lists.groupBy("shingle").agg(F.max(best).alias("p"))
+    else:
+        order = Window.partitionBy("shingle").orderBy(F.desc("weight"), F.desc("node"))
+        best = (lists.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= pivots)
+                .select("shingle", best.alias("p")))
+    return _counted(lists.join(best, "shingle")
                     .filter((F.col("group") != F.col("p.group")) & _close("n", "p.n"))
                     .select(F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), "node", "n"))
 
@@ -344,7 +356,7 @@ def _grouped(lists: DataFrame, label: DataFrame | None) -> DataFrame:
         return lists.withColumn("group", F.col("node"))
     known = label.withColumnRenamed("node", "member")
     return lists.join(known, F.col("node") == F.col("member"), "left").select(
-        "shingle", "node", "n", F.coalesce("group", "node").alias("group"))
+        "shingle", "node", "n", "weight", F.coalesce("group", "node").alias("group"))
 
 
 def linked_groups(docs: DataFrame) -> DataFrame:
@@ -353,9 +365,10 @@ def linked_groups(docs: DataFrame) -> DataFrame:
     described = describe(docs)
     lists = postings(docs, rarity(described))
     label, links, tried = None, None, None
-    for turn in range(STAR_ROUNDS + 1):
+    lists = materialize(lists.join(centrality(lists), "node"), "jaccard-weighted")
+    for pivots in (*STAR_ROUNDS, None):
         left = materialize(mixed_lists(_grouped(lists, label)), "jaccard-lists")
-        pairs = star_pairs(left, turn) if turn < STAR_ROUNDS else cross_pairs(left)
+        pairs = star_pairs(left, pivots) if pivots else cross_pairs(left)
         # No pair is searched twice, whichever of the two was the pivot.
         if tried is not None:
             pairs = pairs.join(tried, ["low", "high"], "left_anti")
@@ -366,7 +379,7 @@ def linked_groups(docs: DataFrame) -> DataFrame:
         done = pairs.select("low", "high")
         tried = done if tried is None else tried.union(done)
         links = found if links is None else links.union(found)
-        if turn < STAR_ROUNDS or found.limit(1).count():
+        if label is None or found.limit(1).count():
             label = components(links)
     rows = described.filter("node IS NOT NULL")
     # Nodes are the classes of equal sets; an empty set is no class.
