@@ -188,3 +188,23 @@ def test_lineage(spark):
     found = j.topic_lineage(tasks, "config", keys, topics).select("id", "topic").collect()
     assert [tuple(r) for r in found] == [(1, "a")]
     assert {r["id"] for r in j.tasks_naming(tasks, "config", keys, "a").collect()} == {1, 2}
+
+
+def test_explode_records_and_null_parts(spark):
+    df = spark.createDataFrame(
+        [(1, [("a", "RUNNING"), None]), (2, []), (3, None)],
+        "id long, parts array<struct<id:string,state:string>>")
+    got = [(r["id"], r["part"] and tuple(r["part"]))
+           for r in tf.explode_parts(df, "parts", placeholder="task_e").orderBy("id").collect()]
+    assert sorted(got, key=str) == sorted(
+        [(1, ("a", "RUNNING")), (1, None), (2, ("task_e", None)), (3, ("task_e", None))], key=str)
+
+
+def test_copies_of_a_key_never_multiply(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (None, "n"), (None, "n")], "k long, v string")
+    b = spark.createDataFrame([(1, "p"), (1, "q"), (3, "r")], "k long, w string")
+    got = sorted((tuple(r) for r in j.merge_by_key(a, b, ["k"]).collect()), key=str)
+    assert got == sorted([(1, "y", "q"), (2, "z", None), (3, None, "r"), (None, "n", None),
+                          (None, "n", None)], key=str)
+    got = j.import_upsert(a.dropna(), b.withColumnRenamed("w", "v"), "k", ["v"]).collect()
+    assert sorted(tuple(r) for r in got) == [(1, "q"), (2, "z"), (3, "r")]

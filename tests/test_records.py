@@ -105,6 +105,7 @@ def one(spark, value, fn, kind="string"):
 def test_config_text_functions(spark):
     assert one(spark, "", sc.unescape_json) == "[]"
     assert one(spark, r'{"a":"{\"b\":1}"}', sc.unescape_json) == '{"a":{"b":1}}'
+    assert one(spark, '{"name":"","b":["",""]}', sc.unescape_json) == '{"name":"","b":["",""]}'
     assert one(spark, '{"schema":"\\"string\\""}', sc.unescape_json) == '{"schema":"string"}'
     assert one(spark, '{"a": /* x */1}/* keep */', sc.strip_comments) == '{"a":1}/* keep */'
     config = {"topics": '["a","b"]', "topic_in": "c", "other": '["x"]'}
@@ -180,4 +181,25 @@ def test_guarded_change(spark):
             ("RUNNING", "UNASSIGNED", "x", "x"), ("RUNNING", None, "x", "x")]
     df = spark.createDataFrame(rows, "a string, b string, c string, d string")
     got = [r[0] for r in df.select(ops.guarded_change(*[F.col(c) for c in "abcd"])).collect()]
-    assert got == [True, False, False, True]
+    assert got == [True, False, True, True]
+
+
+def test_records_cut_short_are_corrupt(spark):
+    whole = bytes(5) + b'{"a":1}'
+    rows = [(whole,), (b"",), (b"\x00\x01",), (bytes(5),), (b"  ",), (b'{"a":2}',)]
+    df = spark.createDataFrame(rows, "value binary")
+    decoded = frames.decode_framed(df, T.StructType([T.StructField("a", T.LongType())]),
+                                   on_corrupt="quarantine")
+    good, bad = frames.quarantine_split(decoded.cache())
+    assert sorted(r["a"] for r in good.collect()) == [1, 2] and bad.count() == 4
+    for value in (b"", b"\x00\x01", bytes(5)):
+        one_bad = spark.createDataFrame([(value,)], "value binary")
+        with pytest.raises(Exception, match="(?i)malformed"):
+            frames.decode_framed(one_bad, T.StructType([T.StructField("a", T.LongType())])).collect()
+
+
+def test_avro_refuses_options_that_do_not_apply(spark):
+    df = spark.createDataFrame([(bytes(6),)], "value binary")
+    for options in ({"on_missing": "fail"}, {"on_corrupt": "quarantine"}):
+        with pytest.raises(ValueError):
+            frames.decode_framed(df, T.StructType([]), codec="avro", **options)

@@ -10,14 +10,21 @@ from pyspark.sql import functions as F
 # Config keys that hold topic names.
 TOPIC_LIST_KEYS = ("topics", "topic_in")
 TOPIC_KEYS = ("topic", "topic_out")
+# How nested JSON is quoted, and the doubled quote before or after a word.
+QUOTED_JSON = (('"{', "{"), ('}"', "}"), ('\\"', '"'))
+DOUBLED_QUOTE = r'""(?=[^",:\]}\s])|(?<=[^",:\[{\s])""'
 ALL_TOPIC_KEYS = TOPIC_LIST_KEYS + TOPIC_KEYS
 
 
 def unescape_json(text: Column) -> Column:
-    """Turn JSON that holds JSON as quoted text into nested JSON; empty text becomes ``[]``."""
+    """Turn JSON that holds JSON as quoted text into nested JSON; empty text becomes ``[]``.
+
+    A doubled quote is undone only where it opens or closes a word, so empty texts stay empty.
+    """
     out = text
-    for old, new in (('"{', "{"), ('}"', "}"), ('\\"', '"'), ('""', '"')):
+    for old, new in QUOTED_JSON:
         out = F.replace(out, F.lit(old), F.lit(new))
+    out = F.regexp_replace(out, DOUBLED_QUOTE, '"')
     return F.when(text == "", F.lit("[]")).otherwise(out)
 
 

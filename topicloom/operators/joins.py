@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from topicloom.session import maybe_broadcast
 
@@ -36,9 +37,29 @@ def earliest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -
     return df.groupBy(*keys).agg(oldest.alias("__row")).select("__row.*")
 
 
+def one_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key, the largest by the other columns that can be ordered; rows without a key stay."""
+    rest = [c for c in df.columns if c not in keys and _ordered(df.schema[c].dataType)]
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    largest = F.max_by(F.struct(*df.columns), F.struct(*rest) if rest else F.lit(0))
+    # Rows without a key match nothing; each keeps a group of its own.
+    apart = F.when(~known, F.monotonically_increasing_id()).alias("__apart")
+    grouped = df.select("*", apart).groupBy(*keys, "__apart").agg(largest.alias("__row"))
+    return grouped.select("__row.*")
+
+
+def _ordered(kind: T.DataType) -> bool:
+    return not isinstance(kind, T.MapType | T.VariantType)
+
+
 def merge_by_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Combine two topics with one row per key: every key of either side, left values win."""
-    a, b = left.alias("a"), right.alias("b")
+    """Combine two topics to one row per key: every key of either side, left values win.
+
+    Of several rows of a key on one side the largest counts, so copies never multiply.
+    """
+    a, b = one_per_key(left, keys).alias("a"), one_per_key(right, keys).alias("b")
     same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
     names = list(left.columns) + [c for c in right.columns if c not in left.columns]
 
@@ -54,9 +75,10 @@ def import_upsert(current: DataFrame, incoming: DataFrame, key: str,
                   overwrite: Sequence[str]) -> DataFrame:
     """Insert unknown keys; for known keys replace only the ``overwrite`` columns.
 
-    Both sides hold one row per key. Incoming values replace current ones even when null.
+    Of several rows of a key on one side the largest counts. Incoming values replace current ones
+    even when null.
     """
-    a, b = current.alias("a"), incoming.alias("b")
+    a, b = one_per_key(current, [key]).alias("a"), one_per_key(incoming, [key]).alias("b")
     joined = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer")
     is_new = F.col(f"a.{key}").isNull()
     untouched = F.col(f"b.{key}").isNull()

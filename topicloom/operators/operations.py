@@ -48,8 +48,12 @@ def status_changes(df: DataFrame, keys: Sequence[str], order: Sequence[str], sta
 
 
 def guarded_change(old: Column, new: Column, old_code: Column, new_code: Column) -> Column:
-    """A status change that counts only while the task still runs the same code."""
-    return is_status_change(old, new) & (F.lower(old_code) == F.lower(new_code))
+    """A status change that counts only while the task still runs the same code.
+
+    Here a running task that is seen unassigned has changed.
+    """
+    seen = F.upper(F.coalesce(new, F.lit(LOST)))
+    return (F.upper(old) != seen) & (F.lower(old_code) == F.lower(new_code))
 
 
 def config_text(config: Column) -> Column:

@@ -18,14 +18,14 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from topicloom.session import materialize
+
 HOT_ROWS = 2_000_000
 MAX_HOT = 10_000
-MAX_CHUNKS = 16_384
 SAMPLES = 200  # sampled rows per hot key, and per chunk
 
 CHUNK, REAL, SEQ = "__chunk", "__real", "__seq"
@@ -71,62 +71,22 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> tup
     return [row["h"] for row in found], int(sum(row["n"] for row in found) / share)
 
 
-def order_number(df: DataFrame, column: str) -> Column:
-    """The column as a double that sorts the same way (nulls first, as Spark sorts them)."""
-    kind = df.schema[column].dataType
-    value = F.col(column)
-    if isinstance(kind, T.DateType | T.TimestampNTZType):
-        value = F.unix_micros(value.cast("timestamp"))
-    elif isinstance(kind, T.TimestampType):
-        value = F.unix_micros(value)
-    elif not isinstance(kind, T.NumericType):
-        raise TypeError(f"cannot cut chunks along {column}: {kind.simpleString()}")
-    return F.coalesce(value.cast("double"), F.lit(float("-inf")))
-
-
-def quantile_cuts(df: DataFrame, value: Column, rows: int, pieces: int) -> list[float]:
-    """About evenly spaced quantiles, from a sample whose size depends on ``pieces`` only."""
-    shares = [i / pieces for i in range(1, pieces)]
-    values = df.select(value.alias("v"))
-    if rows > SAMPLES * pieces:
-        values = values.sample(SAMPLES * pieces / rows, seed=1)
-    found = values.agg(F.percentile_approx("v", shares, 4 * pieces).alias("q")).first()["q"]
-    return list(found or [])
-
-
-def bucketed(df: DataFrame, value: Column, cuts: list[float], name: str) -> DataFrame:
-    splits = [-math.inf, *sorted({c for c in cuts if math.isfinite(c)}), math.inf]
-    if len(splits) == 2:
-        return df.withColumn(name, F.lit(0.0))
-    staged = df.withColumn("__value", value)
-    step = Bucketizer(splits=splits, inputCol="__value", outputCol=name, handleInvalid="keep")
-    return step.transform(staged).drop("__value")
-
-
 def split_hot(df: DataFrame, keys: list[str], order: list[str],
               hot_rows: int | None = None) -> Split:
+    """Rows with a chunk number that grows with the order columns of any type.
+
+    Spark's own range partitioning cuts the rows of hot keys along all order columns, so equal values
+    of one are cut along the next. The cut rows are written once, as a second run could cut elsewhere.
+    """
     hot, rows = hot_keys(df, keys, hot_rows)
     if not hot:
         return Split(df.withColumn(CHUNK, F.lit(0).cast("long")), keys, [])
-    pieces = max(2, min(MAX_CHUNKS, math.ceil(rows / (hot_rows or HOT_ROWS)) * 2))
+    pieces = max(2, math.ceil(rows / (hot_rows or HOT_ROWS)) * 2)
     is_hot = key_hash(keys).isin(hot)
-    first = order_number(df, order[0])
-    hot_df = df.where(is_hot)
-    cuts = quantile_cuts(hot_df, first, rows, pieces)
-    # A value met at two cuts fills at least one chunk alone: cut it along the next column too.
-    heavy = sorted({c for c in cuts if cuts.count(c) > 1})
-    staged = bucketed(df, first, cuts, "__first")
-    width = 1
-    inner = F.lit(0)
-    if heavy and len(order) > 1:
-        second = order_number(df, order[1])
-        inner_cuts = quantile_cuts(hot_df.where(first.isin(heavy)), second, rows, pieces)
-        staged = bucketed(staged, second, inner_cuts, "__second")
-        width = len(inner_cuts) + 3
-        inner = F.when(first.isin(heavy), F.col("__second")).otherwise(F.lit(width - 1))
-    chunk = F.when(is_hot, F.col("__first") * width + inner).otherwise(F.lit(0))
-    staged = staged.withColumn(CHUNK, chunk.cast("long")).drop("__first", "__second")
-    return Split(staged, keys, hot)
+    cut = df.where(is_hot).repartitionByRange(pieces, *order)
+    cut = materialize(cut.withColumn(CHUNK, F.spark_partition_id().cast("long") + 1), "chunks")
+    cold = df.where(~is_hot).withColumn(CHUNK, F.lit(0).cast("long"))
+    return Split(cold.unionByName(cut), keys, hot)
 
 
 def over_last_rows(df: DataFrame, keys: list[str], order: list[str], back: int,
@@ -253,6 +213,17 @@ def except_all(left: DataFrame, right: DataFrame, keys: list[str], order: list[s
     Rows are numbered and kept where they are; the copies of a hot key are never rebuilt from a
     count in one task.
     """
+    return _against_counts(left, right, keys, order, hot_rows, F.col("__place") > F.col("__taken"))
+
+
+def intersect_all(left: DataFrame, right: DataFrame, keys: list[str], order: list[str],
+                  hot_rows: int | None = None) -> DataFrame:
+    """As many left rows of each key as the right side has, numbered as in ``except_all``."""
+    return _against_counts(left, right, keys, order, hot_rows, F.col("__place") <= F.col("__taken"))
+
+
+def _against_counts(left: DataFrame, right: DataFrame, keys: list[str], order: list[str],
+                    hot_rows: int | None, kept: Column) -> DataFrame:
     numbered = running_sums(left, keys, order, {"__place": F.lit(1)}, hot_rows)
     taken = right.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(
         F.count("*").alias("__taken"))
@@ -260,8 +231,8 @@ def except_all(left: DataFrame, right: DataFrame, keys: list[str], order: list[s
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
     return (
-        numbered.join(taken, same, "left")
-        .where(F.col("__place") > F.coalesce("__taken", F.lit(0)))
+        numbered.join(taken, same, "left").withColumn("__taken", F.coalesce("__taken", F.lit(0)))
+        .where(kept)
         .drop("__place", "__taken", *[f"__k_{k}" for k in keys])
     )
 
@@ -272,12 +243,13 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
     """Left rows with the latest right row of the same key at or before their time.
 
     ``take`` maps right columns to output names. Both sides go through one shuffle and one sort;
-    nothing is paired up. ``tie`` (numeric) orders right rows of equal time.
+    nothing is paired up. ``tie`` orders right rows of equal time.
     """
-    tied = F.col(tie).cast("double") if tie else F.lit(0.0)
+    tied = F.col(tie) if tie else F.lit(0)
+    kind = right.schema[tie].dataType if tie else T.IntegerType()
     payload = F.struct(*[F.col(c).alias(n) for c, n in take.items()])
     l_rows = left.select(*by, F.col(left_time).alias("__t"), F.lit(1).alias("__side"),
-                         F.lit(None).cast("double").alias("__tie"),
+                         F.lit(None).cast(kind).alias("__tie"),
                          F.struct(*left.columns).alias("__left"))
     r_rows = right.where(F.col(right_time).isNotNull()).select(
         *by, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), tied.alias("__tie"),

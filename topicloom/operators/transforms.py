@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Predicate = Column | str
 _PROGRAMS: dict[str, Callable[..., DataFrame]] = {}
@@ -93,11 +94,22 @@ def name_matches(column: str, pattern: str) -> Column:
 
 def explode_parts(df: DataFrame, array: str, part: str = "part", placeholder: str = "_e",
                   with_placeholder: bool = True) -> DataFrame:
-    """One row per sub-task; a task without any keeps one placeholder row."""
+    """One row per sub-task; a task without any keeps one placeholder row.
+
+    Parts are texts or records; a placeholder record has the placeholder as its first field and
+    nulls elsewhere. A null part of a list that has parts stays null.
+    """
     if not with_placeholder:
         return df.withColumn(part, F.explode(array))
-    exploded = df.withColumn(part, F.explode_outer(array))
-    return exploded.withColumn(part, F.coalesce(part, F.lit(placeholder)))
+    kind = df.schema[array].dataType.elementType
+    filler = F.lit(placeholder)
+    if isinstance(kind, T.StructType):
+        first, *others = kind.fields
+        filler = F.struct(filler.cast(first.dataType).alias(first.name),
+                          *(F.lit(None).cast(f.dataType).alias(f.name) for f in others))
+    parts = F.when(F.size(F.coalesce(F.col(array), F.array().cast(df.schema[array].dataType))) > 0,
+                   F.col(array)).otherwise(F.array(filler))
+    return df.withColumn(part, F.explode(parts))
 
 
 def sort_by(df: DataFrame, field: str, ascending: bool = True,

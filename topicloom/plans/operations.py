@@ -91,15 +91,21 @@ def with_status(events):
 
 
 @query("guarded_changes", """
-SELECT l_orderkey, l_linenumber, l_linestatus AS old_status, o_orderstatus AS new_status
+SELECT l_orderkey, l_linenumber,
+  CASE l_linestatus WHEN 'O' THEN 'RUNNING' ELSE l_linestatus END AS old_status,
+  CASE o_orderstatus WHEN 'P' THEN 'UNASSIGNED' WHEN 'O' THEN 'running' ELSE o_orderstatus END AS new_status
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-WHERE l_linestatus <> o_orderstatus AND l_partkey % 2 = l_suppkey % 2""")
+WHERE NOT (l_linestatus = 'O' AND o_orderstatus = 'O') AND NOT (l_linestatus = 'F' AND o_orderstatus = 'F')
+  AND l_partkey % 2 = l_suppkey % 2""")
 def guarded_changes(t):
     old_code = F.concat(F.lit("CODE"), (F.col("l_partkey") % 2).cast("string"))
     new_code = F.concat(F.lit("code"), (F.col("l_suppkey") % 2).cast("string"))
-    now = t.orders.select("o_orderkey", F.col("o_orderstatus").alias("new_status"))
-    both = t.lineitem.join(now, F.col("l_orderkey") == F.col("o_orderkey")).withColumnRenamed(
-        "l_linestatus", "old_status")
+    seen = F.col("o_orderstatus")
+    new = F.when(seen == "P", "UNASSIGNED").when(seen == "O", "running").otherwise(seen)
+    old = F.when(F.col("l_linestatus") == "O", "RUNNING").otherwise(F.col("l_linestatus"))
+    now = t.orders.select("o_orderkey", new.alias("new_status"))
+    both = t.lineitem.join(now, F.col("l_orderkey") == F.col("o_orderkey")).withColumn(
+        "old_status", old)
     changed = ops.guarded_change(F.col("old_status"), F.col("new_status"), old_code, new_code)
     return both.where(changed).select("l_orderkey", "l_linenumber", "old_status", "new_status")
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from topicloom.operators import transforms as tf
 from topicloom.operators.aggregates import category, word_count
-from topicloom.operators.ordered import except_all
+from topicloom.operators.ordered import except_all, intersect_all
 from topicloom.plans.registry import money, query
 from topicloom.sources.topics import register_views
 
@@ -140,22 +140,38 @@ def agg_grouping_sets(t):
 
 
 @query("agg_count_distinct", """
-SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT props) AS props
-FROM events GROUP BY event_type""")
+SELECT nullif(event_type, 'view') AS event_type, count(DISTINCT user_id) AS users,
+       count(DISTINCT props) AS props
+FROM events GROUP BY 1""")
 def agg_count_distinct(t):
     # One exchange per distinct column, each summed up before it: lighter than expanding rows.
-    users = t.events.select("event_type", "user_id").distinct().groupBy("event_type").agg(
+    events = t.events.withColumn("event_type", F.nullif("event_type", F.lit("view")))
+    users = events.select("event_type", "user_id").distinct().groupBy("event_type").agg(
         F.count("user_id").alias("users"))
-    props = t.events.select("event_type", "props").distinct().groupBy("event_type").agg(
+    props = events.select(F.col("event_type").alias("kind"), "props").distinct().groupBy("kind").agg(
         F.count("props").alias("props"))
-    return users.join(props, "event_type")
+    # The group without a type has to meet itself as well.
+    return users.join(props, F.col("event_type").eqNullSafe(F.col("kind"))).drop("kind")
 
 
-@query("agg_approx_distinct")
+@query("agg_approx_distinct", """
+SELECT l_returnflag, true AS orders_close, true AS median_close
+FROM lineitem GROUP BY l_returnflag""")
 def agg_approx_distinct(t):
-    return t.lineitem.groupBy("l_returnflag").agg(
-        F.approx_count_distinct("l_orderkey").alias("orders"),
-        F.percentile_approx("l_extendedprice", 0.5, 1000).alias("median_price"))
+    """Whether both sketches lie within their bounds of the exact values."""
+    found = t.lineitem.groupBy("l_returnflag").agg(
+        F.approx_count_distinct("l_orderkey", 0.02).alias("orders"),
+        F.percentile_approx("l_extendedprice", 0.5, 1000).alias("median"))
+    exact = t.lineitem.select("l_returnflag", "l_orderkey").distinct().groupBy(
+        F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("exact"))
+    price = F.col("l_extendedprice")
+    ranks = t.lineitem.join(found, "l_returnflag").groupBy("l_returnflag").agg(
+        F.first("orders").alias("orders"), F.count("*").alias("rows"),
+        F.count_if(price <= F.col("median")).alias("below"))
+    return ranks.join(exact, F.col("l_returnflag") == F.col("flag")).select(
+        "l_returnflag",
+        (F.abs(F.col("orders") - F.col("exact")) <= 0.06 * F.col("exact")).alias("orders_close"),
+        (F.abs(F.col("below") / F.col("rows") - 0.5) <= 0.002).alias("median_close"))
 
 
 @query("multi_topic_union", """
@@ -207,6 +223,14 @@ def set_intersect(t):
         finished.distinct())
 
 
+@query("set_intersect_all", """
+SELECT user_id AS k FROM events INTERSECT ALL SELECT o_custkey FROM orders""")
+def set_intersect_all(t):
+    left = t.events.select(F.col("user_id").alias("k"), "event_id")
+    return intersect_all(left, t.orders.select(F.col("o_custkey").alias("k")), ["k"],
+                         ["event_id"]).select("k")
+
+
 @query("set_except", """
 SELECT o_orderkey AS k FROM orders EXCEPT SELECT l_orderkey FROM lineitem
 WHERE l_returnflag = 'R'""")

@@ -79,12 +79,14 @@ def flat_file_lines(t):
 
 
 @query("csv_project", """
-SELECT CAST(event_id AS VARCHAR) AS id, event_type AS name, props AS comments FROM events""")
+SELECT CAST(event_id AS VARCHAR) AS id, event_type AS name, round(value, 2) AS score,
+       props AS comments FROM events""")
 def csv_project(t):
     path = fresh_dir(t.spark, "csv")
     files.write_csv(t.events.select("event_id", "event_type", "value", "props"), path)
     text = files.read_csv_text(t.spark, path, ["id", "name", "score", "comments"], sep="|")
-    return text.select("id", "name", "comments")
+    return text.select("id", "name", F.round(F.col("score").cast("double"), 2).alias("score"),
+                       "comments")
 
 
 @query("json_documents", """

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from topicloom.functions.types import avro_to_struct, struct_to_avro
 
 CORRUPT = "_corrupt_record"
+NO_RECORD = "{"  # no JSON, so it is treated like any other corrupt body
 
 
 def frame_parts(value: Column) -> dict[str, Column]:
@@ -48,11 +49,15 @@ def decode_framed(df: DataFrame, schema: T.StructType | str, value: str = "value
     struct = avro_to_struct(schema) if isinstance(schema, str) else schema
     parts = split_frame(df, value).drop(value)
     if codec == "avro":
+        if on_missing != "null" or on_corrupt != "fail":
+            raise ValueError("Avro bodies know on_missing='null' and on_corrupt='fail' only")
         avro = schema if isinstance(schema, str) else struct_to_avro(schema, "record")
         return parts.withColumn("__r", _from_avro(F.col("body"), avro)).select(
             *[c for c in parts.columns if c != "body"], "__r.*")
 
-    text = F.col("body").cast("string")
+    # An empty body, or a frame cut off in its head, holds no record.
+    whole = F.when(~F.col("framed") | F.col("schema_id").isNotNull(), F.col("body"))
+    text = F.coalesce(F.nullif(F.trim(whole.cast("string")), F.lit("")), F.lit(NO_RECORD))
     # Fields stay optional here; whether absence is an error is decided by `on_missing`.
     target = T.StructType([T.StructField(f.name, f.dataType, True) for f in struct.fields])
     mode = "FAILFAST"
