@@ -177,6 +177,42 @@ def test_stream_join_with_hot_key(spark, hot_rows):
     assert sorted(map(tuple, got)) == sorted(want) and want
 
 
+@pytest.mark.parametrize("first,later", [(10**9, 5), (5, 10**9)])
+@pytest.mark.parametrize("what", ["join", "distinct"])
+def test_restart_after_a_key_became_hot_or_cool(spark, first, later, what):
+    """The job keeps the spread it was created with, so no state is lost and any restart starts."""
+    data = rows(160)
+    rng = random.Random(3)
+    rng.shuffle(data)  # files do not arrive in order of time either
+    topics = topic_in_pieces(spark, data[:80], 3)
+    job, checkpoint = fresh_dir(spark, "job"), fresh_dir(spark, "cp")
+
+    def run(hot_rows):
+        stream = topics.stream("t", files_per_batch=1)
+        keys = ["user"] if what == "join" else ["user", "kind"]
+        hot, salt = st.job_spread(spark, job, topics.read("t"), keys, hot_rows)
+        if what == "join":
+            out = st.stream_interval_join(
+                stream.where("kind = 'click'").select("user", F.col("id").alias("a"), F.col("ts").alias("ta")),
+                stream.where("kind = 'buy'").select("user", F.col("id").alias("b"), F.col("ts").alias("tb")),
+                keys, "ta", "tb", "30 minutes", "3 hours", F.col("a"), hot, salt).select("a", "b")
+        else:
+            out = st.stream_distinct(stream, keys, spread=F.col("id"), hot=hot, salt=salt)
+        runs.drain(topics.publish(out, "out", checkpoint))
+        return bool(hot)
+
+    was_hot = run(first)
+    assert was_hot == (first == 5)
+    topics.append(spark.createDataFrame(data[80:], SCHEMA), "t")
+    assert run(later) == was_hot
+    got = sorted(map(tuple, topics.read("out").collect()))
+    if what == "join":
+        assert got == sorted((x[0], y[0]) for x in data for y in data if x[1] == y[1] and x[3] == "click"
+                             and y[3] == "buy" and timedelta(0) <= y[2] - x[2] <= timedelta(minutes=30))
+    else:
+        assert got == sorted({(x[1], x[3]) for x in data})
+
+
 @pytest.mark.parametrize("limits", [{}, {"ts": "ts", "delay": "1 day"}])
 @pytest.mark.parametrize("hot_rows", [20, 10**9])
 def test_stream_distinct(spark, limits, hot_rows):

@@ -6,7 +6,7 @@ from topicloom.operators import operations as ops
 from topicloom.operators import transforms as tf
 from topicloom.operators.aggregates import tumble
 from topicloom.operators.joins import lookup
-from topicloom.operators.ordered import hot_keys, over_last_rows
+from topicloom.operators.ordered import over_last_rows
 from topicloom.operators.scripts import run_stream_sql
 from topicloom.plans.operations import with_status
 from topicloom.plans.registry import query
@@ -30,6 +30,12 @@ def _sink(t, stream):
     return topics.read("out", stream.schema)
 
 
+def _span(df, ts):
+    """Delay under which no row of a bounded table is late, however its files arrive."""
+    least, most = df.agg(F.min(ts), F.max(ts)).first()
+    return f"{int((most - least).total_seconds()) + 1 if most else 0} seconds"
+
+
 def _latest(t, stream, keys):
     path = fresh_dir(t.spark, "changes")
     drain(write_batches(stream, path, fresh_dir(t.spark, "checkpoint"), "update"))
@@ -92,7 +98,7 @@ def framed_stream_sql(t):
 SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n,
        round(sum(value), 2) AS total_value FROM events GROUP BY 1, 2""")
 def stream_tumble(t):
-    events = with_event_time(t.stream("events")).withWatermark("ts", "2 days")
+    events = with_event_time(t.stream("events")).withWatermark("ts", _span(t.events, "ts"))
     windows = tumble(events, "ts", "1 hour", ["event_type"], n=F.count("*"),
                      total_value=F.round(F.sum("value"), 2))
     return as_plain_time(_latest(t, windows, ["window_start", "event_type"]), "window_start")
@@ -109,8 +115,9 @@ def stream_agg_final(t):
 @query("stream_distinct", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_distinct(t):
     columns = ["user_id", "event_type"]
+    hot, salt = st.job_spread(t.spark, fresh_dir(t.spark, "job"), t.events, columns)
     return _sink(t, st.stream_distinct(t.stream("events"), columns, spread=F.col("event_id"),
-                                       hot=hot_keys(t.events, columns)[0]))
+                                       hot=hot, salt=salt))
 
 
 @query("stream_interval_join", """
@@ -124,9 +131,10 @@ def stream_interval_join(t):
         "user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("clicked"))
     buys = events.where("event_type = 'purchase'").select(
         "user_id", F.col("event_id").alias("purchase_id"), F.col("ts").alias("bought"))
+    sides = t.events.where("event_type IN ('click', 'purchase')")
+    hot, salt = st.job_spread(t.spark, fresh_dir(t.spark, "job"), sides, ["user_id"])
     pairs = st.stream_interval_join(clicks, buys, ["user_id"], "clicked", "bought", "2 hours",
-                                    "1 hour", spread=F.col("click_id"),
-                                    hot=hot_keys(t.events, ["user_id"])[0])
+                                    _span(t.events, "ts"), spread=F.col("click_id"), hot=hot, salt=salt)
     out = _sink(t, pairs.select("click_id", "purchase_id", "user_id", "clicked"))
     return as_plain_time(out, "clicked")
 

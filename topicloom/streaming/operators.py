@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,11 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
-from topicloom.operators.ordered import key_hash, last_rows
-from topicloom.session import maybe_broadcast, path_exists, remove_path
+from topicloom.operators.ordered import hot_keys, key_hash, last_rows
+from topicloom.session import PARTITIONS, maybe_broadcast, path_exists, remove_path
 
-JOIN_SALT = 8
+JOIN_SALT = 8  # groups a hot key is spread over where no share was measured
+MOST_SALT = 256
 SNAPSHOT_EVERY = 20
+SPREAD = "salt int, hot array<long>"
 
 
 def over_stream_rows(stream: DataFrame, path: str, state: str, checkpoint: str,
@@ -76,13 +79,31 @@ def carried_rows(spark: SparkSession, state: str, schema: StructType, keys: list
     return kept.drop("__age", "batch_id")
 
 
+def job_spread(spark: SparkSession, folder: str, df: DataFrame, keys: Sequence[str],
+               hot_rows: int | None = None) -> tuple[list[int], int]:
+    """Hashes of a job's hot keys and the groups to spread them over, the same at every restart.
+
+    State is laid out by them, so they are measured once, on what the topic holds when the job is
+    created, and kept beside its checkpoint. A key that becomes hot later stays in one group.
+    """
+    path = f"{folder}/spread"
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        hot, rows = hot_keys(df, list(keys), hot_rows)
+        share = rows / max(1, df.count()) if hot else 0.0
+        tasks = int(spark.conf.get(PARTITIONS))
+        salt = min(MOST_SALT, max(2, math.ceil(share * tasks)))
+        spark.createDataFrame([(salt, hot)], SPREAD).coalesce(1).write.mode("overwrite").parquet(path)
+    kept = spark.read.schema(SPREAD).parquet(path).first()
+    return list(kept["hot"]), kept["salt"]
+
+
 def stream_interval_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str,
                          right_ts: str, within: str, delay: str, spread: Column,
                          hot: Sequence[int] = (), salt: int = JOIN_SALT) -> DataFrame:
     """Inner join of two streams: right events of the same key up to ``within`` after the left one.
 
-    ``hot`` holds the hashes of hot keys, as ``ordered.hot_keys`` measures them on the records a
-    topic already has. Their state is spread over ``salt`` groups: left rows go to one of them by
+    ``hot`` and ``salt`` come from ``job_spread`` and must not change while a checkpoint lives. The state
+    of hot keys is spread over ``salt`` groups: left rows go to one of them by
     ``spread``, right rows to all. Watermarks let state older than the interval go. Apart from
     ``by``, column names of the two sides differ.
     """
@@ -107,8 +128,9 @@ def stream_distinct(stream: DataFrame, columns: Sequence[str], ts: str | None =
                     hot: Sequence[int] = (), salt: int = JOIN_SALT) -> DataFrame:
     """Each combination once. With a watermark, state of old combinations is let go.
 
-    Hot combinations (hashes as ``ordered.hot_keys`` measures them) are first thinned out in
-    ``salt`` groups chosen by ``spread``, so their rows do not all reach one task.
+    Hot combinations (``job_spread``) are first thinned out in ``salt`` groups chosen by ``spread``, so
+    their rows do not all reach one task. Both steps are there without hot combinations as well, so
+    that a job has the same state at every start.
     """
     rows = stream.withWatermark(ts, delay) if ts and delay else stream
 
@@ -117,8 +139,7 @@ def stream_distinct(stream: DataFrame, columns: Sequence[str], ts: str | None =
             return df.dropDuplicatesWithinWatermark(names)
         return df.select(*names).dropDuplicates(names)
 
-    if hot:
-        part = F.when(key_hash(list(columns)).isin(list(hot)),
-                      F.pmod(F.xxhash64(spread), F.lit(salt))).otherwise(0)
-        rows = once(rows.withColumn("__salt", part), [*columns, "__salt"])
+    spread = F.lit(0) if spread is None else spread
+    part = F.when(key_hash(list(columns)).isin(list(hot)), F.pmod(F.xxhash64(spread), F.lit(salt)))
+    rows = once(rows.withColumn("__salt", F.coalesce(part, F.lit(0))), [*columns, "__salt"])
     return once(rows, list(columns)).select(*columns)
