@@ -73,7 +73,8 @@ def test_odd_rows_over_many_files(spark, monkeypatch, file_ids, shard_bytes):
     monkeypatch.setattr(shards, "SHARD_BYTES", shard_bytes)
     df = documents(spark)
     rows = [(r.doc_id, r.text) for r in df.collect()]
-    rows += [(40 + k, t) for k, t in enumerate(["<|endoftext|> x<|startoftext|>y", "I'm DON'T a1b22", "é É"])]
+    rows += [(40 + k, t) for k, t in enumerate(["<|endoftext|> x<|startoftext|>y", "I'm DON'T a1b22", "é É Größe, ÀÉ! ŒUVRE... İstanbul ΣΑΣ e\u0301a ﬁn _x, it's,",
+        "ß ſ ŉ ǅ ǆ ÿ ĸ ª º ² the, the. the!! ,the ..."])]
     folder, manifest = tf.write_tokens(documents(spark, rows))
     assert got(tf.read_tokens(folder, manifest)) == expected(rows)
     if file_ids == 50:
@@ -89,5 +90,13 @@ def test_forgetting_changes_nothing(monkeypatch):
             text, add_special_tokens=False).ids
 
 
+def test_every_latin_letter(spark):
+    chunks, plain_ids = tf.Chunks(tf.tokenizer_text()), Tokenizer.from_str(tf.tokenizer_text())
+    letters = [chr(c) for c in range(32, 0x260) if not chr(c).isspace()]
+    texts = [f"{c} a{c}b {c}{c}, {c}." for c in letters]
+    for text, ids in zip(texts, chunks.encode_all(texts)):
+        assert np.frombuffer(ids, np.uint32).tolist() == plain_ids.encode(text, add_special_tokens=False).ids, text
+
+
 def test_empty_table(spark):
     assert plain(tf.read_tokens(*tf.write_tokens(empty(spark)))).empty

@@ -85,7 +85,8 @@ def write_shards(rows: DataFrame, shards: int, order: list[str],
         writer(batches, out)
         yield out.manifest()
 
-    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", *order)
+    # One shard in one partition, not two by the chance of a hash.
+    dealt = rows.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", *order)
     manifest = materialize(dealt.mapInArrow(run, MANIFEST_DDL), f"{label}-written")
 
     def rename(batches):

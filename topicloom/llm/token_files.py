@@ -21,6 +21,7 @@ ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from functools import partial
@@ -42,8 +43,10 @@ from topicloom.session import materialize
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 BLOCK = 4096
-FILE_IDS = 4_000_000  # a file is closed at this many ids
-KNOWN_CHUNKS = 300_000  # chunks a worker remembers, and as many it met before those
+FILE_IDS = 2_000_000  # a file is closed at this many ids
+KNOWN_CHUNKS = 200_000  # chunks a worker remembers, and as many it met before those
+# Latin letters that are one code point lowered and composed, then marks.
+_LETTERS = re.compile("([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([.,;:!?]*)")
 MAGIC = b"S8BTOKEN"
 HEAD = struct.Struct("<8s6q")
 
@@ -178,31 +181,44 @@ class TokenFile:
 
 
 class Chunks:
-    """The library's tokenizer, called once per distinct chunk of text between white space."""
+    """The library's tokenizer, called once per distinct chunk of text between white space.
+
+    Most chunks are letters with marks behind them. The tokenizer lowers and spells them byte by byte and
+    cuts them there, so its model alone is asked for the letters.
+    """
 
     def __init__(self, model: str):
         self.tokenizer = Tokenizer.from_str(model)
-        self.mark = "<|startoftext|>"
-        self.mark_id = self.tokenizer.token_to_id(self.mark)
+        self.spelling: dict[str, str] = {}
+        self.marks: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def learn(self, chunks: list[str]) -> None:
-        """Encode many chunks in one call, apart from each other by a special token."""
-        odd = [c for c in chunks if "<|" in c]
-        usual = [c for c in chunks if "<|" not in c]
-        for low in range(0, len(usual), 20_000):
-            part = usual[low:low + 20_000]
-            ids = self.plain(self.mark.join(part))
-            cut = np.flatnonzero(ids == self.mark_id)
-            data = ids.tobytes()
-            begins, ends = [0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), len(data)]
-            self.known.update(zip(part, (data[a:b] for a, b in zip(begins, ends))))
-        for chunk in odd:
-            self.known[chunk] = self.plain(chunk).tobytes()
+    def letters(self, word: str) -> bytes:
+        """A word of letters is one piece of text for the tokenizer's model."""
+        spelled = "".join([self.spelling.get(c) or self._spell(c) for c in word.lower()])
+        return np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], np.uint32).tobytes()
+
+    def _spell(self, char: str) -> str:
+        self.spelling[char] = found = self.tokenizer.pre_tokenizer.pre_tokenize_str(char)[0][0]
+        return found
+
+    def chunk(self, chunk: str) -> bytes:
+        """Letters and the marks behind them are pieces of their own; anything else goes in whole."""
+        parts = _LETTERS.fullmatch(chunk)
+        if parts is None:
+            return self.plain(chunk).tobytes()
+        word, marks = parts.groups()
+        if not marks:
+            return self.letters(word)
+        if marks not in self.marks:
+            if len(self.marks) > KNOWN_CHUNKS:
+                self.marks.clear()
+            self.marks[marks] = self.plain(marks).tobytes()
+        return (self.known.get(word) or self.letters(word)) + self.marks[marks]
 
     def encode_all(self, texts) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
@@ -212,7 +228,8 @@ class Chunks:
         fresh = {x for chunks in split for x in chunks}.difference(self.known)
         again = fresh.intersection(self.older)
         self.known.update((x, self.older[x]) for x in again)
-        self.learn(list(fresh - again))
+        for chunk in sorted(fresh - again, key=len):  # words come before the same with marks
+            self.known[chunk] = self.chunk(chunk)
         find = self.known.__getitem__
         return [b"".join(map(find, chunks)) for chunks in split]
 
