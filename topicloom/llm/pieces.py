@@ -40,6 +40,7 @@ KNOWN_PAIRS = 1_000_000
 PORTION_CHARS = 2_000_000  # characters that one run of the automaton takes
 FIRST = np.iinfo(np.int64).min
 _SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+_MARKS = re.compile(r"(.*\w)(\W+)\Z", re.S)  # a word and the marks behind it
 _BYTE = re.compile(r"^<0x([0-9A-F]{2})>$")
 
 
@@ -83,7 +84,9 @@ class Pieces:
         self.weights = np.array(self.scores)
         self.automaton = ahocorasick.Automaton()
         for name, k in self.ids.items():
-            self.automaton.add_word(name, k)
+            if len(name) > 1:  # single characters need no search
+                self.automaton.add_word(name, k)
+        self.neighbours = {name[k:k + 2] for name in self.ids for k in range(len(name) - 1)}
         self.automaton.make_automaton()
         self.separate: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
@@ -122,11 +125,12 @@ class Pieces:
         ends, pieces = found[::2] + 1, found[1::2]
         begins = ends - self.lengths[pieces]
         distinct, place = np.unique(chars, return_inverse=True)
-        bare = np.array([chr(c) not in self.ids for c in distinct])[place]
-        bare[np.cumsum(sizes + 1)[:-1] - 1] = False  # the separators
-        at = np.flatnonzero(bare)
+        single = np.array([self.ids.get(chr(c), -1 - c) for c in distinct.tolist()])[place]
+        inside = np.ones(len(chars), bool)
+        inside[np.cumsum(sizes + 1)[:-1] - 1] = False  # the separators
+        at = np.flatnonzero(inside)
         begins, ends = np.r_[begins, at], np.r_[ends, at + 1]
-        pieces = np.r_[pieces, -1 - chars[at]]
+        pieces = np.r_[pieces, single[at]]
         first = np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)
         offset = ends - first[begins]
         order = np.lexsort((begins, ends, offset))
@@ -199,8 +203,14 @@ class Pieces:
         again = fresh.intersection(self.older)
         self.known.update((x, self.older[x]) for x in again)
         fresh -= again
+        # No piece holds the two characters around such a cut, so both sides are encoded by themselves.
+        cut = {x: (m.group(1), m.group(2)) for x in fresh
+               if (m := _MARKS.match(x)) and x[m.end(1) - 1:m.end(1) + 1] not in self.neighbours}
+        fresh.difference_update(cut)
+        fresh.update(part for both in cut.values() for part in both if part not in self.known)
         for part in _portions(sorted(fresh, key=len)):
             self.known.update(zip(part, self.viterbi(part)))
+        self.known.update((x, self.known[a] + self.known[b]) for x, (a, b) in cut.items())
         find = self.known.__getitem__
         return [np.frombuffer(b"".join(map(find, segments)), np.int32) for segments in split]
 
