@@ -52,6 +52,22 @@ def test_upsert_and_delete(spark, subjects):
     assert s.delete_subjects(subjects, gone).count() == 4
 
 
+def test_several_changes_of_a_subject(spark):
+    subjects = spark.createDataFrame([("a", 1, 5, "j1", None), ("b", 3, 6, "k", "NONE")],
+                                     "subject string, version long, schema_id long, schema_json string, "
+                                     "compatibility string")
+    changes = spark.createDataFrame(
+        [("a", "j1", "FULL", 1), ("a", "j2", None, 2), ("a", "j2", "BACKWARD", 3), ("a", "j1", None, 4),
+         ("b", "k", None, 1), ("c", "n", None, 1), ("c", "n", "FULL", 2)],
+        "subject string, schema_json string, compatibility string, at long")
+    after = s.upsert_schemas(subjects, changes, ["at"]).collect()
+    got = sorted((r["subject"], r["version"], r["schema_json"], r["compatibility"]) for r in after)
+    assert got == [("a", 1, "j1", "FULL"), ("a", 2, "j2", "BACKWARD"), ("a", 3, "j1", None), ("b", 3, "k", "NONE"),
+                   ("c", 1, "n", "FULL")]
+    ids = [r["schema_id"] for r in after]
+    assert len(set(ids)) == len(ids) and sorted(ids)[:2] == [5, 6] and max(ids) == 9
+
+
 def test_compat_check():
     def record(*fields):
         return json.dumps({"type": "record", "name": "r", "fields": list(fields)})

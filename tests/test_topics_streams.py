@@ -157,6 +157,51 @@ def test_pause_resume_and_failing_action(spark):
     assert spark.read.parquet(path).count() == 30
 
 
+def test_a_running_job_is_paused_and_resumed(spark):
+    topics = topic_in_pieces(spark, rows(40)[:20], 4)
+    path, checkpoint = fresh_dir(spark, "live"), fresh_dir(spark, "cp")
+    queries = []
+
+    def start():
+        stream = topics.stream("t", files_per_batch=1)
+        queries.append(runs.write_batches(stream, path, checkpoint,
+                                          trigger={"processingTime": "200 milliseconds"}))
+        return queries[-1]
+
+    def stored():
+        return spark.read.parquet(path).count() if os.path.isdir(path) and os.listdir(path) else 0
+
+    def until(rows_there):
+        limit = time.time() + 60
+        while stored() < rows_there:
+            assert time.time() < limit and queries[-1].exception() is None
+            time.sleep(0.2)
+
+    task = runs.StreamTask(start)
+    task.resume()
+    until(5)
+    assert queries[0].isActive
+    task.pause()
+    assert not queries[0].isActive and task.status == "PAUSED"
+    topics.append(spark.createDataFrame(rows(40)[20:], SCHEMA).coalesce(1), "t")
+    task.resume()
+    until(40)
+    task.pause()
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == list(range(40))
+
+
+def test_file_counts_as_new_by_path_or_by_name(spark, tmp_path):
+    for overwrite, want in ((True, 2), (False, 1)):
+        topics, checkpoint = tp.Topics(spark), fresh_dir(spark, "cp")
+        base = tmp_path / str(overwrite)
+        for folder in ("a", "b"):
+            (base / folder).mkdir(parents=True)
+            (base / folder / "x.json").write_text('{"id": 1}')
+        runs.drain(files.file_to_topic(topics, f"{base}/*", "*.json", "t", spark.range(1).schema,
+                                       checkpoint, overwrite=overwrite))
+        assert topics.read("t").count() == want
+
+
 @pytest.mark.parametrize("hot_rows", [20, 10**9])
 def test_stream_join_with_hot_key(spark, hot_rows):
     data = rows(120)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.operators.joins import not_matching
-from topicloom.operators.ordered import running_sums
+from topicloom.operators.ordered import over_last_rows, running_sums
 from topicloom.session import materialize
 
 # Subjects with these name parts are internal; the compatibility default.
@@ -69,19 +70,42 @@ def register_absent(subjects: DataFrame, candidates: DataFrame,
     return subjects.select(*added.columns).unionByName(added)
 
 
-def upsert_schemas(subjects: DataFrame, changes: DataFrame) -> DataFrame:
-    """Replace or add (subject, schema_json, compatibility); a change becomes the next version."""
-    tops = subjects.groupBy("subject").agg(F.max("version").alias("__top"))
-    top_id = subjects.agg(F.coalesce(F.max("schema_id"), F.lit(0)).alias("m")).first()["m"]
-    fresh = changes.select(
+def upsert_schemas(subjects: DataFrame, changes: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Add or replace schemas by changes (subject, schema_json, compatibility), in ``order``.
+
+    Each change of a subject becomes its next version. One that repeats the schema before it makes no
+    version; the compatibility it brings is set on the version it repeats. Changes of one subject that
+    ``order`` does not tell apart are taken in the order of their text.
+    """
+    tops = latest_schemas(subjects).select("subject", "schema_json", F.col("version").alias("__top"))
+    named = changes.select(
         F.coalesce("subject", F.get_json_object("schema_json", "$.name")).alias("subject"),
-        "schema_json", "compatibility").withColumn("__h", F.xxhash64("subject"))
-    numbered = running_sums(fresh, [], ["__h", "subject"], {"__n": F.lit(1)})
-    added = numbered.join(tops, "subject", "left").select(
-        "subject", (F.coalesce("__top", F.lit(0)) + 1).cast("long").alias("version"),
-        (F.col("__n") + F.lit(top_id)).cast("long").alias("schema_id"), "schema_json",
-        "compatibility")
-    return subjects.select(*added.columns).unionByName(added)
+        "schema_json", "compatibility", *order).withColumn("__step", F.lit(1))
+    start = tops.drop("__top").withColumn("__step", F.lit(0))
+    steps = materialize(named.unionByName(start, allowMissingColumns=True), "schema-changes")
+    chain = ["__step", *order, "schema_json"]
+    seen = over_last_rows(steps, ["subject"], chain, 1,
+                          {"__before": lambda w: F.lag("schema_json").over(w)})
+    is_new = (F.col("__step") == 1) & ~F.col("schema_json").eqNullSafe(F.col("__before"))
+    counted = running_sums(seen.withColumn("__new", is_new.cast("int")), ["subject"], chain,
+                           {"__n": F.col("__new")})
+    versioned = counted.where("__step = 1").join(tops.select("subject", "__top"), "subject", "left")
+    top = F.coalesce("__top", F.lit(0))
+    given = F.max_by("compatibility", F.when(F.col("compatibility").isNotNull(), F.struct(*chain)))
+    found = materialize(
+        versioned.groupBy("subject", (top + F.col("__n")).cast("long").alias("version"),
+                          (F.col("__n") > 0).alias("__added"))
+        .agg(F.min("schema_json").alias("schema_json"), given.alias("compatibility")), "schema-versions")
+    repeated = found.where("NOT __added").select(
+        "subject", "version", F.col("compatibility").alias("__given"))
+    kept = subjects.join(repeated, ["subject", "version"], "left").withColumn(
+        "compatibility", F.coalesce("__given", "compatibility"))
+    top_id = subjects.agg(F.coalesce(F.max("schema_id"), F.lit(0)).alias("m")).first()["m"]
+    fresh = found.where("__added").withColumn("__h", F.xxhash64("subject"))
+    numbered = running_sums(fresh, [], ["__h", "subject", "version"], {"__id": F.lit(1)})
+    added = numbered.select("subject", "version", (F.col("__id") + F.lit(top_id)).cast("long").alias("schema_id"),
+                            "schema_json", "compatibility")
+    return kept.select(*added.columns).unionByName(added)
 
 
 def delete_subjects(subjects: DataFrame, names: DataFrame) -> DataFrame:

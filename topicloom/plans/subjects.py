@@ -62,18 +62,34 @@ def register_absent(t):
 
 
 @query("upsert_schema", SUBJECTS_SQL + """,
-changes AS (SELECT 's' || c_custkey || '_click' AS subject, c_mktsegment AS schema_json FROM customer),
-after AS (SELECT subject, version, schema_json FROM subjects UNION ALL
-          SELECT c.subject, coalesce((SELECT max(version) FROM subjects s WHERE s.subject = c.subject), 0) + 1,
-                 schema_json FROM changes c)
-SELECT subject, max(version) AS version, arg_max(schema_json, version) AS schema_json
+changes AS (SELECT 's' || c_custkey || '_click' AS subject, c_mktsegment AS schema_json, 1 AS step FROM customer
+            UNION ALL SELECT 's' || c_custkey || '_click', 'new ' || c_mktsegment, 2 FROM customer
+            WHERE c_custkey % 2 = 0),
+after AS (SELECT subject, version, schema_id, schema_json FROM subjects UNION ALL
+          SELECT c.subject, coalesce((SELECT max(version) FROM subjects s WHERE s.subject = c.subject), 0) + step,
+                 NULL, schema_json FROM changes c)
+SELECT subject, max(version) AS version, arg_max(schema_json, version) AS schema_json, count(*) AS versions,
+       count(schema_id) < count(*) AS has_new_id
 FROM after GROUP BY subject""")
 def upsert_schema(t):
-    changes = t.customer.select(
+    once = t.customer.select(
         F.concat(F.lit("s"), F.col("c_custkey").cast("string"), F.lit("_click")).alias("subject"),
-        F.col("c_mktsegment").alias("schema_json"), F.lit("BACKWARD").alias("compatibility"))
-    after = sub.upsert_schemas(subjects_of(t.events), changes)
-    return sub.latest_schemas(after).select("subject", "version", "schema_json")
+        F.col("c_mktsegment").alias("schema_json"), F.lit("BACKWARD").alias("compatibility"),
+        F.lit(1).alias("step"))
+    # The same schema again is no version; every second subject gets another one after it.
+    again = once.withColumn("step", F.lit(2))
+    more = again.join(t.customer.where("c_custkey % 2 = 0").select(
+        F.concat(F.lit("s"), F.col("c_custkey").cast("string"), F.lit("_click")).alias("subject")),
+        "subject", "left_semi").withColumn("schema_json", F.concat(F.lit("new "), "schema_json")).withColumn(
+        "step", F.lit(3))
+    known = subjects_of(t.events)
+    top = known.agg(F.max("schema_id")).first()[0]
+    after = sub.upsert_schemas(known, once.union(again).unionByName(more), ["step"])
+    latest = F.max_by(F.struct("version", "schema_json"), "version").alias("l")
+    # New ids follow hash order, which SQL cannot restate, but they lie above all others.
+    return after.groupBy("subject").agg(
+        latest, F.count("*").alias("versions"), (F.max("schema_id") > F.lit(top)).alias("has_new_id")).select(
+        "subject", "l.version", "l.schema_json", "versions", "has_new_id")
 
 
 @query("delete_subjects", SUBJECTS_SQL + """

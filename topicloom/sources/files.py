@@ -14,11 +14,12 @@ from topicloom.sources.topics import FILES_PER_BATCH, Topics
 
 def file_to_topic(topics: Topics, location: str, glob: str, topic: str, schema: T.StructType,
                   checkpoint: str, fmt: str = "json", archive: str | None = None,
-                  overwrite: bool = True) -> StreamingQuery:
+                  overwrite: bool = True, trigger: dict | None = None) -> StreamingQuery:
     """Send every file that matches the pattern to a topic, each once.
 
-    ``archive`` moves files away once they are done. With ``overwrite`` a file that appears again
-    under the same name is read again.
+    ``archive`` moves files away once they are done. With ``overwrite`` a file counts as new by its
+    whole path, so an equally named one in another folder is sent as well; without, by its name
+    alone. A file rewritten in place is not sent again: give it a new name.
     """
     reader = (
         topics.spark.readStream.schema(schema).format(fmt).option("pathGlobFilter", glob)
@@ -28,7 +29,7 @@ def file_to_topic(topics: Topics, location: str, glob: str, topic: str, schema:
         reader = reader.option("fileNameOnly", "true")
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    return topics.publish(reader.load(location), topic, checkpoint)
+    return topics.publish(reader.load(location), topic, checkpoint, trigger)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

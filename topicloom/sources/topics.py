@@ -17,6 +17,8 @@ from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 from topicloom.session import fresh_dir, remove_path
 
 FILES_PER_BATCH = 1000
+# A job goes through the input there is and ends, unless it is started with a trigger of its own.
+ONCE_THROUGH = {"availableNow": True}
 PREVIEW_ROWS = 10  # fixed value: records shown when a topic is previewed
 
 
@@ -39,10 +41,10 @@ class Topics:
         df.write.mode("append").partitionBy(route).parquet(self.path(group))
 
     def publish_routed(self, stream: DataFrame, group: str, checkpoint: str,
-                       route: str = "route") -> StreamingQuery:
+                       route: str = "route", trigger: dict | None = None) -> StreamingQuery:
         return (
             stream.writeStream.format("parquet").outputMode("append").partitionBy(route)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True)
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or ONCE_THROUGH))
             .start(self.path(group))
         )
 
@@ -69,11 +71,13 @@ class Topics:
     def drop(self, topic: str) -> None:
         remove_path(self.spark, self.path(topic))
 
-    def publish(self, stream: DataFrame, topic: str, checkpoint: str) -> StreamingQuery:
-        """Append a stream to a topic until the input seen at start is used up."""
+    def publish(self, stream: DataFrame, topic: str, checkpoint: str,
+                trigger: dict | None = None) -> StreamingQuery:
+        """Append a stream to a topic; without a trigger until the input seen at start is used up,
+        with one such as ``{"processingTime": "10 seconds"}`` until it is stopped."""
         return (
             stream.writeStream.format("parquet").outputMode("append")
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True)
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or ONCE_THROUGH))
             .start(self.path(topic))
         )
 

@@ -12,6 +12,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from topicloom.operators.ordered import hot_keys, key_hash, last_rows
 from topicloom.session import PARTITIONS, maybe_broadcast, path_exists, remove_path
+from topicloom.sources.topics import ONCE_THROUGH
 
 JOIN_SALT = 8  # groups a hot key is spread over where no share was measured
 MOST_SALT = 256
@@ -21,8 +22,8 @@ SPREAD = "salt int, hot array<long>"
 
 def over_stream_rows(stream: DataFrame, path: str, state: str, checkpoint: str,
                      keys: Sequence[str], order: Sequence[str], back: int,
-                     apply: Callable[[DataFrame, DataFrame | None], DataFrame]
-                     ) -> StreamingQuery:
+                     apply: Callable[[DataFrame, DataFrame | None], DataFrame],
+                     trigger: dict | None = None) -> StreamingQuery:
     """Row-frame logic on a stream: rows in arrival order, the last ``back`` per key carried over.
 
     ``apply(batch, seed)`` computes one micro-batch, where ``seed`` holds the carried rows of its
@@ -60,7 +61,7 @@ def over_stream_rows(stream: DataFrame, path: str, state: str, checkpoint: str,
 
     return (
         stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        .trigger(**(trigger or ONCE_THROUGH)).start()
     )
 
 

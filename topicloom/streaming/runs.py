@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from topicloom.operators.joins import latest_per_key
 from topicloom.session import path_exists
+from topicloom.sources.topics import ONCE_THROUGH
 
 BatchStep = Callable[[DataFrame], DataFrame]
 
@@ -33,7 +34,7 @@ def drain(query: StreamingQuery) -> None:
 
 
 def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "append",
-                  step: BatchStep | None = None) -> StreamingQuery:
+                  step: BatchStep | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Write each micro-batch, after an optional batch step, to its own folder.
 
     Inside the step a batch is an ordinary DataFrame, so AQE and its skew handling apply.
@@ -44,7 +45,7 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
 
     return (
         stream.writeStream.outputMode(mode).foreachBatch(write)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or ONCE_THROUGH)).start()
     )
 
 
@@ -68,12 +69,12 @@ def compact(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence
     return spark.read.schema(schema).parquet(target)
 
 
-def show(stream: DataFrame, checkpoint: str, mode: str = "append", rows: int = 20
-         ) -> StreamingQuery:
+def show(stream: DataFrame, checkpoint: str, mode: str = "append", rows: int = 20,
+         trigger: dict | None = None) -> StreamingQuery:
     """Print micro-batches to the console, for debugging."""
     return (
         stream.writeStream.format("console").outputMode(mode).option("numRows", rows)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or ONCE_THROUGH)).start()
     )
 
 
