@@ -18,8 +18,8 @@ def file_to_topic(topics: Topics, location: str, glob: str, topic: str, schema:
     """Send every file that matches the pattern to a topic, each once.
 
     ``archive`` moves files away once they are done. With ``overwrite`` a file counts as new by its
-    whole path, so an equally named one in another folder is sent as well; without, by its name
-    alone. A file rewritten in place is not sent again: give it a new name.
+    whole path, so an equally named one in another folder is sent as well; without, a name that an
+    earlier batch has met is passed over. A file rewritten in place is not sent again: give it a new name.
     """
     reader = (
         topics.spark.readStream.schema(schema).format(fmt).option("pathGlobFilter", glob)
