@@ -67,6 +67,17 @@ def test_query_against_the_library(spark):
     assert got(QUERIES["op6_token_binary"](spark, SF)) == expected([tuple(r) for r in docs])
 
 
+def test_white_space_is_the_librarys():
+    """U+001C to U+001F have ids of their own; every other blank only separates."""
+    texts = [f"one{c}two {c} three{c}{c}" for c in map(chr, [*range(1, 48), *range(127, 161), 0x1680, 0x180E,
+             *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF])]
+    texts += ["\x1c", "\x1d\x1e a", "a \x1f\x1f", "", " ", "\x85a"]
+    tokenizer = Tokenizer.from_str(tf.tokenizer_text())
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    found = tf.Chunks(tf.tokenizer_text()).encode_all(texts)
+    assert [np.frombuffer(x, np.uint32).tolist() for x in found] == want
+
+
 @pytest.mark.parametrize("file_ids,shard_bytes", [(50, 100), (4_000_000, 1 << 26)])
 def test_odd_rows_over_many_files(spark, monkeypatch, file_ids, shard_bytes):
     monkeypatch.setattr(tf, "FILE_IDS", file_ids)
