@@ -10,6 +10,7 @@ from topicloom.llm import (  # noqa: F401
     pieces,
     quality,
     token_files,
+    topk_search,
     warc,
 )
 from topicloom.llm.registry import ORACLES, QUERIES  # noqa: F401
