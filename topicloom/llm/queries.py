@@ -7,6 +7,7 @@ from topicloom.llm import (  # noqa: F401
     language_id,
     licenses,
     mixing,
+    periodic_runs,
     pieces,
     quality,
     token_files,
