@@ -10,6 +10,7 @@ from topicloom.llm import (  # noqa: F401
     periodic_runs,
     pieces,
     quality,
+    spelling,
     token_files,
     topk_search,
     warc,
