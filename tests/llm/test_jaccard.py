@@ -81,6 +81,38 @@ def test_long_lists_and_chunks(spark, monkeypatch):
     assert got(documents(spark, rows)) == brute(rows)
 
 
+@pytest.mark.parametrize("seed", [11, 12, 13])
+def test_links_by_long_lists_only(spark, monkeypatch, seed):
+    """Lists of more than three nodes are no join keys: their links come from searching blocks."""
+    monkeypatch.setattr(jj, "SHORT_LIST", 3)
+    monkeypatch.setattr(jj, "BLOCK_NODES", 5)
+    monkeypatch.setattr(jj, "STAR_ROUNDS", (1,))
+    rows = corpus(seed, groups=8, size=30)
+    searched = []
+    search = jj.block_links
+
+    def counted(*args):
+        found = search(*args)
+        searched.append(found.count())
+        return found
+
+    monkeypatch.setattr(jj, "block_links", counted)
+    assert got(documents(spark, rows)) == brute(rows)
+    assert len(searched) == 1
+
+
+def test_block_search_is_exact():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 120, dtype=np.uint64)
+    sets = [np.unique(np.r_[rng.choice(base, rng.integers(60, 120), replace=False),
+                            rng.integers(0, 2**63, rng.integers(0, 12), dtype=np.uint64)]) for _ in range(60)]
+    frame = jj.pd.DataFrame({"node": range(60), "shingles": [x.tobytes() for x in sets]})
+    got = {tuple(r) for r in jj._block_search(frame[:20], frame).itertuples(index=False)}
+    assert got == {(a, b) for a in range(20) for b in range(60) if a != b
+                   and 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    assert got
+
+
 def test_query_agrees_with_sql(spark):
     name = "op4_ngram_jaccard_join"
     assert check(spark, connect(SF), name, QUERIES[name], ORACLES[name], SF) is None
@@ -114,6 +146,16 @@ def test_odd_rows_and_one_of_each_group(spark):
     assert ids.count(None) == 2
 
 
+def test_rows_that_share_an_id_are_kept_by_text(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    c = " ".join(f"c{k}" for k in range(40))
+    rows = [(1, a), (7, a), (7, b), (7, b), (9, b), (9, c), (None, c + " c0"), (None, "no id at all"),
+            (None, "no id at all"), (3, ""), (3, None), (9, "other words")]
+    kept = jj.keep_one(documents(spark, rows))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
+        [(1, a), (7, b), (9, c), (None, "no id at all"), (3, ""), (3, None), (9, "other words")], key=str)
+
+
 def test_empty_table(spark):
     assert jj.linked_groups(empty(spark)).count() == 0
     assert jj.keep_one(empty(spark)).count() == 0

@@ -12,11 +12,15 @@ A document is the set of its distinct five-word shingles (64-bit hashes). Two do
 4. ``star_pairs``: in each list every node is paired with one pivot, not with all others. A few rounds
    with different pivots join nearly all of a group; only lists that still hold several groups go on. A
    pair must meet in as many lists as a link needs (``_counted``).
-5. ``cross_pairs``: all pairs that are left between different groups of a list, so no link between groups
-   can be missed.
-6. ``verify``: T-occurrence search. Candidates of a pivot form an index; the short lists of the pivot's
-   shingles are merged with a heap, candidates with enough hits are probed in the long lists by binary
-   search (DivideSkip), and those that reach the overlap are links.
+5. ``short_pairs``: pairs that are left between different groups of a list of at most SHORT_LIST nodes, so
+   their number is bounded by the postings.
+6. ``leading``: longer lists are no join keys. A link that meets in none of the short lists in front of a node's
+   first long one shares at most the shingles from there on, so few nodes can have such links. These are
+   packed into blocks, and nodes outside the largest group of one of their lists query the blocks they
+   share a list with (``block_links``).
+7. ``verify`` and ``block_links``: T-occurrence search. The short lists of a query's shingles are merged
+   with a heap, candidates with enough hits are probed in the long ones by binary search (DivideSkip), and
+   those that reach the overlap are links.
 
 Defined cases: null, empty or word-less texts have an empty set, link with nothing and are their own
 component; rows without ``doc_id`` count as texts but cannot be the smallest id (a component made of such
@@ -45,6 +49,9 @@ PERCENT = 80
 SKETCH_BITS = 21
 SKETCH_BLOCKS = 32
 STAR_ROUNDS = (1, 4)  # pivots per list in each round
+SHORT_LIST = 64  # nodes of a list whose pairs are listed
+BLOCK_NODES = 2048  # nodes, and
+BLOCK_SHINGLES = 1_000_000  # shingles of them, that one block search holds, about
 CHUNK_SHINGLES = 1_000_000  # shingles of candidates that one search holds at a time
 
 KEYS = odd_keys(WIDTH, seed=5)
@@ -135,7 +142,11 @@ def needed(n: int) -> int:
 
 
 def postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(shingle, node, n): the lists a node must be looked up in, without lists of one node."""
+    """(shingle, node, n, pos, last): the lists a node must be looked up in, without lists of one node.
+
+    ``pos`` is the shingle's place in the node's order. ``last`` is the last shingle of that order where the
+    list is a long one: it tells which nodes are likely to share long lists.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def rare(batches):
@@ -149,25 +160,29 @@ def postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                     continue
                 done.add(node)
                 heavy = level[(shingles >> shift).astype(np.int64)]
-                pick = np.lexsort((shingles, heavy))[:n - needed(n) + 1]
-                parts.append((shingles[pick].view(np.int64), node, n, heavy[pick] > 0))
+                order = np.lexsort((shingles, heavy))
+                pick = order[:n - needed(n) + 1]
+                parts.append((shingles[pick].view(np.int64), node, n, heavy[pick] > 0,
+                              int(shingles[order[-1]] >> np.uint64(1))))
             if parts:
                 yield pd.DataFrame({
                     "shingle": np.concatenate([p[0] for p in parts]),
                     "node": np.repeat([p[1] for p in parts], [len(p[0]) for p in parts]),
                     "n": np.repeat([p[2] for p in parts], [len(p[0]) for p in parts]),
-                    "long": np.concatenate([p[3] for p in parts])})
+                    "pos": np.concatenate([np.arange(len(p[0]), dtype=np.int32) for p in parts]),
+                    "long": (long := np.concatenate([p[3] for p in parts])),
+                    "last": np.where(long, np.repeat([p[4] for p in parts], [len(p[0]) for p in parts]), 0)})
 
     found = docs.select(F.col("text").cast("string")).mapInPandas(
-        rare, "shingle long, node long, n long, long boolean")
+        rare, "shingle long, node long, n long, pos int, long boolean, last long")
     # Short lists are bounded, so a window may see one whole; long lists are spread and kept.
     found = found.withColumn("spread", F.when(F.col("long"), F.xxhash64("node")).otherwise(0))
     found.createOrReplaceTempView("jaccard_postings")
     alone = found.sparkSession.sql("""
-        SELECT shingle, node, n, long, min(node) OVER w AS least, max(node) OVER w AS most
+        SELECT shingle, node, n, pos, last, long, min(node) OVER w AS least, max(node) OVER w AS most
         FROM jaccard_postings WINDOW w AS (PARTITION BY shingle, spread)""")
-    return materialize(alone.filter("long OR least <> most").select("shingle", "node", "n")
-                       .distinct(), "jaccard-postings")
+    return materialize(alone.filter("long OR least <> most")
+                       .select("shingle", "node", "n", "pos", "last").distinct(), "jaccard-postings")
 
 
 def _close(a: str, b: str):
@@ -182,20 +197,23 @@ def mixed_lists(lists: DataFrame) -> DataFrame:
 
 
 def _counted(pairs: DataFrame) -> DataFrame:
-    """Pairs of (pivot, pn, node, n) that meet in enough lists, with ``low`` and ``high``.
+    """Pairs of (pivot, node) that may still link, with ``low`` and ``high``.
 
-    Of two nodes' common shingles those up to the end of the shorter-reaching prefix lie in both prefixes,
-    and the others among the last T - 1 of one node. So a link meets in alpha - max(T) + 1 lists or more,
-    where alpha is the overlap it needs.
+    ``pairs`` has a row for each list in which the two meet, with their sizes (pn, n), places (pp, pos) and the
+    long lists of both that were left out (left). Of two nodes' common shingles those up to the end of the
+    shorter-reaching prefix lie in both prefixes, and the others among the last T - 1 of one node. So a link
+    meets in alpha - max(T) + 1 lists or more, where alpha is the overlap it needs; and no more than what
+    follows the first common place can be common.
     """
     size = 100 + PERCENT
     alpha = f"({PERCENT} * (less + more) + {size - 1}) DIV {size}"
     most = f"({PERCENT} * more + 99) DIV 100"
     either = F.struct("pivot", "node")
     return (pairs.groupBy(F.least("pivot", "node").alias("low"), F.greatest("pivot", "node").alias("high"))
-            .agg(F.count("*").alias("met"), F.min(either).alias("x"),
+            .agg(F.count("*").alias("met"), F.min(either).alias("x"), F.min("left").alias("left"),
+                 F.max(F.least(F.col("n") - F.col("pos"), F.col("pn") - F.col("pp"))).alias("room"),
                  F.min(F.least("n", "pn")).alias("less"), F.max(F.greatest("n", "pn")).alias("more"))
-            .filter(F.expr(f"met >= {alpha} - {most} + 1"))
+            .filter(F.expr(f"met + left >= {alpha} - {most} + 1 AND (left > 0 OR room >= {alpha})"))
             .select("x.pivot", "x.node", "low", "high"))
 
 
@@ -208,7 +226,7 @@ def centrality(lists: DataFrame) -> DataFrame:
 
 def star_pairs(lists: DataFrame, pivots: int) -> DataFrame:
     """Each node of a list with the ``pivots`` nodes of the list that weigh most."""
-    best = F.struct("weight", "node", "n", "group")
+    best = F.struct("weight", "node", "n", "pos", "group")
     if pivots == 1:
         best = lists.groupBy("shingle").agg(F.max(best).alias("p"))
     else:
@@ -217,43 +235,77 @@ def star_pairs(lists: DataFrame, pivots: int) -> DataFrame:
                 .select("shingle", best.alias("p")))
     return _counted(lists.join(best, "shingle")
                     .filter((F.col("group") != F.col("p.group")) & _close("n", "p.n"))
-                    .select(F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), "node", "n"))
+                    .select(F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.pos").alias("pp"),
+                            "node", "n", "pos", F.lit(0).alias("left")))
 
 
-def cross_pairs(lists: DataFrame) -> DataFrame:
-    """All pairs of different groups in a list; a list's largest group is not paired with itself.
+def long_lists(lists: DataFrame) -> DataFrame:
+    """Shingles whose lists hold more than SHORT_LIST nodes."""
+    return lists.groupBy("shingle").count().filter(F.col("count") > SHORT_LIST).select("shingle")
 
-    Each list gives an unordered pair once, so the lists in which it meets are counted in full.
-    """
-    share = lists.groupBy("shingle", "group").agg(F.count("*").alias("rows"))
-    major = share.groupBy("shingle").agg(F.max_by("group", F.struct("rows", "group")).alias("major"))
-    marked = lists.join(major, "shingle")
-    few = marked.filter("group <> major").select(
-        "shingle", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("group").alias("pg"))
-    return _counted(few.join(marked, "shingle")
-                    .filter((F.col("pg") != F.col("group")) & _close("n", "pn")
-                            & ((F.col("group") == F.col("major")) | (F.col("pivot") < F.col("node"))))
-                    .select("pivot", "pn", "node", "n"))
 
+def short_pairs(lists: DataFrame, long: DataFrame) -> DataFrame:
+    """All pairs of different groups in the lists that are not long; their length bounds the rows."""
+    aside = lists.join(long, "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("aside"))
+    short = (lists.join(long, "shingle", "left_anti").join(aside, "node", "left")
+             .withColumn("aside", F.coalesce("aside", F.lit(0))))
+    other = short.select("shingle", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("pos").alias("pp"),
+                         F.col("group").alias("pg"), F.col("aside").alias("pa"))
+    return _counted(short.join(other, "shingle")
+                    .filter((F.col("pg") != F.col("group")) & (F.col("pivot") < F.col("node")) & _close("n", "pn"))
+                    .select("pivot", "pn", "pp", "node", "n", "pos", F.least("aside", "pa").alias("left")))
 
-def occurrence_search(query_set: np.ndarray, sets: list[np.ndarray], floor: int) -> dict[int, int]:
-    """Index of each set sharing ``floor`` shingles or more with the query, and how many.
 
-    The index holds an inverted list per shingle of the query. The longest lists are set aside, the
-    short ones are merged with a heap, and what may still reach the floor is probed in the long ones.
+def leading(all_lists: DataFrame, long: DataFrame) -> DataFrame:
+    """(node, n, hint): nodes that may have a link which meets in none of the short lists in front of their
+    first long one: what is left from there on must be enough for a link. ``long`` are lists of any group."""
+    return (all_lists.join(long, "shingle", "left_semi").groupBy("node", "n")
+            .agg(F.min("pos").alias("lead"), F.max("last").alias("hint"))
+            .filter(F.expr(f"100 * (n - lead) >= {PERCENT} * n")).select("node", "n", "hint"))
+
+
+def _blocks(nodes: DataFrame) -> DataFrame:
+    """(node, block): nodes with one hint stay together, in as many blocks as their shingles need."""
+    need = nodes.groupBy("hint").agg(F.greatest(
+        F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    return nodes.join(need, "hint").select("node", F.xxhash64(
+        "hint", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block"))
+
+
+def block_links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, described: DataFrame) -> DataFrame:
+    """Links between nodes of different groups that share one of ``lists`` (the long ones, with groups).
+
+    Of each list all groups but the largest ask, so any two groups meet. Only blocks are paired by shingle.
     """
-    owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    flat = np.concatenate(sets)
-    place = np.searchsorted(query_set, flat)
-    place[place == len(query_set)] = 0
-    hit = query_set[place] == flat
-    place, owners = place[hit], owners[hit]
-    by_shingle = np.argsort(place, kind="stable")
-    place, owners = place[by_shingle], owners[by_shingle]
-    starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else []
-    lists = sorted(np.split(owners, starts[1:]) if len(place) else [], key=len)
-    if not lists:
+    nodes = materialize(nodes, "jaccard-leading")
+    lists = lists.join(nodes.select("node"), "node", "left_semi")
+    share = lists.groupBy("shingle", "group").agg(F.count("*").alias("rows"))
+    major = share.groupBy("shingle").agg(F.max_by("group", F.struct("rows", "group")).alias("major"))
+    minor = lists.join(major, "shingle").filter("group <> major").select("node").distinct()
+    asked = _blocks(nodes.join(minor, "node", "left_semi")).withColumnRenamed("block", "asker")
+    held = _blocks(nodes)
+    sets = shingle_sets(docs, nodes.select("node"), described)
+    asked, held = (materialize(x.join(sets, "node"), "jaccard-blocks") for x in (asked, held))
+    at = lists.select("shingle", "node")
+    meet = materialize(
+        at.join(asked.select("node", "asker"), "node").select("shingle", "asker").distinct()
+        .join(at.join(held.select("node", "block"), "node").select("shingle", "block").distinct(), "shingle")
+        .select("asker", "block").distinct(), "jaccard-meetings")
+    left = meet.join(asked, "asker").select("asker", "block", "node", "shingles")
+    right = meet.join(held, "block").select(F.col("asker").alias("by"), F.col("block").alias("of"), "node", "shingles")
+    return (left.groupBy("asker", "block").cogroup(right.groupBy("by", "of"))
+            .applyInPandas(_block_search, "a long, b long"))
+
+
+def merge_lists(lists: list[np.ndarray], floor: int) -> dict[int, int]:
+    """What occurs in ``floor`` or more of the sorted lists, and in how many.
+
+    The longest lists are set aside, the short ones are merged with a heap, and what may still reach the
+    floor is probed in the long ones.
+    """
+    if len(lists) < floor:
         return {}
+    lists = sorted(lists, key=len)
     # Few long lists when merging is cheap, many when the longest list dominates; always below floor.
     aside = min(len(lists), floor - 1, int(floor / (0.01 * np.log2(len(lists[-1]) + 1) + 1)))
     short, long = lists[:len(lists) - aside], lists[len(lists) - aside:]
@@ -273,6 +325,49 @@ def occurrence_search(query_set: np.ndarray, sets: list[np.ndarray], floor: int)
     return found
 
 
+def occurrence_search(query_set: np.ndarray, sets: list[np.ndarray], floor: int) -> dict[int, int]:
+    """Index of each set sharing ``floor`` shingles or more with the query, and how many."""
+    owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    flat = np.concatenate(sets)
+    place = np.searchsorted(query_set, flat)
+    place[place == len(query_set)] = 0
+    hit = query_set[place] == flat
+    place, owners = place[hit], owners[hit]
+    by_shingle = np.argsort(place, kind="stable")
+    place, owners = place[by_shingle], owners[by_shingle]
+    if not len(place):
+        return {}
+    starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    return merge_lists(np.split(owners, starts[1:]), floor)
+
+
+def _least_overlap(n: int, other: int) -> int:
+    return max(1, -(-PERCENT * (n + other) // (100 + PERCENT)))
+
+
+def _block_search(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    """Links of the asking nodes with a block's nodes, from one inverted index of the block."""
+    links = []
+    if len(asked) and len(held):
+        sets = [_array(x) for x in held["shingles"]]
+        sizes = [len(x) for x in sets]
+        flat, owners = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.lexsort((owners, flat))
+        flat, owners = flat[order], owners[order]
+        nodes = held["node"].tolist()
+        for node, data in zip(asked["node"].tolist(), asked["shingles"]):
+            own = _array(data)
+            fits = [n for n in sizes if PERCENT * max(n, len(own)) <= 100 * min(n, len(own))]
+            if not fits:
+                continue
+            low, high = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+            lists = [owners[x:y] for x, y in zip(low.tolist(), high.tolist()) if y > x]
+            for k, common in merge_lists(lists, _least_overlap(len(own), min(fits))).items():
+                if nodes[k] != node and 100 * common >= PERCENT * (len(own) + sizes[k] - common):
+                    links.append((node, nodes[k]))
+    return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+
 def _array(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint64)
 
@@ -286,8 +381,7 @@ def _search(group: pd.DataFrame) -> pd.DataFrame:
         base = _array(pivots["shingles"].iloc[0])
         sets = [_array(x) for x in candidates["shingles"]]
         least = min(map(len, sets))
-        floor = max(1, -(-PERCENT * (len(base) + least) // (100 + PERCENT)))
-        for k, common in occurrence_search(base, sets, floor).items():
+        for k, common in occurrence_search(base, sets, _least_overlap(len(base), least)).items():
             if 100 * common >= PERCENT * (len(base) + len(sets[k]) - common):
                 links.append((pivots["pivot"].iloc[0], candidates["node"].iloc[k]))
     return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
@@ -356,64 +450,104 @@ def _grouped(lists: DataFrame, label: DataFrame | None) -> DataFrame:
         return lists.withColumn("group", F.col("node"))
     known = label.withColumnRenamed("node", "member")
     return lists.join(known, F.col("node") == F.col("member"), "left").select(
-        "shingle", "node", "n", "weight", F.coalesce("group", "node").alias("group"))
+        "shingle", "node", "n", "pos", "last", "weight", F.coalesce("group", "node").alias("group"))
 
 
-def linked_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and class_id (smallest id with the same set), one row per row."""
-    spark = docs.sparkSession
-    described = describe(docs)
+def _links(docs: DataFrame, described: DataFrame) -> DataFrame | None:
+    """(node, group) of all nodes with a link; None where no set can have one."""
     lists = postings(docs, rarity(described))
     label, links, tried = None, None, None
     lists = materialize(lists.join(centrality(lists), "node"), "jaccard-weighted")
-    for pivots in (*STAR_ROUNDS, None):
-        left = materialize(mixed_lists(_grouped(lists, label)), "jaccard-lists")
-        pairs = star_pairs(left, pivots) if pivots else cross_pairs(left)
+    long = materialize(long_lists(lists), "jaccard-long")
+
+    def search(pairs: DataFrame) -> DataFrame:
+        nonlocal tried
         # No pair is searched twice, whichever of the two was the pivot.
         if tried is not None:
             pairs = pairs.join(tried, ["low", "high"], "left_anti")
         pairs = materialize(pairs, "jaccard-pairs")
         nodes = pairs.select("node").union(pairs.select("pivot")).distinct()
         sets = shingle_sets(docs, materialize(nodes, "jaccard-nodes"), described)
-        found = materialize(verify(pairs.select("pivot", "node"), sets), "jaccard-found")
         done = pairs.select("low", "high")
         tried = done if tried is None else tried.union(done)
+        return verify(pairs.select("pivot", "node"), sets)
+
+    def mixed_now() -> DataFrame:
+        return materialize(mixed_lists(_grouped(lists, label)), "jaccard-lists")
+
+    for pivots in (*STAR_ROUNDS, None, 0):
+        left = mixed_now()
+        if pivots:
+            found = search(star_pairs(left, pivots))
+        elif pivots is None:
+            found = search(short_pairs(left, long))
+        else:
+            found = block_links(left.join(long, "shingle", "left_semi"), leading(lists, long), docs, described)
+        found = materialize(found, "jaccard-found")
         links = found if links is None else links.union(found)
         if label is None or found.limit(1).count():
             label = components(links)
-    rows = described.filter("node IS NOT NULL")
+    return label
+
+
+def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n, node, node2) of ``docs``, and of each class of equal sets (node, node2) the smallest id
+    (class_id), the group it is linked to and that group's smallest id (component_id)."""
+    described = describe(docs)
+    label = _links(docs, described)
+    rows = described.filter("node IS NOT NULL").select("doc_id", "n", "node", "node2")
     # Nodes are the classes of equal sets; an empty set is no class.
     classes = (rows.filter("n > 0").groupBy("node", "node2").agg(F.min("doc_id").alias("class_id"))
                .join(label.withColumnRenamed("group", "found"), "node", "left")
                .withColumn("group", F.coalesce("found", "node")))
     smallest = classes.groupBy("group").agg(F.min("class_id").alias("component_id"))
     named = materialize(classes.join(smallest, "group").select(
-        "node", "node2", "class_id", "component_id"), "jaccard-classes")
+        "node", "node2", "class_id", "group", "component_id"), "jaccard-classes")
+    docs.sparkSession.catalog.dropTempView("jaccard_postings")
+    return rows, named
+
+
+def linked_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and class_id (smallest id with the same set), one row per row."""
+    rows, named = linked_classes(docs)
     full = rows.filter("n > 0").join(named, ["node", "node2"]).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id")
     empty = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"),
                                         F.col("doc_id").alias("component_id"),
                                         F.col("doc_id").alias("class_id"))
-    spark.catalog.dropTempView("jaccard_postings")
     return full.union(empty)
 
 
+def set_keys(texts: pd.Series) -> pd.DataFrame:
+    """The size of each text's set and the key of its class."""
+    return pd.DataFrame([(len(x), *_keys(x)) for x in _sets(texts, WordCache())], columns=["n", "node", "node2"])
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group of linked documents, the one with the smallest id.
+    """One row of each group of linked documents, one with the smallest id.
 
-    Rows without words or without id stay; of rows that repeat an id one stays.
+    Rows without words stay. Decisions are made for rows, not for ids: where an id has several texts, each
+    goes or stays with its own group. A group whose rows have no id keeps one of them.
     """
-    groups = materialize(linked_groups(docs), "jaccard-groups")
-    repeated = materialize(groups.filter("doc_id IS NOT NULL").groupBy("doc_id")
-                           .count().filter("count > 1").select("doc_id"), "jaccard-repeated")
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    gone = materialize(gone, "jaccard-gone")
-    kept = docs.join(maybe_broadcast(gone), "doc_id", "left_anti")
-    if not repeated.limit(1).count():
-        return kept
-    once = kept.join(maybe_broadcast(repeated), "doc_id", "left_anti")
-    more = kept.join(maybe_broadcast(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(more)
+    rows, named = linked_classes(docs)
+    rows = rows.filter("n > 0")
+    repeated = materialize(rows.filter("doc_id IS NOT NULL").groupBy("doc_id").count()
+                           .filter("count > 1").select("doc_id"), "jaccard-repeated")
+    gone = materialize(rows.join(named, ["node", "node2"]).filter("doc_id <> component_id").select("doc_id")
+                       .join(maybe_broadcast(repeated), "doc_id", "left_anti"), "jaccard-gone")
+    with_id = docs.filter("doc_id IS NOT NULL")
+    once = (with_id.join(maybe_broadcast(gone), "doc_id", "left_anti")
+            .join(maybe_broadcast(repeated), "doc_id", "left_anti"))
+    odd = with_id.join(maybe_broadcast(repeated), "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL"))
+    if not odd.limit(1).count():
+        return once
+    # An id alone does not tell these rows apart, so they are looked up by their sets.
+    key = F.pandas_udf(set_keys, "n long, node long, node2 long")
+    keyed = odd.select(F.struct(*[odd[c] for c in docs.columns]).alias("row"),
+                       key(F.col("text").cast("string")).alias("key")).select("row", "key.*")
+    stays = keyed.filter("n = 0")
+    one = (keyed.join(named, ["node", "node2"]).filter("row.doc_id <=> component_id").dropDuplicates(["group"]))
+    return once.unionByName(stays.select("row.*")).unionByName(one.select("row.*"))
 
 
 ORACLE = r"""
