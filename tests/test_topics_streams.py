@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from topicloom.operators.aggregates import tumble
 from topicloom.operators.models import Models, naive_bayes_pipeline
-from topicloom.operators.ordered import hot_keys, over_last_rows
+from topicloom.operators.ordered import hot_keys
 from topicloom.session import fresh_dir, materialize, workspace
 from topicloom.sources import files
 from topicloom.sources import topics as tp
@@ -49,32 +49,6 @@ def test_shared_folder_comes_from_the_session(spark):
     assert materialize(spark.range(5)).count() == 5
 
 
-@pytest.mark.parametrize("pieces,every", [(1, 20), (4, 20), (7, 2), (5, 3)])
-def test_row_frames_do_not_depend_on_batches(spark, pieces, every, monkeypatch):
-    monkeypatch.setattr(st, "SNAPSHOT_EVERY", every)
-    data = rows()
-    topics = topic_in_pieces(spark, data, pieces)
-    path, state = fresh_dir(spark, "out"), fresh_dir(spark, "state")
-
-    def apply(batch, seed):
-        return over_last_rows(batch, ["user"], ["ts", "id"], 2, {
-            "s": lambda w: F.sum("value").over(w.rowsBetween(-2, 0))}, seed, hot_rows=20).select(
-            "id", "s")
-
-    runs.drain(st.over_stream_rows(topics.stream("t", files_per_batch=1), path, state,
-                                   fresh_dir(spark, "cp"), ["user"], ["ts", "id"], 2, apply))
-    got = {r["id"]: r["s"] for r in spark.read.parquet(path).collect()}
-    want, last = {}, {}
-    for i, user, _, _, value in data:
-        last[user] = (last.get(user, []) + [value])[-3:]
-        want[i] = sum(last[user])
-    assert got == want
-    assert len([d for d in os.listdir(path) if d.startswith("batch_id=")]) == pieces
-    kept = sorted(int(d.split("=")[1]) for d in os.listdir(state) if d.startswith("batch_id="))
-    assert kept[-1] == pieces - 1 and len(kept) <= 2 * every + 1
-    assert pieces <= every or kept[0] >= every
-
-
 @pytest.mark.parametrize("pieces", [1, 4])
 def test_window_sums_equal_batch(spark, pieces):
     topics = topic_in_pieces(spark, rows(), pieces)
@@ -87,9 +61,6 @@ def test_window_sums_equal_batch(spark, pieces):
     runs.drain(runs.write_batches(out, path, fresh_dir(spark, "cp"), "update"))
     latest = runs.read_latest(spark, path, out.schema, ["window_start", "kind"])
     assert sorted(latest.collect()) == sorted(sums(topics.read("t")).collect())
-    done = runs.compact(spark, path, out.schema, ["window_start", "kind"],
-                        fresh_dir(spark, "compact"))
-    assert done.count() == latest.count()
 
 
 def test_restart_resumes_from_the_checkpoint(spark):

@@ -1,6 +1,7 @@
 """Streaming queries: the input table is read as a file stream, the result read back."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from topicloom.operators import operations as ops
 from topicloom.operators import transforms as tf
@@ -14,7 +15,9 @@ from topicloom.session import fresh_dir
 from topicloom.sources import frames
 from topicloom.sources.topics import Topics, with_event_time
 from topicloom.streaming import operators as st
+from topicloom.streaming.event_time import EventTimeRows
 from topicloom.streaming.runs import (
+    ChangeLog,
     as_plain_time,
     drain,
     read_batches,
@@ -24,16 +27,24 @@ from topicloom.streaming.runs import (
 from topicloom.streaming.stream_back import StreamBack
 
 
+def _schema(ddl):
+    return StructType.fromDDL(ddl)
+
+
 def _sink(t, stream):
     topics = Topics(t.spark)
     drain(topics.publish(stream, "out", fresh_dir(t.spark, "checkpoint")))
     return topics.read("out", stream.schema)
 
 
-def _span(df, ts):
-    """Delay under which no row of a bounded table is late, however its files arrive."""
+def _span_s(df, ts):
+    """Delay in seconds under which no row of a bounded table is late, however its files arrive."""
     least, most = df.agg(F.min(ts), F.max(ts)).first()
-    return f"{int((most - least).total_seconds()) + 1 if most else 0} seconds"
+    return int((most - least).total_seconds()) + 1 if most else 0
+
+
+def _span(df, ts):
+    return f"{_span_s(df, ts)} seconds"
 
 
 def _latest(t, stream, keys):
@@ -112,6 +123,21 @@ def stream_agg_final(t):
     return _latest(t, changes, ["user_id"])
 
 
+@query("stream_compacted_log", """
+SELECT user_id, count(*) AS n, round(sum(value), 2) AS total_value FROM events GROUP BY user_id""")
+def stream_compacted_log(t):
+    """The table comes in four parts; the log of changes gets a new base on the way."""
+    topics, checkpoint, path = (Topics(t.spark), fresh_dir(t.spark, "checkpoint"), fresh_dir(t.spark, "changes"))
+    events = t.events.select("event_id", "user_id", "value")
+    log = ChangeLog(t.spark, path, _schema("user_id long, n long, total_value double"), ["user_id"], every=2)
+    for arrival in range(4):
+        topics.append(events.where(F.col("event_id") % 4 == arrival), "events")
+        changes = topics.stream("events", events.schema, files_per_batch=10**6).groupBy("user_id").agg(
+            F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total_value"))
+        drain(write_batches(changes, path, checkpoint, "update", log=log))
+    return log.read()
+
+
 @query("stream_distinct", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_distinct(t):
     columns = ["user_id", "event_type"]
@@ -139,11 +165,13 @@ def stream_interval_join(t):
     return as_plain_time(out, "clicked")
 
 
-def _over_rows(t, events, back, apply):
-    path, state = fresh_dir(t.spark, "rows"), fresh_dir(t.spark, "state")
-    drain(st.over_stream_rows(events, path, state, fresh_dir(t.spark, "checkpoint"), ["user_id"],
-                              ["ts", "event_id"], back, apply))
-    return path
+def _over_rows(t, events, back, apply, out):
+    """A whole table as a stream: rows wait for the end of it, as its files may come in any order."""
+    job = EventTimeRows(t.spark, fresh_dir(t.spark, "frames"), ["user_id"], ["ts", "event_id"], "ts",
+                        _span_s(t.events, "ts"), back, apply)
+    drain(job.start(events, fresh_dir(t.spark, "checkpoint")))
+    job.finish(events.schema)
+    return job.results(_schema(out))
 
 
 @query("stream_over_rows", """
@@ -158,9 +186,7 @@ def stream_over_rows(t):
                              seed)
         return out.select("event_id", "user_id", "recent")
 
-    path = _over_rows(t, events, 2, count_recent)
-    return read_batches(t.spark, path, _schema("event_id long, user_id long, recent long")).drop(
-        "batch_id")
+    return _over_rows(t, events, 2, count_recent, "event_id long, user_id long, recent long")
 
 
 @query("stream_status_changes", """
@@ -176,16 +202,8 @@ def stream_status_changes(t):
         return ops.status_changes(batch, ["user_id"], ["ts", "event_id"], "status", seed).select(
             "event_id", "old_status", "new_status")
 
-    path = _over_rows(t, with_status(t.stream("events")), 1, changed)
-    return read_batches(t.spark, path,
-                        _schema("event_id long, old_status string, new_status string")).drop(
-        "batch_id")
-
-
-def _schema(ddl):
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(ddl)
+    return _over_rows(t, with_status(t.stream("events")), 1, changed,
+                      "event_id long, old_status string, new_status string")
 
 
 @query("stream_lookup", """
@@ -222,3 +240,29 @@ def stream_back(t):
         SELECT event_type, count(*) AS n, round(sum(value), 2) AS total_value -- per type
         FROM batch_events GROUP BY event_type;""")
     return result.withColumn("state", F.lit(job.state))
+
+
+LATE_ARRIVALS, LATE_DELAY_S, LATE_SLICE_S = 4, 2 * 86_400, 3_600
+
+
+@query("stream_late_rows", """
+WITH a AS (SELECT event_id, event_id % 4 AS arrival, epoch_us(ts) AS us FROM events),
+m AS (SELECT arrival, max(us) AS newest FROM a GROUP BY arrival),
+c AS (SELECT arrival, max(newest) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+             AS seen FROM m)
+SELECT event_id, coalesce(us // 3600000000 < (seen - 172800000000) // 3600000000, false) AS late
+FROM a JOIN c USING (arrival)""")
+def stream_late_rows(t):
+    """The table comes in four parts, each from all over the month; the first one passes, and what the others
+    bring from before the watermark is late. Kept and late rows together are all rows."""
+    topics, checkpoint = Topics(t.spark), fresh_dir(t.spark, "checkpoint")
+    events = t.events.select("event_id", "user_id", "ts")
+    job = EventTimeRows(t.spark, fresh_dir(t.spark, "frames"), ["user_id"], ["ts", "event_id"], "ts",
+                        LATE_DELAY_S, 1, lambda rows, seed: rows.select("event_id"), LATE_SLICE_S)
+    for arrival in range(LATE_ARRIVALS):
+        topics.append(events.where(F.col("event_id") % LATE_ARRIVALS == arrival), "events")
+        # Each start goes on where the last one ended.
+        drain(job.start(topics.stream("events", events.schema, files_per_batch=10**6), checkpoint))
+    job.finish(events.schema)
+    kept = job.results(_schema("event_id long")).withColumn("late", F.lit(False))
+    return kept.unionByName(job.late_rows(events.schema).select("event_id", F.lit(True).alias("late")))

@@ -107,6 +107,48 @@ def remove_path(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the entries of a folder, none if there is no such folder."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(jpath)] if files.exists(jpath) else []
+
+
+def numbered(spark: SparkSession, path: str, prefix: str, suffix: str = "") -> list[int]:
+    """Numbers of the entries ``<prefix><number><suffix>`` of a folder, in order."""
+    inner = [n[len(prefix):len(n) - len(suffix)] for n in child_names(spark, path)
+             if n.startswith(prefix) and n.endswith(suffix)]
+    return sorted(int(n) for n in inner if n.isdigit())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a small file in one step: readers see the old text or the new one."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    target, made = fs.Path(path), fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    out = made.getFileSystem(conf).create(made, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    how = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+    how[0] = getattr(fs, "Options$Rename").OVERWRITE
+    fs.FileContext.getFileContext(made.getFileSystem(conf).getUri(), conf).rename(made, target, how)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """Text of a small file, None if there is none."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(jpath):
+        return None
+    stream = files.open(jpath)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS,
                    max_bytes: int = BROADCAST_BYTES) -> bool:
     """Measure a table before broadcasting it.

@@ -1,85 +1,21 @@
-"""Streaming forms of the ordered, joining and counting operators."""
+"""Streaming forms of the joining and counting operators."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
 
-from topicloom.operators.ordered import hot_keys, key_hash, last_rows
-from topicloom.session import PARTITIONS, maybe_broadcast, path_exists, remove_path
-from topicloom.sources.topics import ONCE_THROUGH
+from topicloom.operators.ordered import hot_keys, key_hash
+from topicloom.session import PARTITIONS, path_exists
 
 JOIN_SALT = 8  # groups a hot key is spread over where no share was measured
 MOST_SALT = 256
-SNAPSHOT_EVERY = 20
 SPREAD = "salt int, hot array<long>"
 
 
-def over_stream_rows(stream: DataFrame, path: str, state: str, checkpoint: str,
-                     keys: Sequence[str], order: Sequence[str], back: int,
-                     apply: Callable[[DataFrame, DataFrame | None], DataFrame],
-                     trigger: dict | None = None) -> StreamingQuery:
-    """Row-frame logic on a stream: rows in arrival order, the last ``back`` per key carried over.
-
-    ``apply(batch, seed)`` computes one micro-batch, where ``seed`` holds the carried rows of its
-    keys. Each batch writes the carried rows of the keys it met to its own folder, and every
-    ``SNAPSHOT_EVERY`` batches those of all keys, so that older folders can go. A repeated batch
-    reads only folders of earlier batches and overwrites its own, so restarts give the same result.
-    A key's rows are never gathered in one Python worker: a hot key is split as in a bounded run.
-    """
-    keys, order = list(keys), list(order)
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()
-        try:
-            before = carried_rows(spark, state, batch.schema, keys, batch_id)
-            met = batch.select(*[F.col(k).alias(f"__k_{k}") for k in keys]).distinct()
-            same = F.lit(True)
-            for k in keys:
-                same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-            seed = before and before.join(maybe_broadcast(met), same, "left_semi")
-            apply(batch, seed).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-            known = batch.withColumn("__seq", F.lit(1))
-            if seed is not None:
-                known = known.unionByName(seed.withColumn("__seq", F.lit(0)))
-            carried = last_rows(known, keys, ["__seq", *order], back).drop("__seq")
-            if before is not None and batch_id % SNAPSHOT_EVERY == 0:
-                others = before.join(maybe_broadcast(met), same, "left_anti")
-                carried = carried.unionByName(others)
-            carried.write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
-            if batch_id % SNAPSHOT_EVERY == 1:  # the snapshot before this batch is final now
-                for old in range(max(0, batch_id - 1 - SNAPSHOT_EVERY), batch_id - 1):
-                    remove_path(spark, f"{state}/batch_id={old}")
-        finally:
-            batch.unpersist()
-
-    return (
-        stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or ONCE_THROUGH)).start()
-    )
-
-
-def carried_rows(spark: SparkSession, state: str, schema: StructType, keys: list[str],
-                 batch_id: int) -> DataFrame | None:
-    """Carried rows of every key as they were before a batch."""
-    snapshot = max(0, batch_id - 1) // SNAPSHOT_EVERY * SNAPSHOT_EVERY
-    paths = [f"{state}/batch_id={i}" for i in range(snapshot, batch_id)]
-    paths = [p for p in paths if path_exists(spark, p)]
-    if not paths:
-        return None
-    full = StructType([*schema.fields, StructField("batch_id", LongType())])
-    rows = spark.read.schema(full).option("basePath", state).parquet(*paths)
-    newest = Window.partitionBy(*keys).orderBy(F.col("batch_id").desc())
-    kept = rows.withColumn("__age", F.rank().over(newest)).where("__age = 1")
-    return kept.drop("__age", "batch_id")
-
-
 def job_spread(spark: SparkSession, folder: str, df: DataFrame, keys: Sequence[str],
                hot_rows: int | None = None) -> tuple[list[int], int]:
     """Hashes of a job's hot keys and the groups to spread them over, the same at every restart.
