@@ -49,7 +49,7 @@ PERCENT = 80
 SKETCH_BITS = 21
 SKETCH_BLOCKS = 32
 STAR_ROUNDS = (1, 4)  # pivots per list in each round
-SHORT_LIST = 64  # nodes of a list whose pairs are listed
+SHORT_LIST = 256  # nodes of a list whose pairs are listed
 BLOCK_NODES = 2048  # nodes, and
 BLOCK_SHINGLES = 1_000_000  # shingles of them, that one block search holds, about
 CHUNK_SHINGLES = 1_000_000  # shingles of candidates that one search holds at a time
@@ -142,11 +142,8 @@ def needed(n: int) -> int:
 
 
 def postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(shingle, node, n, pos, last): the lists a node must be looked up in, without lists of one node.
-
-    ``pos`` is the shingle's place in the node's order. ``last`` is the last shingle of that order where the
-    list is a long one: it tells which nodes are likely to share long lists.
-    """
+    """(shingle, node, n, pos): the lists a node must be looked up in, without lists of one node. ``pos`` is
+    the shingle's place in the node's order; on the way all but the keys is packed into one number."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def rare(batches):
@@ -160,29 +157,25 @@ def postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                     continue
                 done.add(node)
                 heavy = level[(shingles >> shift).astype(np.int64)]
-                order = np.lexsort((shingles, heavy))
-                pick = order[:n - needed(n) + 1]
-                parts.append((shingles[pick].view(np.int64), node, n, heavy[pick] > 0,
-                              int(shingles[order[-1]] >> np.uint64(1))))
+                pick = np.lexsort((shingles, heavy))[:n - needed(n) + 1]
+                at = (n << 32) + (np.arange(len(pick)) << 1) + (heavy[pick] > 0)
+                parts.append((shingles[pick].view(np.int64), node, at))
             if parts:
                 yield pd.DataFrame({
                     "shingle": np.concatenate([p[0] for p in parts]),
                     "node": np.repeat([p[1] for p in parts], [len(p[0]) for p in parts]),
-                    "n": np.repeat([p[2] for p in parts], [len(p[0]) for p in parts]),
-                    "pos": np.concatenate([np.arange(len(p[0]), dtype=np.int32) for p in parts]),
-                    "long": (long := np.concatenate([p[3] for p in parts])),
-                    "last": np.where(long, np.repeat([p[4] for p in parts], [len(p[0]) for p in parts]), 0)})
+                    "at": np.concatenate([p[2] for p in parts])})
 
-    found = docs.select(F.col("text").cast("string")).mapInPandas(
-        rare, "shingle long, node long, n long, pos int, long boolean, last long")
+    found = docs.select(F.col("text").cast("string")).mapInPandas(rare, "shingle long, node long, at long")
     # Short lists are bounded, so a window may see one whole; long lists are spread and kept.
-    found = found.withColumn("spread", F.when(F.col("long"), F.xxhash64("node")).otherwise(0))
+    found = found.withColumn("spread", F.when(F.col("at") % 2 == 1, F.xxhash64("node")).otherwise(0))
     found.createOrReplaceTempView("jaccard_postings")
     alone = found.sparkSession.sql("""
-        SELECT shingle, node, n, pos, last, long, min(node) OVER w AS least, max(node) OVER w AS most
+        SELECT shingle, node, at, min(node) OVER w AS least, max(node) OVER w AS most
         FROM jaccard_postings WINDOW w AS (PARTITION BY shingle, spread)""")
-    return materialize(alone.filter("long OR least <> most")
-                       .select("shingle", "node", "n", "pos", "last").distinct(), "jaccard-postings")
+    return materialize(alone.filter("at % 2 = 1 OR least <> most").selectExpr(
+        "shingle", "node", "at DIV 4294967296 AS n", "CAST(at % 4294967296 DIV 2 AS INT) AS pos").distinct(),
+        "jaccard-postings")
 
 
 def _close(a: str, b: str):
@@ -260,7 +253,7 @@ def leading(all_lists: DataFrame, long: DataFrame) -> DataFrame:
     """(node, n, hint): nodes that may have a link which meets in none of the short lists in front of their
     first long one: what is left from there on must be enough for a link. ``long`` are lists of any group."""
     return (all_lists.join(long, "shingle", "left_semi").groupBy("node", "n")
-            .agg(F.min("pos").alias("lead"), F.max("last").alias("hint"))
+            .agg(F.min("pos").alias("lead"), F.max("shingle").alias("hint"))
             .filter(F.expr(f"100 * (n - lead) >= {PERCENT} * n")).select("node", "n", "hint"))
 
 
@@ -450,7 +443,7 @@ def _grouped(lists: DataFrame, label: DataFrame | None) -> DataFrame:
         return lists.withColumn("group", F.col("node"))
     known = label.withColumnRenamed("node", "member")
     return lists.join(known, F.col("node") == F.col("member"), "left").select(
-        "shingle", "node", "n", "pos", "last", "weight", F.coalesce("group", "node").alias("group"))
+        "shingle", "node", "n", "pos", "weight", F.coalesce("group", "node").alias("group"))
 
 
 def _links(docs: DataFrame, described: DataFrame) -> DataFrame | None:
