@@ -152,3 +152,85 @@ def interval_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_mic
         a.join(b, [*by, "__slice"]).where(F.col("__seen").between(low, high))
         .drop("__slice", "__at", "__seen")
     )
+
+
+def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[Column, Column],
+                 right_span: tuple[Column, Column]) -> DataFrame:
+    """Pairs of rows whose closed intervals of whole numbers share a point; there is no equal key.
+
+    Bins form a hierarchy: level k has bins 2**k wide. An interval lives at the level where it is at most one bin
+    wide, so it touches at most two bins there and on every level above. Two intervals meet at the level of the
+    wider one, in the bin that holds the larger of their starts, so each pair is made once and intervals of any
+    length meet without a cross join. Intervals that are empty or lack an end match nothing. The two sides
+    have different column names. Inputs are read more than once.
+    """
+    def placed(df: DataFrame, span: tuple[Column, Column], side: str) -> DataFrame:
+        low, high = f"__{side}_low", f"__{side}_high"
+        known = df.withColumns({low: span[0].cast("long"), high: span[1].cast("long")}).where(
+            F.col(low) <= F.col(high))
+        # Bits of the length: the least k with 2**k > high - low.
+        return known.withColumn(f"__{side}_level", F.length(F.conv(
+            (F.col(high) - F.col(low)).cast("string"), 10, 2)) - (F.col(high) == F.col(low)).cast("int"))
+
+    a, b = placed(left, left_span, "l"), placed(right, right_span, "r")
+
+    def levels(df: DataFrame, column: str) -> list[int]:
+        return sorted(r[0] for r in df.select(column).distinct().collect())  # 64 at most
+
+    def bins(df: DataFrame, side: str, level: Column) -> DataFrame:
+        width = F.expr(f"shiftleft(1L, __{side}_at)")
+        at = df.withColumn(f"__{side}_at", level)
+        return at.withColumn(f"__{side}_bin", F.explode(F.sequence(
+            F.floor(F.col(f"__{side}_low") / width), F.floor(F.col(f"__{side}_high") / width))))
+
+    def above(df: DataFrame, side: str, wider: list[int], own: bool) -> DataFrame:
+        level = F.col(f"__{side}_level")
+        fits = F.filter(F.array(*[F.lit(k) for k in wider]).cast("array<int>"),
+                        lambda k: (k >= level) if own else (k > level))
+        return bins(df, side, F.explode(fits))
+
+    l_levels, r_levels = levels(a, "__l_level"), levels(b, "__r_level")
+    start = F.greatest("__l_low", "__r_low")
+    met = (F.col("__l_at") == F.col("__r_at")) & (F.col("__l_bin") == F.col("__r_bin"))
+    share = (F.col("__l_low") <= F.col("__r_high")) & (F.col("__r_low") <= F.col("__l_high"))
+    once = F.col("__l_bin") == F.floor(start / F.expr("shiftleft(1L, __l_at)"))
+    left_wider = bins(a, "l", F.col("__l_level")).join(above(b, "r", l_levels, own=True), met & share & once)
+    right_wider = above(a, "l", r_levels, own=False).join(bins(b, "r", F.col("__r_level")), met & share & once)
+    columns = [*left.columns, *right.columns]
+    return left_wider.select(*columns).unionByName(right_wider.select(*columns))
+
+
+GRAM = 4  # letters of the longest piece of a name that is looked up
+
+
+def substring_lineage(tasks: DataFrame, config: str, topic_keys: Sequence[str], topics: DataFrame,
+                      topic: str = "topic") -> DataFrame:
+    """(task without its config, topic), each pair once: tasks with every listed topic whose name is part of one of
+    their settings.
+
+    Each name is looked up by its rarest piece: pieces of GRAM letters (shorter names: the name itself) are counted
+    over all settings, and only settings that hold a name's rarest piece are compared with it. Empty names
+    match nothing.
+    """
+    def pieces(text: str, sizes: Column) -> Column:
+        """Distinct pieces of each of the sizes."""
+        each = F.transform(sizes, lambda k: F.transform(
+            F.filter(F.sequence(F.lit(1), F.greatest(F.length(text) - k + 1, F.lit(1))),
+                     lambda i: i + k - 1 <= F.length(text)), lambda i: F.substr(F.col(text), i, k)))
+        return F.array_distinct(F.flatten(each))
+
+    names = topics.select(F.col(topic).alias("__name")).where("length(__name) > 0").distinct()
+    given = tasks.withColumn("__setting", F.explode(F.filter(
+        F.array(*[F.col(config)[k] for k in topic_keys]), lambda x: x.isNotNull())))
+    settings = given.select("__setting").distinct()
+    held = settings.select("__setting", F.explode(pieces(
+        "__setting", F.sequence(F.lit(1), F.lit(GRAM)))).alias("__piece"))
+    counts = held.groupBy("__piece").agg(F.count("*").alias("__n"))
+    size = F.least(F.length("__name"), F.lit(GRAM))
+    own = names.select("__name", F.explode(pieces("__name", F.array(size))).alias("__piece"))
+    rarest = own.join(counts, "__piece", "left").groupBy("__name").agg(
+        F.min_by("__piece", F.struct(F.coalesce("__n", F.lit(0)), "__piece")).alias("__piece"))
+    found = held.join(rarest, "__piece").where(F.contains("__setting", "__name")).select("__setting", "__name")
+    # A task may name a topic in several settings.
+    return (given.drop(config).join(found, "__setting").drop("__setting").withColumnRenamed("__name", topic)
+            .distinct())

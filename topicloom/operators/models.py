@@ -60,6 +60,22 @@ def train_program(df: DataFrame, fit: Callable[[DataFrame], Model]) -> Model:
     return fit(df)
 
 
+def naive_bayes_sql(model: PipelineModel) -> tuple[list[str], str]:
+    """Input names and the SQL expression that predicts as a fitted ``naive_bayes_pipeline`` does."""
+    indexer, assembler, bayes, _ = model.stages
+    if bayes.getOrDefault("modelType") != "multinomial":
+        raise ValueError("only multinomial models can be said in SQL")
+    inputs = assembler.getInputCols()
+    pi, theta = bayes.pi.toArray(), bayes.theta.toArray()
+    # Of equal scores the first class wins, as in the model.
+    scores = [
+        "struct({} AS score, {} AS place, {} AS label)".format(
+            " + ".join([f"CAST({start!r} AS DOUBLE)", *(f"`{c}` * CAST({w!r} AS DOUBLE)" for c, w in zip(
+                inputs, weights))]), -at, "'" + str(label).replace("\\", "\\\\").replace("'", "\\'") + "'")
+        for at, (start, weights, label) in enumerate(zip(pi.tolist(), theta.tolist(), indexer.labels))]
+    return inputs, f"array_max(array({', '.join(scores)})).label"
+
+
 class Models:
     """Models kept below a shared root: one row per change, fitted pipelines beside it."""
 
@@ -99,3 +115,17 @@ class Models:
     def score(self, df: DataFrame, name: str) -> DataFrame:
         """Apply a model to a table or a stream."""
         return self.load(name).transform(df)
+
+    def register(self, name: str) -> str:
+        """Make a model callable from SQL, in batch and stream queries, by its ``udf`` name (else its own name).
+
+        It becomes a SQL function of its numeric inputs, so its calls are optimised like any expression.
+        """
+        found = self.list().where(F.col("name") == name).first()
+        if found is None:
+            raise LookupError(f"no model named {name!r}")
+        called = found["udf"] or name
+        inputs, body = naive_bayes_sql(PipelineModel.load(found["path"]))
+        arguments = ", ".join(f"`{c}` DOUBLE" for c in inputs)
+        self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION `{called}`({arguments}) RETURNS STRING RETURN {body}")
+        return called

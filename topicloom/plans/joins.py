@@ -200,3 +200,44 @@ def lineage_by_text(t):
                                                    F.col("o_custkey").cast("string")))
     tasks = t.orders.select("o_orderkey", config.alias("config"))
     return j.tasks_naming(tasks, "config", ALL_TOPIC_KEYS, "HIGH").select("o_orderkey")
+
+
+@query("join_overlap", """
+WITH a AS (SELECT event_id AS a_id, epoch_us(ts) // 1000000 AS a_from,
+                  epoch_us(ts) // 1000000 + CASE WHEN event_id % 500 < 5 THEN 94608000 ELSE event_id % 600 END
+                  AS a_to FROM events WHERE event_type = 'error'),
+b AS (SELECT event_id AS b_id, epoch_us(ts) // 1000000 AS b_from,
+             epoch_us(ts) // 1000000 + CASE WHEN event_id % 501 < 5 THEN 63072000 ELSE event_id % 601 END
+             AS b_to FROM events WHERE event_type = 'purchase')
+SELECT a_id, count(*) AS n, min(b_id) AS first_id, max(b_id) AS last_id
+FROM a JOIN b ON a_from <= b_to AND b_from <= a_to GROUP BY a_id""")
+def join_overlap(t):
+    """Outages and campaigns, from seconds to years long, that were under way at the same time."""
+    def spans(kind, name, every, long, short):
+        start = F.unix_seconds(F.col("ts").cast("timestamp"))
+        length = F.when(F.col("event_id") % every < 5, long).otherwise(F.col("event_id") % short)
+        return t.events.where(F.col("event_type") == kind).select(
+            F.col("event_id").alias(f"{name}_id"), start.alias(f"{name}_from"), (start + length).alias(f"{name}_to"))
+
+    outages = spans("error", "a", 500, 94_608_000, 600)
+    campaigns = spans("purchase", "b", 501, 63_072_000, 601)
+    pairs = j.overlap_join(outages, campaigns, (F.col("a_from"), F.col("a_to")), (F.col("b_from"), F.col("b_to")))
+    return pairs.groupBy("a_id").agg(F.count("*").alias("n"), F.min("b_id").alias("first_id"),
+                                     F.max("b_id").alias("last_id"))
+
+
+@query("lineage_substring", """
+WITH tasks AS (SELECT o_orderkey, 'prio_' || o_orderpriority AS a, 'cust_' || o_custkey AS b FROM orders),
+topics AS (SELECT DISTINCT 'cust_' || user_id AS topic FROM events UNION SELECT '_' || o_orderpriority[1] FROM orders
+           UNION SELECT 'st_1')
+SELECT o_orderkey, topic FROM tasks JOIN topics ON contains(a, topic) OR contains(b, topic)""")
+def lineage_substring(t):
+    config = F.create_map(F.lit("topics"), F.concat(F.lit("prio_"), "o_orderpriority"),
+                          F.lit("topic_out"), F.concat(F.lit("cust_"), F.col("o_custkey").cast("string")))
+    tasks = t.orders.select("o_orderkey", config.alias("config"))
+    topics = (
+        t.events.select(F.concat(F.lit("cust_"), F.col("user_id").cast("string")).alias("topic"))
+        .union(t.orders.select(F.concat(F.lit("_"), F.substring("o_orderpriority", 1, 1))))
+        .union(t.orders.select(F.lit("st_1"))).distinct())
+    return j.substring_lineage(tasks.select("o_orderkey", "config"), "config", ALL_TOPIC_KEYS, topics).select(
+        "o_orderkey", "topic")

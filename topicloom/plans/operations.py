@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from topicloom.operators import aggregates as agg
 from topicloom.operators import operations as ops
 from topicloom.operators import transforms as tf
-from topicloom.operators.models import naive_bayes_pipeline
+from topicloom.operators.models import Models, naive_bayes_pipeline
 from topicloom.plans.registry import query
+from topicloom.session import fresh_dir
 
 
 @query("process_history", """
@@ -184,7 +185,7 @@ def log_by_task(t):
     return ops.logs_of_task(t.documents, "text", "ation").select("doc_id", "lang")
 
 
-@query("ml_nb_score", """
+NAIVE_BAYES = """
 WITH x AS (SELECT row_number() OVER () AS row, l_orderkey, l_linenumber, l_returnflag AS label, l_quantity AS a,
                   l_extendedprice / 1000 AS b, l_discount AS c, l_tax AS d FROM lineitem),
 s AS (SELECT label, count(*) AS n, sum(a) AS a, sum(b) AS b, sum(c) AS c, sum(d) AS d
@@ -195,7 +196,10 @@ w AS (SELECT label, ln(n + 1.0) - ln((SELECT sum(n) + count(*) FROM s)) AS pi,
       FROM s)
 SELECT l_orderkey, l_linenumber, x.label AS l_returnflag, x.a AS l_quantity,
        arg_max(w.label, pi + x.a * wa + x.b * wb + x.c * wc + x.d * wd) AS predicted
-FROM x, w GROUP BY row, l_orderkey, l_linenumber, x.label, x.a""")
+FROM x, w GROUP BY row, l_orderkey, l_linenumber, x.label, x.a"""
+
+
+@query("ml_nb_score", NAIVE_BAYES)
 def ml_nb_score(t):
     # The whole table trains and is scored, as the guided recipe does.
     data = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity",
@@ -205,3 +209,17 @@ def ml_nb_score(t):
                                  100, data)
     return model.transform(data).select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity",
                                         "predicted")
+
+
+@query("ml_sql_score", NAIVE_BAYES)
+def ml_sql_score(t):
+    """The same model, kept under a name and called from SQL."""
+    t.lineitem.selectExpr("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_extendedprice / 1000 AS price",
+                          "l_discount", "l_tax").createOrReplaceTempView("model_lines")
+    data = t.spark.table("model_lines")
+    models = Models(t.spark, fresh_dir(t.spark, "models"))
+    models.save("flags", naive_bayes_pipeline("l_returnflag", ["l_quantity", "price", "l_discount", "l_tax"],
+                                              100, data), udf="predict_flag")
+    models.register("flags")
+    return t.spark.sql("""SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity,
+                                 predict_flag(l_quantity, price, l_discount, l_tax) AS predicted FROM model_lines""")

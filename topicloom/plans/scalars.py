@@ -1,9 +1,10 @@
 """One query per family of functions reachable through SQL."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from topicloom.functions import scalars as sc
-from topicloom.functions.udfs import register_scalar
+from topicloom.functions.udfs import register_scalar, user_aggregate
 from topicloom.operators.scripts import run_script
 from topicloom.plans.registry import query
 
@@ -134,6 +135,36 @@ def udf_sql(t):
                        "weigh(value, user_id) AS score FROM topic_events) WHERE score > 60")
 
 
+class Spread:
+    """Bitwise sum, least and largest of a column of whole numbers."""
+
+    def init(self):
+        return (0, None, None)
+
+    def update(self, state, rows):
+        values = rows.iloc[:, 0].dropna().astype("int64")
+        if not len(values):
+            return state
+        return self.merge(state, (int(np.bitwise_xor.reduce(values.to_numpy())), int(values.min()), int(values.max())))
+
+    def merge(self, state, other):
+        least = [s[1] for s in (state, other) if s[1] is not None]
+        most = [s[2] for s in (state, other) if s[2] is not None]
+        return (state[0] ^ other[0], min(least, default=None), max(most, default=None))
+
+    def finish(self, state):
+        return (state[0], None if state[1] is None else state[2] - state[1])
+
+
+@query("udaf_sql", """
+SELECT event_type, bit_xor(event_id) AS checksum, max(event_id) - min(event_id) AS spread
+FROM events GROUP BY event_type HAVING max(event_id) - min(event_id) > 10""")
+def udaf_sql(t):
+    """A user-defined aggregate, its result used in SQL."""
+    summed = user_aggregate(t.events, ["event_type"], ["event_id"], Spread(), "checksum long, spread long")
+    return t.spark.sql("SELECT event_type, checksum, spread FROM {summed} WHERE spread > 10", summed=summed)
+
+
 @query("sql_script", """
 SELECT o_orderpriority, 'a@b;c--d' AS mark, count(*) AS n, round(sum(o_totalprice), 2) AS spent
 FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1""")

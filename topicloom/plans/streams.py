@@ -5,7 +5,7 @@ from pyspark.sql.types import StructType
 
 from topicloom.operators import operations as ops
 from topicloom.operators import transforms as tf
-from topicloom.operators.aggregates import tumble
+from topicloom.operators.aggregates import stream_sessions, tumble
 from topicloom.operators.joins import lookup
 from topicloom.operators.ordered import over_last_rows
 from topicloom.operators.scripts import run_stream_sql
@@ -123,6 +123,30 @@ def stream_agg_final(t):
     return _latest(t, changes, ["user_id"])
 
 
+@query("stream_session", """
+WITH marked AS (
+  SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS is_new
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+numbered AS (SELECT user_id, ts, sum(is_new) OVER (PARTITION BY user_id ORDER BY ts
+             ROWS UNBOUNDED PRECEDING) AS s FROM marked)
+SELECT user_id, min(ts) AS session_start, max(ts) AS last_seen, count(*) AS n
+FROM numbered GROUP BY user_id, s""")
+def stream_session(t):
+    """Sessions by native state; a last row far ahead lets the watermark pass the end of all of them."""
+    topics, checkpoint = Topics(t.spark), fresh_dir(t.spark, "checkpoint")
+    events = with_event_time(t.events.select("user_id", "ts"))
+    span = _span_s(t.events, "ts")
+    closing = events.agg(F.lit(None).cast("long").alias("user_id"),
+                         (F.max("ts") + F.make_dt_interval(secs=F.lit(span + 7200))).alias("ts"))
+    for part in (events, closing):
+        topics.append(part, "events")
+        found = stream_sessions(topics.stream("events", events.schema), "ts", "30 minutes", ["user_id"],
+                                f"{span} seconds")
+        drain(topics.publish(found, "sessions", checkpoint))
+    out = topics.read("sessions", found.schema).where("user_id IS NOT NULL")
+    return as_plain_time(out, "session_start", "last_seen")
+
+
 @query("stream_compacted_log", """
 SELECT user_id, count(*) AS n, round(sum(value), 2) AS total_value FROM events GROUP BY user_id""")
 def stream_compacted_log(t):

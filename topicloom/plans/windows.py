@@ -3,7 +3,14 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from topicloom.operators.aggregates import sessions, slide, tumble
+from topicloom.operators.aggregates import (
+    merge_sketches,
+    quantiles,
+    sessions,
+    sketches,
+    slide,
+    tumble,
+)
 from topicloom.operators.ordered import ntiles, over_last_rows, ranks, running_sums
 from topicloom.plans.registry import query
 
@@ -143,3 +150,35 @@ SELECT user_id, min(ts) AS session_start, max(ts) AS last_seen, count(*) AS n
 FROM numbered GROUP BY user_id, s""")
 def session_count(t):
     return sessions(t.events, "ts", 1800, ["user_id"])
+
+
+@query("agg_percentile", """
+SELECT l_returnflag, share, CASE share WHEN 0.1 THEN p[1] WHEN 0.5 THEN p[2] WHEN 0.99 THEN p[3] ELSE p[4] END
+       AS l_extendedprice
+FROM (SELECT l_returnflag, quantile_disc(l_extendedprice, [0.1, 0.5, 0.99, 1.0]) AS p FROM lineitem
+      GROUP BY l_returnflag), (VALUES (0.1::DOUBLE), (0.5::DOUBLE), (0.99::DOUBLE), (1.0::DOUBLE)) s(share)""")
+def agg_percentile(t):
+    """Exact quantiles; groups of over 500 values are searched by counting."""
+    return quantiles(t.lineitem, ["l_returnflag"], "l_extendedprice", [0.1, 0.5, 0.99, 1.0], few=500)
+
+
+@query("sketch_rollup", """
+SELECT event_type, date_trunc('week', ts) AS week, count(DISTINCT date_trunc('day', ts)) AS days, true AS close
+FROM events GROUP BY ALL
+UNION ALL
+SELECT event_type, NULL, count(DISTINCT date_trunc('day', ts)), true FROM events GROUP BY event_type""")
+def sketch_rollup(t):
+    """Sketches kept per day, merged per week and over all days: whether each lies within its bound."""
+    events = t.events.withColumns({"day": F.date_trunc("day", F.col("ts").cast("timestamp")),
+                                   "week": F.date_trunc("week", F.col("ts").cast("timestamp"))})
+    daily = sketches(events, ["event_type", "week", "day"], "event_id")
+    weekly = merge_sketches(daily, ["event_type", "week"])
+    whole = merge_sketches(weekly.select("event_type", "sketch", F.col("parts").alias("days")), ["event_type"])
+    exact = events.groupBy("event_type", "week").agg(
+        F.countDistinct("event_id").alias("exact"), F.countDistinct("day").alias("days"))
+    # Events have one day each, so exact counts of disjoint weeks add up.
+    both = weekly.select("event_type", "week", "distinct").join(exact, ["event_type", "week"]).unionByName(
+        whole.select("event_type", F.lit(None).cast("timestamp").alias("week"), "distinct").join(
+            exact.groupBy("event_type").agg(F.sum("exact").alias("exact"), F.sum("days").alias("days")), "event_type"))
+    near = F.abs(F.col("distinct") - F.col("exact")) <= 0.065 * F.col("exact")  # four standard errors
+    return both.select("event_type", F.col("week").cast("timestamp_ntz").alias("week"), "days", near.alias("close"))
