@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from bisect import bisect_left
 from itertools import groupby
 
 import numpy as np
@@ -69,9 +70,14 @@ def _signed(value) -> int:
     return int(np.uint64(value).astype(np.int64))
 
 
+def _key(shingles: np.ndarray) -> int:
+    with np.errstate(over="ignore"):
+        return _signed(mixed(shingles).sum(dtype=np.uint64))
+
+
 def _keys(shingles: np.ndarray) -> tuple[int, int]:
     with np.errstate(over="ignore"):
-        return (_signed(mixed(shingles).sum(dtype=np.uint64)),
+        return (_key(shingles),
                 _signed(mixed(shingles ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)))
 
 
@@ -153,11 +159,12 @@ def postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
             parts = []
             for shingles in _sets(batch["text"], cache):
                 n = len(shingles)
-                if not n or (node := _keys(shingles)[0]) in done:
+                if not n or (node := _key(shingles)) in done:
                     continue
                 done.add(node)
                 heavy = level[(shingles >> shift).astype(np.int64)]
-                pick = np.lexsort((shingles, heavy))[:n - needed(n) + 1]
+                # A stable sort: shingles come in order of their hashes.
+                pick = np.argsort(heavy, kind="stable")[:n - needed(n) + 1]
                 at = (n << 32) + (np.arange(len(pick)) << 1) + (heavy[pick] > 0)
                 parts.append((shingles[pick].view(np.int64), node, at))
             if parts:
@@ -189,11 +196,11 @@ def mixed_lists(lists: DataFrame) -> DataFrame:
     return lists.join(several.filter("x <> y").select("shingle"), "shingle", "left_semi")
 
 
-def _counted(pairs: DataFrame) -> DataFrame:
+def _counted(pairs: DataFrame, aside: DataFrame | None = None) -> DataFrame:
     """Pairs of (pivot, node) that may still link, with ``low`` and ``high``.
 
-    ``pairs`` has a row for each list in which the two meet, with their sizes (pn, n), places (pp, pos) and the
-    long lists of both that were left out (left). Of two nodes' common shingles those up to the end of the
+    ``pairs`` has a row for each list in which the two meet, with their sizes (pn, n) and places (pp, pos);
+    ``aside`` says of a node in how many lists it is that were left out. Of two nodes' common shingles those up to the end of the
     shorter-reaching prefix lie in both prefixes, and the others among the last T - 1 of one node. So a link
     meets in alpha - max(T) + 1 lists or more, where alpha is the overlap it needs; and no more than what
     follows the first common place can be common.
@@ -202,11 +209,16 @@ def _counted(pairs: DataFrame) -> DataFrame:
     alpha = f"({PERCENT} * (less + more) + {size - 1}) DIV {size}"
     most = f"({PERCENT} * more + 99) DIV 100"
     either = F.struct("pivot", "node")
-    return (pairs.groupBy(F.least("pivot", "node").alias("low"), F.greatest("pivot", "node").alias("high"))
-            .agg(F.count("*").alias("met"), F.min(either).alias("x"), F.min("left").alias("left"),
-                 F.max(F.least(F.col("n") - F.col("pos"), F.col("pn") - F.col("pp"))).alias("room"),
-                 F.min(F.least("n", "pn")).alias("less"), F.max(F.greatest("n", "pn")).alias("more"))
-            .filter(F.expr(f"met + left >= {alpha} - {most} + 1 AND (left > 0 OR room >= {alpha})"))
+    found = (pairs.groupBy(F.least("pivot", "node").alias("low"), F.greatest("pivot", "node").alias("high"))
+             .agg(F.count("*").alias("met"), F.min(either).alias("x"),
+                  F.max(F.least(F.col("n") - F.col("pos"), F.col("pn") - F.col("pp"))).alias("room"),
+                  F.min(F.least("n", "pn")).alias("less"), F.max(F.greatest("n", "pn")).alias("more"))
+             .withColumns({"alpha": F.expr(alpha), "most": F.expr(most), "left": F.lit(0)}))
+    if aside is not None:
+        for end in ("low", "high"):
+            found = found.join(aside.select(F.col("node").alias(end), F.col("aside").alias(f"{end}_aside")), end, "left")
+        found = found.withColumn("left", F.least(*[F.coalesce(f"{e}_aside", F.lit(0)) for e in ("low", "high")]))
+    return (found.filter("met + left >= alpha - most + 1 AND (left > 0 OR room >= alpha)")
             .select("x.pivot", "x.node", "low", "high"))
 
 
@@ -229,7 +241,7 @@ def star_pairs(lists: DataFrame, pivots: int) -> DataFrame:
     return _counted(lists.join(best, "shingle")
                     .filter((F.col("group") != F.col("p.group")) & _close("n", "p.n"))
                     .select(F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.pos").alias("pp"),
-                            "node", "n", "pos", F.lit(0).alias("left")))
+                            "node", "n", "pos"))
 
 
 def long_lists(lists: DataFrame) -> DataFrame:
@@ -240,13 +252,12 @@ def long_lists(lists: DataFrame) -> DataFrame:
 def short_pairs(lists: DataFrame, long: DataFrame) -> DataFrame:
     """All pairs of different groups in the lists that are not long; their length bounds the rows."""
     aside = lists.join(long, "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("aside"))
-    short = (lists.join(long, "shingle", "left_anti").join(aside, "node", "left")
-             .withColumn("aside", F.coalesce("aside", F.lit(0))))
+    short = lists.join(long, "shingle", "left_anti")
     other = short.select("shingle", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("pos").alias("pp"),
-                         F.col("group").alias("pg"), F.col("aside").alias("pa"))
+                         F.col("group").alias("pg"))
     return _counted(short.join(other, "shingle")
                     .filter((F.col("pg") != F.col("group")) & (F.col("pivot") < F.col("node")) & _close("n", "pn"))
-                    .select("pivot", "pn", "pp", "node", "n", "pos", F.least("aside", "pa").alias("left")))
+                    .select("pivot", "pn", "pp", "node", "n", "pos"), aside)
 
 
 def leading(all_lists: DataFrame, long: DataFrame) -> DataFrame:
@@ -302,7 +313,7 @@ def merge_lists(lists: list[np.ndarray], floor: int) -> dict[int, int]:
     # Few long lists when merging is cheap, many when the longest list dominates; always below floor.
     aside = min(len(lists), floor - 1, int(floor / (0.01 * np.log2(len(lists[-1]) + 1) + 1)))
     short, long = lists[:len(lists) - aside], lists[len(lists) - aside:]
-    merged = heapq.merge(*(x.tolist() for x in short))
+    merged, long = heapq.merge(*(x.tolist() for x in short)), [x.tolist() for x in long]
     found = {}
     for owner, hits in groupby(merged):
         count = sum(1 for _ in hits)
@@ -311,8 +322,8 @@ def merge_lists(lists: list[np.ndarray], floor: int) -> dict[int, int]:
         for left, probed in zip(range(len(long), 0, -1), reversed(long)):
             if count + left < floor:
                 break
-            at = np.searchsorted(probed, owner)
-            count += bool(at < len(probed) and probed[at] == owner)
+            at = bisect_left(probed, owner)
+            count += at < len(probed) and probed[at] == owner
         if count >= floor:
             found[owner] = count
     return found
