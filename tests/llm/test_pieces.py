@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import pytest
 import sentencepiece
 from conftest import SF
@@ -80,3 +82,19 @@ def test_query_and_odd_rows(spark, library):
     assert ids[2] == [] and ids[3] == [] and ids[6] == library.encode(dict(TEXTS)[6])
     assert pieces.encode_and_check(empty(spark)).count() == 0
     assert pieces.add_ids(df, into="ids").columns.count("ids") == 1
+
+
+def test_a_text_without_blanks_takes_memory_for_its_pieces_only():
+    """A long blank-free text beside many new words: what is held follows the pieces, not words times length."""
+    import tracemalloc
+
+    coder = pieces.Pieces(pieces.model_bytes())
+    rng = np.random.default_rng(4)
+    words = ["".join(map(chr, rng.integers(97, 123, 9))) for _ in range(5000)]
+    long = "".join(map(chr, rng.integers(97, 123, 20_000)))
+    tracemalloc.start()
+    ids = coder.encode_all([" ".join(words), long])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    assert coder.decode(ids[1].tolist()) == long

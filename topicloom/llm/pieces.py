@@ -14,7 +14,8 @@ the text. No piece crosses from a character to a following blank, so a text is e
 
 Defined cases: null and empty texts have no pieces and decode to the empty string; lone surrogates are
 replaced as in UTF-8 output; control pieces in a text are ordinary text; U+2581 in a text decodes to a
-blank; repeated rows get equal ids; an empty table gives no rows; other columns pass through.
+blank; repeated rows get equal ids; an empty table gives no rows; other columns pass through. A very long text,
+also one without a blank, is taken whole: it needs memory in proportion to its characters and pieces.
 """
 
 from __future__ import annotations
@@ -77,7 +78,8 @@ class Pieces:
                 self.bytes[int(_BYTE.match(name).group(1), 16)] = k
             elif not (sp.is_control(k) or sp.is_unknown(k) or sp.is_unused(k)):
                 self.ids[name] = k
-        self.of_byte = {k: bytes([b]) for b, k in self.bytes.items()}
+        of_byte = {k: bytes([b]) for b, k in self.bytes.items()}
+        self.raw = [of_byte.get(k) or name.encode() for k, name in enumerate(self.names)]
         # Merge ranks are whole numbers, log probabilities are not.
         self.merges = all(self.scores[k].is_integer() for k in self.ids.values())
         self.lengths = np.array([len(x) for x in self.names])
@@ -173,16 +175,20 @@ class Pieces:
         return out
 
     def _paths(self, heads, tails, back, last) -> list[bytes]:
-        steps, at, live = [], tails.copy(), tails > heads
-        while live.any():
-            steps.append(np.where(live, last[at], FIRST))
-            at = np.where(live, back[at], at)
-            live = at > heads
+        # Ways are followed back together; only those not yet at their head take a step, so what is held is
+        # as much as there are pieces, however long the longest segment is.
+        steps, at, live = [], tails.copy(), np.flatnonzero(tails > heads)
+        while len(live):
+            steps.append((live, last[at[live]]))
+            at[live] = back[at[live]]
+            live = live[at[live] > heads[live]]
         if not steps:
             return [b""] * len(heads)
-        grid = np.array(steps[::-1]).T
-        used = grid != FIRST
-        ids, counts = grid[used], used.sum(1)
+        counts = np.bincount(np.concatenate([x for x, _ in steps]), minlength=len(heads))
+        ids, place = np.empty(int(counts.sum()), np.int64), np.cumsum(counts)
+        for x, pieces in steps:
+            place[x] -= 1
+            ids[place[x]] = pieces
         spelled = np.bincount(np.repeat(np.arange(len(counts)), counts), ids < 0, len(counts)) > 0
         data, stops = ids.astype(np.int32).tobytes(), (np.cumsum(counts) * 4).tolist()
         out = [data[a:b] for a, b in zip([0, *stops[:-1]], stops)]
@@ -218,12 +224,7 @@ class Pieces:
         return self.encode_all([text])[0].tolist()
 
     def decode(self, ids) -> str:
-        names, of_byte = self.names, self.of_byte
-        if of_byte.keys().isdisjoint(ids):
-            text = "".join([names[k] for k in ids])
-        else:
-            raw = b"".join([of_byte.get(k) or names[k].encode() for k in ids])
-            text = raw.decode("utf-8", "replace")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         text = text.replace(BLANK, " ")
         return text[1:] if text.startswith(" ") else text
 
