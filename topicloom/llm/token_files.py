@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from functools import partial
 
 import numpy as np
@@ -207,8 +208,10 @@ class Chunks:
 
     def letters(self, word: str) -> bytes:
         """A word of letters is one piece of text for the tokenizer's model."""
-        spelled = "".join([self.spelling.get(c) or self._spell(c) for c in word.lower()])
-        return np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], np.uint32).tobytes()
+        spelled = word.lower()
+        if not word.isascii():  # ASCII letters are spelled as they are
+            spelled = "".join([self.spelling.get(c) or self._spell(c) for c in spelled])
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
 
     def _spell(self, char: str) -> str:
         self.spelling[char] = found = self.tokenizer.pre_tokenizer.pre_tokenize_str(char)[0][0]
@@ -216,6 +219,8 @@ class Chunks:
 
     def chunk(self, chunk: str) -> bytes:
         """Letters and the marks behind them are pieces of their own; anything else goes in whole."""
+        if chunk.isascii() and chunk.isalpha():
+            return self.letters(chunk)
         parts = _LETTERS.fullmatch(chunk)
         if parts is None:
             return self.plain(chunk).tobytes()
