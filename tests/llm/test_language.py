@@ -82,6 +82,27 @@ def test_odd_rows(spark):
     assert li.keep_identified(df, df).columns == df.columns
 
 
+def test_letters_without_a_known_piece_and_other_models(spark):
+    """A text with letters gets a learned language; a worker that has used one model reads another one anew."""
+    def learned(rows):
+        return li.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+    one = learned([(1, "aaa bbb", "x"), (2, "ccc ddd eee fff ggg", "y")])
+    two = learned([(1, "aaa bbb", "y"), (2, "ccc ddd eee fff ggg", "x")])
+    texts = spark.createDataFrame([(1, "aaa"), (2, "ccc"), (3, "字"), (4, "12"), (5, None)], "doc_id long, text string")
+    for model, names in ((one, "xyy"), (two, "yxx")) * 3:
+        got = {r.doc_id: r for r in li.identify(texts, model).collect()}
+        assert [got[k].lang_pred for k in range(1, 6)] == [*names, "und", "und"]
+        assert got[3].score == 0.0 and got[1].score > 0.5
+    assert one.key != two.key
+
+
+def test_columns_of_the_same_name_are_replaced(spark):
+    df = documents(spark)
+    out = li.identify(df, li.learn(df))
+    assert sorted(out.columns) == sorted(df.columns) and dict(out.dtypes)["score"] == "double"
+
+
 def test_nothing_learned_and_empty(spark):
     model = li.learn(empty(spark))
     assert model.languages == []

@@ -11,9 +11,10 @@ bit columns) and corrected for the filter's false positives; the language with m
 
 Size bounds: MIN_RATE bounds the n-grams of a language, SLOTS the filter that is broadcast.
 
-Defined cases: null texts and texts without a letter give ``und`` with score 0; if nothing was learned,
-or no n-gram is known, every text is ``und``; ties go to the first language by name; rows without a
-language or text teach nothing; repeated rows count as often as they occur; other columns are ignored.
+Defined cases: null texts and texts without a letter give ``und`` with score 0, and so does every text if
+nothing was learned; a text with letters of which no n-gram is known gets the language that was learned most,
+with score 0; ties go to the first language by name; rows without a language or text teach nothing; repeated rows
+count as often as they occur; other columns are ignored. Very long texts are taken whole; a word is looked up once.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,6 +109,13 @@ class Model:
     languages: list[str]
     slots: np.ndarray
     false_hits: np.ndarray
+    usual: str = UNKNOWN  # the language that most of what was learned is in
+
+    @property
+    def key(self) -> int:
+        """Tells models apart, also those that follow each other in a worker."""
+        return xxhash.xxh64_intdigest(repr((self.languages, self.usual, self.false_hits.tolist())).encode()
+                                      + self.slots.tobytes())
 
     def masks(self, grams: np.ndarray) -> np.ndarray:
         found = np.full(len(grams), -1, np.int64)
@@ -149,7 +158,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
               .groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow())  # 2 ** SLOT_BITS rows at most
     slots[filled["slot"].to_numpy()] = filled["mask"].to_numpy()
     fill = np.array([np.count_nonzero(slots >> k & 1) for k in range(len(languages))]) / len(slots)
-    return Model(languages, slots, fill ** PROBES)
+    return Model(languages, slots, fill ** PROBES, max(languages, key=lambda x: totals[x]))
 
 
 def _hits(model: Model, words: list[str]) -> np.ndarray:
@@ -188,6 +197,7 @@ def _predict_batch(model: Model, texts: list[str | None], cache: dict) -> tuple[
             if total[-1]:
                 share = (total[1:-1] / total[0] - model.false_hits) / (1 - model.false_hits)
                 best = int(np.argmax(share))
+                name = model.usual
                 if share[best] > 0:
                     name, score = model.languages[best], float(min(1.0, share[best]))
         names.append(name)
@@ -197,11 +207,13 @@ def _predict_batch(model: Model, texts: list[str | None], cache: dict) -> tuple[
 
 def predictor(spark: SparkSession, model: Model):
     """A column function: text -> struct(lang_pred, score)."""
-    shared = spark.sparkContext.broadcast(model)
+    shared, key = spark.sparkContext.broadcast(model), model.key
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: pd.Series) -> pd.DataFrame:
-        cache = _caches.setdefault(id(shared.value), {})
+        if key not in _caches:
+            _caches.clear()  # one model at a time
+        cache = _caches.setdefault(key, {})
         names, scores = _predict_batch(shared.value, batches.tolist(), cache)
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
@@ -217,10 +229,11 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def identify(docs: DataFrame, model: Model, text: Column | None = None) -> DataFrame:
-    """All rows and columns plus ``lang_pred`` and ``score``."""
+    """All rows and columns plus ``lang_pred`` and ``score``, which take the place of columns of these names."""
     text = F.col("text") if text is None else text
+    kept = [docs[c] for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     return docs.withColumn("__lang", predictor(docs.sparkSession, model)(text.cast("string"))).select(
-        *docs.columns, "__lang.lang_pred", F.col("__lang.score").alias("score"))
+        *kept, "__lang.lang_pred", F.col("__lang.score").alias("score"))
 
 
 def keep_identified(docs: DataFrame, labelled: DataFrame, min_score: float = 0.2) -> DataFrame:
