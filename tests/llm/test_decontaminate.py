@@ -19,15 +19,16 @@ def items_of(spark, rows):
 
 def brute(text, item):
     """Whether some window of the item agrees with the text in enough places, on any diagonal."""
-    words, own = dc.alnum_words(text), dc.alnum_words(item)
-    if len(own) < dc.MIN_ITEM_WORDS:
+    words, own = dc.words_of(text), dc.words_of(item)
+    least = dc.MIN_MATCH_PERCENT if len(own) >= dc.MIN_ITEM_WORDS else 100
+    if not own:
         return False
     width = min(dc.WINDOW, len(own))
     for d in range(-len(own), len(words)):
         for q in range(len(own) - width + 1):
             if 0 <= q + d and q + d + width <= len(words):
                 same = sum(words[q + d + j] == own[q + j] for j in range(width))
-                if 100 * same >= dc.MIN_MATCH_PERCENT * width:
+                if 100 * same >= least * width:
                     return True
     return False
 
@@ -56,6 +57,36 @@ def test_passages_with_substitutions(spark):
     assert got == want and len(want) > 50
 
 
+def test_short_items_and_scripts_without_blanks():
+    items = [(1, "我们昨天去了北京的大学"), (2, "two words"), (3, "สวัสดีครับ"), (4, "one, two three four five"), (5, "字")]
+    block = dc.build_block([(i, dc.WordCache().hashes(dc.words_of(t))) for i, t in items])
+    texts = ["x 我们昨天去了北京的大学 y", "我们昨天去了上海的大学", "two  words", "two other words", "A TWO words.", "สวัสดีครับ!",
+             "one two three four five", "one two three four", "one two three for five", "字", "", None, "a字b 我们"]
+    for text in texts:
+        got = {x[0] for x in dc.overlaps(text, block, dc.WordCache())}
+        assert got == {i for i, t in items if brute(text, t)}, text
+
+
+def test_texts_that_repeat_themselves():
+    rng = random.Random(3)
+    for period in (1, 2, 3, 7):
+        cycle = [f"n{k}" for k in range(period)]
+        items = [(1, " ".join((cycle * 90)[:90])), (2, " ".join((cycle * 9)[:9] + rng.choices("abc", k=20)))]
+        block = dc.build_block([(i, dc.WordCache().hashes(dc.words_of(t))) for i, t in items])
+        text = " ".join((cycle * 700)[:700] + ["other"] * 5 + (cycle * 40)[:40])
+        hashes = dc.WordCache().hashes(dc.words_of(text))
+        fast = set(map(tuple, dc._hits(hashes, block)))
+        saved, dc.FEW_PAIRS = dc.FEW_PAIRS, 10**12
+        assert fast == set(map(tuple, dc._hits(hashes, block)))
+        dc.FEW_PAIRS = 3
+        assert fast == set(map(tuple, dc._hits(hashes, block)))
+        dc.FEW_PAIRS = saved
+        assert {x[0] for x in dc.overlaps(text, block, dc.WordCache())} == {i for i, t in items if brute(text, t)}
+    long = dc.WordCache().hashes([b"na"] * 20_000)
+    block = dc.build_block([(1, long[:500])])
+    assert len(dc._hits(long, block)) == 20_000 + 500 - 1 - 4 - 4
+
+
 def test_masks_meet_every_window_that_agrees_enough():
     for width in range(dc.MIN_ITEM_WORDS, dc.WINDOW + 1):
         most = width * (100 - dc.MIN_MATCH_PERCENT) // 100
@@ -80,7 +111,7 @@ def test_test_set_in_several_blocks(spark, monkeypatch):
 
 
 def test_odd_items_and_rows(spark):
-    items = [(1, None), (2, ""), (3, "too short"), (None, "quick brown fox jumps over the lazy dog"),
+    items = [(1, None), (2, ""), (3, "too short"), (6, "..."), (None, "quick brown fox jumps over the lazy dog"),
              (4, "quick brown fox jumps over the lazy dog"), (5, "quick brown fox jumps over the lazy dog")]
     df = documents(spark)
     rows = dc.mark(df, items_of(spark, items), into="hits")
