@@ -92,6 +92,25 @@ def test_odd_rows_over_many_files(spark, monkeypatch, file_ids, shard_bytes):
         assert manifest.count() > 3
 
 
+@pytest.mark.parametrize("ids", [[*range(1, 200), 10**15, -(2**62), 2**63 - 1], [None] * 200, [7] * 150 + [8] * 9],
+                         ids=["far", "none", "one"])
+def test_any_ids_spread_over_many_tasks(spark, monkeypatch, ids):
+    monkeypatch.setattr(shards, "SHARD_BYTES", 400)
+    monkeypatch.setattr(shards, "KEY_RANGES", 1024)
+    rows = [(i, f"text {k} " + "word " * (k % 20)) for k, i in enumerate(ids)]
+    folder, manifest = tf.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"))
+    held = {}
+    for r in manifest.collect():
+        held[r.shard] = held.get(r.shard, 0) + r.records
+    assert len(held) > 15 and max(held.values()) < 40
+    found = [tuple(r) for r in tf.read_tokens(folder, manifest).collect()]
+    found.sort(key=lambda r: r[1])
+    assert [r[0] for r in found] == sorted(ids, key=lambda i: (i is not None, i))
+    assert sorted(r[2:] for r in found) == sorted(r[2:] for r in expected(rows))
+    starts = [r[1] for r in found]
+    assert starts[0] == 0 and all(b - a == r[2] for a, b, r in zip(starts, starts[1:], found))
+
+
 def test_forgetting_changes_nothing(monkeypatch):
     monkeypatch.setattr(tf, "KNOWN_CHUNKS", 2)
     chunks = tf.Chunks(tf.tokenizer_text())

@@ -53,6 +53,19 @@ def test_odd_pages(spark, monkeypatch, shard, roll):
     assert (manifest.count() > 2) == (shard == 100)
 
 
+def test_every_record_has_an_id_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(shards, "SHARD_BYTES", 100)
+    rows = PAGES + [(None, None, "x")] * 3 + [(9, "u", "y"), (9, "v", "y"), (9, "u", "z")]
+    folder, manifest = warc.write_archives(pages(spark, rows))
+    store, path = shards.place(folder)
+    heads = [warc.parse(data)[0] for r in manifest.collect()
+             for _, data in warc.members(store.open_input_file(f"{path}/{r.name}"))]
+    ids = [h["WARC-Record-ID"] for h in heads]
+    assert len(set(ids)) == len(ids) == len(rows) + manifest.count()
+    assert {h["WARC-Refers-To"] for h in heads if "WARC-Refers-To" in h} <= {
+        h["WARC-Record-ID"] for h in heads if h["WARC-Type"] == "response"}
+
+
 def test_equal_input_gives_equal_files(spark):
     def files(df):
         folder, manifest = warc.write_archives(df)

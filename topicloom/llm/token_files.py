@@ -300,7 +300,8 @@ def write_tokens(docs: DataFrame, model: str | None = None) -> tuple[str, DataFr
     spark = docs.sparkSession
     doc_id, text = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")
     sizes = docs.select(doc_id, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("size"))
-    rows, count = shards.with_shard(docs.select(doc_id, text.alias("text")), sizes, "doc_id", "size")
+    rows, count = shards.with_shard(docs.select(doc_id, text.alias("text")), sizes, "doc_id", "size",
+                                    F.xxhash64("text"))
     rows = rows.select("doc_id", "shard", encoder(spark, model or tokenizer_text())("text").alias("ids"))
     folder, manifest = shards.write_shards(rows, count, ["doc_id", "ids"],
                                            partial(_write, file_ids=FILE_IDS), "tokens")

@@ -47,8 +47,8 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(kind: str, page_id) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind}:{page_id}')}>"
+def record_id(kind: str, *parts) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ':'.join(map(str, (kind, *parts))))}>"
 
 
 def header(fields: list[tuple[str, object]]) -> bytes:
@@ -74,18 +74,19 @@ def info_record(name: str) -> bytes:
                    ("Content-Type", "application/warc-fields"), ("Content-Length", len(block))]) + block + END
 
 
-def page_record(page_id, url, payload: bytes | None, size: int, sha1: str, refers_to) -> bytes:
-    """``payload`` None: a revisit of page ``refers_to``."""
+def page_record(page_id, url, payload: bytes | None, size: int, sha1: str, refers_to, copy: int = 0) -> bytes:
+    """``payload`` None: a revisit of page ``refers_to``. ``copy`` numbers records of equal page and payload, so
+    that each has an id of its own."""
     head = ("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
             f"Content-Length: {size}\r\n\r\n").encode()
     block = head + (payload or b"")
     revisit = payload is None
     return header([
-        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id("page", page_id)),
+        ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id("page", page_id, sha1, copy)),
         ("WARC-Date", DATE), ("WARC-Target-URI", one_line(url)), ("X-Page-Id", page_id),
         ("WARC-Payload-Digest", f"sha1:{sha1}"), ("WARC-Block-Digest", f"sha1:{digest(block)}"),
         ("WARC-Profile", REVISIT if revisit else None),
-        ("WARC-Refers-To", record_id("page", refers_to) if revisit else None),
+        ("WARC-Refers-To", record_id("page", refers_to, sha1, 0) if revisit else None),
         ("X-Refers-To-Page", refers_to), ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", len(block))]) + block + END
 
@@ -95,7 +96,7 @@ def base32_of_hex(sha1: str) -> str:
 
 
 def _write(batches, out: shards.ShardWriter, roll_bytes: int) -> None:
-    shard, data, records = None, bytearray(), 0
+    shard, data, records, last, copy = None, bytearray(), 0, None, 0
 
     def close():
         nonlocal records
@@ -113,7 +114,9 @@ def _write(batches, out: shards.ShardWriter, roll_bytes: int) -> None:
                 data += member(info_record(f"{shard:08d}-{out.parts.get(shard, 0):06d}.warc.gz"))
             payload = row["payload"]
             sha1 = digest(payload) if payload is not None else base32_of_hex(row["sha1"])
-            data += member(page_record(row["page_id"], row["url"], payload, row["size"], sha1, row["refers_to"]))
+            copy = copy + 1 if (row["page_id"], sha1) == last else 0
+            last = (row["page_id"], sha1)
+            data += member(page_record(row["page_id"], row["url"], payload, row["size"], sha1, row["refers_to"], copy))
             records += 1
             if len(data) >= roll_bytes:
                 close()
@@ -135,8 +138,8 @@ def write_archives(pages: DataFrame) -> tuple[str, DataFrame]:
     # A revisit takes no payload along.
     rows = rows.withColumn("refers_to", F.when(revisit, F.col("first"))).withColumn(
         "payload", F.when(~revisit, F.col("payload"))).drop("first")
-    rows, count = shards.with_shard(rows, facts, "page_id", "size")
-    return shards.write_shards(rows, count, ["page_id", "url", "sha1"],
+    rows, count = shards.with_shard(rows, facts, "page_id", "size", F.xxhash64("sha1"))
+    return shards.write_shards(rows, count, ["page_id", "sha1", "url"],
                                partial(_write, roll_bytes=ROLL_BYTES), "warc")
 
 
