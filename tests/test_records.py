@@ -79,7 +79,7 @@ def test_avro_to_struct():
     assert ty.field_names('"string"') == [] and ty.field_names(AVRO) == ["a", "b"]
 
 
-def test_struct_to_avro_tables():
+def test_struct_to_avro_tables(spark):
     schema = T.StructType.fromDDL(
         "i int, s smallint, t tinyint, l bigint, f float, d double, b boolean, x string, "
         "at timestamp, day date, n decimal(10,2), a array<int>, m map<string,int>")
@@ -203,3 +203,24 @@ def test_avro_refuses_options_that_do_not_apply(spark):
     for options in ({"on_missing": "fail"}, {"on_corrupt": "quarantine"}):
         with pytest.raises(ValueError):
             frames.decode_framed(df, T.StructType([]), codec="avro", **options)
+
+
+def test_one_avro_schema_for_writer_and_reader(spark):
+    schema = T.StructType.fromDDL("a int NOT NULL, b string, c array<double>, d map<string,long>, e decimal(9,2), "
+                                  "f struct<x: timestamp_ntz, y: date>, g tinyint NOT NULL")
+    fields = {f["name"]: f["type"] for f in json.loads(ty.wire_avro(schema, "r"))["fields"]}
+    assert fields["a"] == "int" and fields["b"] == ["null", "string"] and fields["g"] == "int"
+    assert fields["c"] == ["null", {"type": "array", "items": ["null", "double"]}]
+    assert fields["d"] == ["null", {"type": "map", "values": ["null", "long"]}]
+    assert fields["e"][1] == {"type": "bytes", "logicalType": "decimal", "precision": 9, "scale": 2}
+    inner = fields["f"][1]
+    assert inner["name"] == "r_f" and [f["type"][1]["logicalType"] for f in inner["fields"]] == [
+        "local-timestamp-micros", "date"]
+    with pytest.raises(ValueError, match="no Avro type"):
+        ty.wire_avro(T.StructType.fromDDL("v variant"))
+
+
+def test_types_without_an_avro_name_of_their_own():
+    schema = T.StructType([T.StructField("n", T.NullType()), T.StructField("v", T.VariantType())])
+    kinds = [f["type"] for f in json.loads(ty.struct_to_avro(schema, "r"))["fields"]]
+    assert kinds == ["null", "string"]

@@ -27,7 +27,7 @@ RESULT_TO_AVRO = {
     "integer": "int", "short": "int", "byte": "bytes",
     "timestamp": "string", "timestamp_ntz": "string", "date": "string", "decimal": "string",
     "interval": "string", "array": "string", "map": "string", "struct": "string",
-    "binary": "bytes",
+    "binary": "bytes", "void": "null", "variant": "string", "char": "string", "varchar": "string",
 }
 
 # Column type -> Avro type when a batch result is written back. Any other column
@@ -80,3 +80,37 @@ def struct_to_avro(schema: T.StructType, name: str, dialect: str = "result") ->
     fields = [{"name": f.name, "type": avro_type(f.dataType)} for f in schema.fields]
     return json.dumps({"type": "record", "name": name, "fields": fields},
                       separators=(",", ":"))
+
+
+# Column type -> Avro type of a record body that is written and read by the same schema.
+WIRE = {
+    "boolean": "boolean", "byte": "int", "short": "int", "integer": "int", "long": "long", "float": "float",
+    "double": "double", "string": "string", "char": "string", "varchar": "string", "binary": "bytes",
+    "date": {"type": "int", "logicalType": "date"},
+    "timestamp": {"type": "long", "logicalType": "timestamp-micros"},
+    "timestamp_ntz": {"type": "long", "logicalType": "local-timestamp-micros"},
+}
+
+
+def wire_avro(schema: T.StructType, name: str = "record") -> str:
+    """One Avro schema (JSON text) for the writer and the reader of a record body; nullable columns are unions."""
+    def field_type(kind: T.DataType, at: str) -> object:
+        if isinstance(kind, T.DecimalType):
+            return {"type": "bytes", "logicalType": "decimal", "precision": kind.precision, "scale": kind.scale}
+        if isinstance(kind, T.ArrayType):
+            return {"type": "array", "items": optional(kind.elementType, kind.containsNull, at)}
+        if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+            return {"type": "map", "values": optional(kind.valueType, kind.valueContainsNull, at)}
+        if isinstance(kind, T.StructType):
+            return {"type": "record", "name": at, "fields": fields(kind, at)}
+        if kind.typeName() not in WIRE:
+            raise ValueError(f"{at}: no Avro type for {kind.simpleString()}")
+        return WIRE[kind.typeName()]
+
+    def optional(kind: T.DataType, nullable: bool, at: str) -> object:
+        return ["null", field_type(kind, at)] if nullable else field_type(kind, at)
+
+    def fields(struct: T.StructType, at: str) -> list[dict]:
+        return [{"name": f.name, "type": optional(f.dataType, f.nullable, f"{at}_{f.name}")} for f in struct.fields]
+
+    return json.dumps({"type": "record", "name": name, "fields": fields(schema, name)}, separators=(",", ":"))

@@ -59,10 +59,9 @@ def register_absent(subjects: DataFrame, candidates: DataFrame,
     once = both.groupBy("subject").agg(F.min("schema_json").alias("schema_json"))
     fresh = not_matching(once, subjects, {"subject": "subject"})
     top = subjects.agg(F.coalesce(F.max("schema_id"), F.lit(0)).alias("m")).first()["m"]
-    # Order by a number so that even a very long list of subjects can be numbered in chunks, which
-    # reads the list more than once: write it first.
-    fresh = materialize(fresh.withColumn("__h", F.xxhash64("subject")), "subjects")
-    numbered = running_sums(fresh, [], ["__h", "subject"], {"__n": F.lit(1)}, hot_rows)
+    # A very long list of subjects is numbered in chunks, which reads it more than once: write it first.
+    fresh = materialize(fresh, "subjects")
+    numbered = running_sums(fresh, [], ["subject"], {"__n": F.lit(1)}, hot_rows)
     added = numbered.select(
         "subject", F.lit(1).cast("long").alias("version"),
         (F.col("__n") + F.lit(top)).cast("long").alias("schema_id"), "schema_json",

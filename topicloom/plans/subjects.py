@@ -2,7 +2,9 @@
 event being a version of it."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from topicloom.functions.types import record_fields, struct_to_avro
 from topicloom.operators import subjects as sub
 from topicloom.plans.registry import query
 
@@ -48,17 +50,18 @@ def latest_schema(t):
 @query("register_absent", SUBJECTS_SQL + """,
 wanted AS (SELECT DISTINCT unnest(['s' || o_custkey || '_view', 's' || o_custkey || '_view-value'])
              AS subject, 'v' AS schema_json FROM orders),
-absent AS (SELECT * FROM wanted WHERE subject NOT IN (SELECT subject FROM subjects))
-SELECT subject, count(*) AS versions, min(schema_json) AS schema_json FROM (
-  SELECT subject, schema_json FROM subjects UNION ALL SELECT subject, schema_json FROM absent)
+absent AS (SELECT *, (SELECT max(schema_id) FROM subjects) + row_number() OVER (ORDER BY subject) AS schema_id
+           FROM wanted WHERE subject NOT IN (SELECT subject FROM subjects))
+SELECT subject, count(*) AS versions, min(schema_json) AS schema_json, max(schema_id)::BIGINT AS schema_id FROM (
+  SELECT subject, schema_json, schema_id FROM subjects
+  UNION ALL SELECT subject, schema_json, schema_id FROM absent)
 GROUP BY subject""")
 def register_absent(t):
     name = F.concat(F.lit("s"), F.col("o_custkey").cast("string"), F.lit("_view"))
     wanted = t.orders.select(name.alias("subject"), F.lit("v").alias("schema_json"))
     known = sub.register_absent(subjects_of(t.events), wanted)
-    # New ids follow hash order, which SQL cannot restate: only the outcome per subject is compared.
-    return known.groupBy("subject").agg(F.count("*").alias("versions"),
-                                        F.min("schema_json").alias("schema_json"))
+    return known.groupBy("subject").agg(F.count("*").alias("versions"), F.min("schema_json").alias("schema_json"),
+                                        F.max("schema_id").alias("schema_id"))
 
 
 @query("upsert_schema", SUBJECTS_SQL + """,
@@ -106,18 +109,25 @@ def delete_subjects(t):
 SELECT event_type, key AS field,
        CASE json_type(props, '$.' || key) WHEN 'UBIGINT' THEN 'long' WHEN 'BIGINT' THEN 'long'
             WHEN 'DOUBLE' THEN 'double' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'string' END AS avro_type,
-       count(*) AS records
-FROM (SELECT event_type, props, unnest(json_keys(props)) AS key FROM events) GROUP BY 1, 2, 3""")
+       CASE json_type(props, '$.' || key) WHEN 'DOUBLE' THEN 'double' WHEN 'BOOLEAN' THEN 'boolean'
+            ELSE 'string' END AS writeback_type, count(*) AS records
+FROM (SELECT event_type, props, unnest(json_keys(props)) AS key FROM events) GROUP BY 1, 2, 3, 4""")
 def schema_of_result(t):
     """Field types met in the JSON records of each topic, named as Avro types."""
     t.events.createOrReplaceTempView("topic_events")
     fields = t.spark.sql("""
         SELECT event_type, key AS field, schema_of_variant(item) AS found
         FROM topic_events, LATERAL variant_explode(parse_json(props)) AS f(pos, key, item)""")
-    found = F.col("found")
-    # JSON value types and the Avro types they become.
-    avro = (F.when(found == "BIGINT", "long").when(found.startswith("DECIMAL"), "double")
-            .when(found == "DOUBLE", "double").when(found == "BOOLEAN", "boolean")
-            .otherwise("string"))
-    return fields.groupBy("event_type", "field", avro.alias("avro_type")).agg(
-        F.count("*").alias("records"))
+    # JSON value types as column types; their Avro names come from the type tables.
+    columns = {"BIGINT": T.LongType(), "DECIMAL": T.DoubleType(), "DOUBLE": T.DoubleType(), "BOOLEAN": T.BooleanType(),
+               "OTHER": T.StringType()}
+    struct = T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
+    found = F.regexp_extract("found", "^[A-Z]+", 0)
+    found = F.when(found.isin(*columns), found).otherwise("OTHER")
+
+    def named(dialect):
+        kinds = {f["name"]: f["type"] for f in record_fields(struct_to_avro(struct, "met", dialect))}
+        return F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[found]
+
+    return fields.groupBy("event_type", "field", named("result").alias("avro_type"),
+                          named("writeback").alias("writeback_type")).agg(F.count("*").alias("records"))

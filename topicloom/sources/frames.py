@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicloom.functions.types import avro_to_struct, struct_to_avro
+from topicloom.functions.types import avro_to_struct, wire_avro
 
 CORRUPT = "_corrupt_record"
 NO_RECORD = "{"  # no JSON, so it is treated like any other corrupt body
@@ -51,7 +51,7 @@ def decode_framed(df: DataFrame, schema: T.StructType | str, value: str = "value
     if codec == "avro":
         if on_missing != "null" or on_corrupt != "fail":
             raise ValueError("Avro bodies know on_missing='null' and on_corrupt='fail' only")
-        avro = schema if isinstance(schema, str) else struct_to_avro(schema, "record")
+        avro = schema if isinstance(schema, str) else wire_avro(schema)
         return parts.withColumn("__r", _from_avro(F.col("body"), avro)).select(
             *[c for c in parts.columns if c != "body"], "__r.*")
 
@@ -91,7 +91,8 @@ def encode_framed(df: DataFrame, schema_id: int | Column, columns: list[str] | N
     if codec == "avro":
         from pyspark.sql.avro.functions import to_avro
 
-        body = to_avro(F.struct(*names))
+        # The schema a reader is given, see ``decode_framed``.
+        body = to_avro(F.struct(*names), wire_avro(df.select(*names).schema))
     else:
         body = F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).cast("binary")
     return df.withColumn(value, F.concat(F.unhex(F.lit("00")), head, body))
