@@ -38,7 +38,7 @@ MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 KNOWN_SEGMENTS = 400_000  # segments a worker remembers, and as many it met before those
 KNOWN_PAIRS = 1_000_000
-PORTION_CHARS = 2_000_000  # characters that one run of the automaton takes
+PORTION_CHARS = 300_000  # characters that one run of the automaton takes; it holds about 250 bytes for each
 FIRST = np.iinfo(np.int64).min
 _SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 _MARKS = re.compile(r"(.*\w)(\W+)\Z", re.S)  # a word and the marks behind it
