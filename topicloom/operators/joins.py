@@ -8,22 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicloom.session import maybe_broadcast
+from topicloom.session import fits_broadcast, maybe_broadcast
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: dict[str, str], take: Sequence[str],
-           how: str = "left", **limits: int) -> DataFrame:
+           how: str = "left", small: bool | None = None, **limits: int) -> DataFrame:
     """Enrich rows from a table with one row per key; no match yields nulls.
 
     The table is broadcast only when measured small; a larger one is shuffled and AQE splits hot
-    keys. ``on`` maps columns of ``df`` to columns of ``dim``.
+    keys. ``on`` maps columns of ``df`` to columns of ``dim``. A caller that looks up again and again, as
+    a stream does, measures once and says whether the table is ``small``.
     """
     keyed = dim.select(*[F.col(d).alias(f"__on_{d}") for d in on.values()], *take)
     same = [F.col(c) == F.col(f"__on_{d}") for c, d in on.items()]
-    return (
-        df.join(maybe_broadcast(keyed, **limits), same, how)
-        .drop(*[f"__on_{d}" for d in on.values()])
-    )
+    fits = fits_broadcast(keyed, **limits) if small is None else small
+    return df.join(F.broadcast(keyed) if fits else keyed, same, how).drop(*[f"__on_{d}" for d in on.values()])
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

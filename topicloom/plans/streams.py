@@ -11,7 +11,7 @@ from topicloom.operators.ordered import over_last_rows
 from topicloom.operators.scripts import run_stream_sql
 from topicloom.plans.operations import with_status
 from topicloom.plans.registry import query
-from topicloom.session import fresh_dir
+from topicloom.session import fits_broadcast, fresh_dir
 from topicloom.sources import frames
 from topicloom.sources.topics import Topics, with_event_time
 from topicloom.streaming import operators as st
@@ -234,10 +234,12 @@ def stream_status_changes(t):
 SELECT event_id, user_id, c_name FROM events LEFT JOIN customer ON user_id = c_custkey""")
 def stream_lookup(t):
     customers = t.customer
+    small = fits_broadcast(customers.select("c_custkey", "c_name"))  # once, not per batch
     path = fresh_dir(t.spark, "enriched")
     drain(write_batches(
         t.stream("events").select("event_id", "user_id"), path, fresh_dir(t.spark, "checkpoint"),
-        step=lambda batch: lookup(batch, customers, {"user_id": "c_custkey"}, ["c_name"])))
+        step=lambda batch: lookup(batch, customers, {"user_id": "c_custkey"}, ["c_name"],
+                                  small=small)))
     return read_batches(t.spark, path,
                         _schema("event_id long, user_id long, c_name string")).drop("batch_id")
 

@@ -143,12 +143,12 @@ def kafka_options(servers: str, topics: str, start: str = "earliest",
 
 
 def kafka_writer(stream: DataFrame, servers: str, topic: str, checkpoint: str,
-                 mode: str = "append") -> StreamingQuery:
-    """Send key and value columns (see ``message``) to a Kafka topic."""
+                 mode: str = "append", trigger: dict | None = None) -> StreamingQuery:
+    """Send key and value columns (see ``message``) to a Kafka topic, once through or with a trigger of its own."""
     return (
         stream.writeStream.format("kafka").outputMode(mode)
         .options(**{"kafka.bootstrap.servers": servers, "topic": topic,
-                    "checkpointLocation": checkpoint}).start()
+                    "checkpointLocation": checkpoint}).trigger(**(trigger or ONCE_THROUGH)).start()
     )
 
 
