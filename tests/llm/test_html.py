@@ -2,6 +2,7 @@ import html
 import itertools
 import random
 import re
+import time
 
 import pytest
 from conftest import SF
@@ -42,6 +43,63 @@ def test_pages(page, text):
     assert ht.main_text(page) == text
 
 
+STORY = LONG.strip()
+MENU = "<nav><ul><li><a href=/a>Home</a><li><a href=/b>About us</a></ul></nav>"
+LAYOUTS = [
+    # no head or body tags, and tags left open
+    (f"<!doctype html><title>T</title>{MENU}<article><p>{LONG}</article>", STORY),
+    (f"<html><head><meta charset=utf-8><title>T</title><link href=x>{MENU}<p>{LONG}", STORY),
+    (f"<html><head><title>T<body>{MENU}<article><p>{LONG}</article></html>", STORY),
+    (f"<head><title>The <p> tag</title></head><body><p>{LONG}</p>", STORY),
+    (f"<head><title>T</title>{STORY}", STORY),
+    # forms around the page and forms in it
+    (f"<form id=aspnet><input type=hidden name=s><input name=q>{MENU}<div><h1>News</h1><p>{LONG}<p>{LONG}</div></form>",
+     f"News {STORY} {STORY}"),
+    (f"<form><article><p>{LONG}</article></form>", STORY),
+    (f"<article><p>{LONG}</article><form><p>Write to us, we answer at once.</p><input><textarea></textarea></form>", STORY),
+    # compound names
+    (f"<div class='content has-sidebar'><p>{LONG}</div><div class=sidebar><p>{LONG}</div>", STORY),
+    (f"<article class='post tags-foo share'><p>{LONG}</article><div class=share>Share this.</div>", STORY),
+    (f"<div class='layout sidebar-right'><article><p>{LONG}</article></div><div class=footer-text>{LONG}</div>", STORY),
+    (f"<div class=page-with-comments><h1>Head</h1><p>{LONG}</div>", f"Head {STORY}"),
+    (f"<main><article><header class=entry-header><h1>Head</h1></header><p>{LONG}<footer>Filed</footer></article></main>",
+     f"Head {STORY}"),
+    # readers' comments as articles
+    (f"<main><article><p>{LONG}</article><ol class=comment-list><li><article class=comment-body><p>{LONG}</article></ol>",
+     STORY),
+    (f"<article><p>{LONG}</article><div id=comments><article><p>{LONG} {LONG}</article></div>", STORY),
+    # plain elements only: the neighbours decide for short blocks
+    (f"<body><div><div>Head line</div><div>By A. B</div><div>{LONG}</div></div><div><a href=a>One</a> <a href=b>Two</a></div>",
+     f"Head line By A. B {STORY}"),
+    (f"<table><tr><td><a href=a>One</a><br><a href=b>Two</a><td><h2>Head</h2><p>{LONG}</table>", f"Head {STORY}"),
+    (f"<main>{MENU}<p>{LONG}<p><a href=x>A linked line in the text</a><p>{LONG}</main><div class=ads>Buy.</div>",
+     f"{STORY} A linked line in the text {STORY}"),
+    (f"<nav><ul><li>open menu<main><p>{LONG}</main>", STORY),
+]
+
+
+@pytest.mark.parametrize("page,text", LAYOUTS)
+def test_layouts(page, text):
+    assert ht.main_text(page) == text
+
+
+def test_cut_changes_labels():
+    changed = total = 0
+    for page, _ in LAYOUTS:
+        _, cut, alone = ht.labels(page)
+        changed += sum(a != b for a, b in zip(cut, alone))
+        total += len(cut)
+    assert changed >= 2, (changed, total)
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 20000 + "</b>" * 20000, "<p><b>x" * 20000, "<b>" * 20000 + "</p>" * 20000,
+                                  "<div class='a ad'><a>x</a>" * 20000])
+def test_long_pages_in_linear_time(page):
+    start = time.process_time()
+    ht.main_text(page)
+    assert time.process_time() - start < 20
+
+
 def test_cut_is_minimal():
     rng = random.Random(6)
     for _ in range(150):
