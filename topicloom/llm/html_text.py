@@ -8,9 +8,9 @@ that stay connected to the content terminal are the text.
 
 Where a block stands counts by the closest element that says anything: its tag, its role, the names in its
 class and id (by their share, not by one word), and for a form how much of it is fields. An element that
-holds most of the page's text and its headline says nothing, whatever it is called, and ``main`` wins always. Short blocks in plain elements are left to
-their neighbours. The weights of the classifier are fixed and listed below: no page labels exist to fit
-them on.
+holds most of the page's text and its headline says nothing, whatever it is called, and ``main`` always
+wins. Short blocks in plain elements are left to their neighbours. The weights of the classifier are fixed
+and listed below: no page labels exist to fit them on.
 
 Defined cases: null and empty pages, and pages without content blocks, give an empty string; a page without
 any element is all text; text outside any block element is a block; unclosed elements end with their parent,
