@@ -130,3 +130,11 @@ def test_every_latin_letter(spark):
 
 def test_empty_table(spark):
     assert plain(tf.read_tokens(*tf.write_tokens(empty(spark)))).empty
+
+
+@pytest.mark.parametrize("text", ["it's 'Sam (don't)", "<|endoftext|> x<|endoftext|> |endoftext|>", "<startoftext ''ve a'll 's",
+                                  '"quoted" $word### \u00c9*** _re_ --x-- [a] {b}~ `c`', "a\u0338 =\u0338 <\u0338"])
+def test_marks_around_letters(text):
+    chunks = tf.Chunks(tf.tokenizer_text())
+    want = chunks.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(chunks.encode_all([text])[0], np.uint32).tolist() == want

@@ -46,8 +46,10 @@ END_ID = 2
 BLOCK = 4096
 FILE_IDS = 2_000_000  # a file is closed at this many ids
 KNOWN_CHUNKS = 200_000  # chunks a worker remembers, and as many it met before those
-# Latin letters that are one code point lowered and composed, then marks.
-_LETTERS = re.compile("([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([.,;:!?]*)")
+# Latin letters that are one code point lowered and composed, between ASCII marks. An apostrophe before letters may be
+# part of a contraction, and a special token begins with <, so neither may stand before them.
+_LETTERS = re.compile("([!-&(-/:;=-@\\[-`{-~]*)([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)"
+                      "([!-/:-@\\[-`{-~]*)")
 # White space of the tokenizer (Unicode White_Space), and what str.split() would cut at besides.
 _MORE = re.compile("[\\x1c-\\x1f]")
 _BLANKS = re.compile("[\\t-\\r \\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+")
@@ -58,6 +60,10 @@ HEAD = struct.Struct("<8s6q")
 LAYOUT = ((1, 64), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12),
           (4, 15), (3, 20), (2, 30), (1, 60))
 _COUNTS = np.array([c for c, _ in LAYOUT])
+# Values of a word -> its selector; one value may also need the escape.
+_SELECTORS = np.zeros(61, np.uint8)
+_SELECTORS[_COUNTS[1:]] = np.arange(1, len(LAYOUT))
+_EXPONENT, _BIAS = np.uint64(52), np.uint64(1022)  # of 64-bit floats
 
 
 def _windows(wide: np.ndarray) -> dict[int, np.ndarray]:
@@ -78,6 +84,20 @@ def _windows(wide: np.ndarray) -> dict[int, np.ndarray]:
     return found
 
 
+def _starts(steps: np.ndarray, block: int) -> np.ndarray:
+    """Where words start: every block is walked from its first value, all blocks at once."""
+    n = len(steps)
+    at, found = np.arange(0, n, block), []
+    ends = np.minimum(at + block, n)
+    while len(at):
+        found.append(at)
+        at = at + steps[at]
+        inside = at < ends
+        if not inside.all():
+            at, ends = at[inside], ends[inside]
+    return np.sort(np.concatenate(found))
+
+
 def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """(words, first word of each block) of non-negative 64-bit values."""
     values = np.ascontiguousarray(values, np.uint64)
@@ -85,24 +105,20 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if int(values.max()) < 1 << 53:
-        wide = np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+        exponent = values.astype(np.float64).view(np.uint64) >> _EXPONENT
+        wide = (np.maximum(exponent, _BIAS) - _BIAS).astype(np.uint8)
     else:
         wide = np.array([int(v).bit_length() for v in values.tolist()], np.uint8)
-    padded = np.r_[wide, np.zeros(64, np.uint8)]
-    left = (block - np.arange(n) % block).clip(max=255).astype(np.uint8)
-    left = np.minimum(left, (n - np.arange(n)).clip(max=255).astype(np.uint8))
-    best, selector = np.ones(n, np.uint8), np.zeros(n, np.uint8)
-    largest = _windows(padded)
-    for k in range(len(LAYOUT) - 1, 0, -1):  # few values first, so that more values win
-        count, bits = LAYOUT[k]
+    left = np.resize(np.arange(block, 0, -1).clip(max=255).astype(np.uint8), n)
+    left[-255:] = np.minimum(left[-255:], np.arange(min(n, 255), 0, -1))
+    best = np.ones(n, np.uint8)
+    largest = _windows(np.r_[wide, np.zeros(64, np.uint8)])
+    for count, bits in LAYOUT[1:]:
         fits = (largest[count][:n] <= bits) & (left >= count)
-        best[fits], selector[fits] = count, k
-    starts, at, steps = [], 0, best.tobytes()
-    while at < n:
-        starts.append(at)
-        at += steps[at]
-    starts = np.array(starts)
-    chosen = selector[starts]
+        np.maximum(best, fits.view(np.uint8) * np.uint8(count), out=best)
+    starts = _starts(best, block)
+    chosen = _SELECTORS[best[starts]]
+    chosen[wide[starts] > 60] = 0
     place = np.arange(len(starts)) + np.r_[0, np.cumsum(chosen == 0)[:-1]]
     words = np.zeros(len(starts) + int((chosen == 0).sum()), np.uint64)
     for k, (count, bits) in enumerate(LAYOUT):
@@ -189,10 +205,23 @@ def _split(text: str) -> list[str]:
     return [x for x in _BLANKS.split(text) if x] if _MORE.search(text) else text.split()
 
 
+class Known(dict):
+    """Ids of chunks; a chunk that is missing is looked for among the older ones, then encoded."""
+
+    def __init__(self, older: dict[str, bytes], encode):
+        super().__init__()
+        self.older = older
+        self.encode = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        self[chunk] = found = self.older.get(chunk) or self.encode(chunk)
+        return found
+
+
 class Chunks:
     """The library's tokenizer, called once per distinct chunk of text between white space.
 
-    Most chunks are letters with marks behind them. The tokenizer lowers and spells them byte by byte and
+    Most chunks are letters with marks around them. The tokenizer lowers and spells them byte by byte and
     cuts them there, so its model alone is asked for the letters.
     """
 
@@ -200,8 +229,7 @@ class Chunks:
         self.tokenizer = Tokenizer.from_str(model)
         self.spelling: dict[str, str] = {}
         self.marks: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = Known({}, self.chunk)
 
     def plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -218,33 +246,32 @@ class Chunks:
         return found
 
     def chunk(self, chunk: str) -> bytes:
-        """Letters and the marks behind them are pieces of their own; anything else goes in whole."""
+        """Letters and the marks around them are pieces of their own; anything else goes in whole."""
         if chunk.isascii() and chunk.isalpha():
             return self.letters(chunk)
         parts = _LETTERS.fullmatch(chunk)
         if parts is None:
             return self.plain(chunk).tobytes()
-        word, marks = parts.groups()
-        if not marks:
+        before, word, after = parts.groups()
+        if not before and not after:
             return self.letters(word)
+        return self._marked(before) + self.known[word] + self._marked(after)
+
+    def _marked(self, marks: str) -> bytes:
+        if not marks:
+            return b""
         if marks not in self.marks:
             if len(self.marks) > KNOWN_CHUNKS:
                 self.marks.clear()
             self.marks[marks] = self.plain(marks).tobytes()
-        return (self.known.get(word) or self.letters(word)) + self.marks[marks]
+        return self.marks[marks]
 
     def encode_all(self, texts) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        split = [_split(t) if t else [] for t in texts]
         if len(self.known) > KNOWN_CHUNKS:
-            self.older, self.known = self.known, {}
-        fresh = {x for chunks in split for x in chunks}.difference(self.known)
-        again = fresh.intersection(self.older)
-        self.known.update((x, self.older[x]) for x in again)
-        for chunk in sorted(fresh - again, key=len):  # words come before the same with marks
-            self.known[chunk] = self.chunk(chunk)
+            self.known = Known(dict(self.known), self.chunk)
         find = self.known.__getitem__
-        return [b"".join(map(find, chunks)) for chunks in split]
+        return [b"".join(map(find, _split(t))) if t else b"" for t in texts]
 
 
 def tokenizer_text(path: str | None = None) -> str:
