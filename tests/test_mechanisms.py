@@ -44,6 +44,40 @@ def test_overlap_with_nothing(spark):
     assert j.overlap_join(none, some, (F.col("f"), F.col("t")), (F.col("x"), F.col("y"))).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 40, 10**6])
+def test_totals_of_overlaps_without_pairs(spark, few, monkeypatch):
+    monkeypatch.setattr(j, "NODE_ROWS", few)
+    ends = [(-2**63, 2**63 - 1), (2**63 - 1, 2**63 - 1), (-2**63, -2**63), (-1, 0), (-2**63, 0), (7, None), (5, 2)]
+    a = [(i % 90, f, t) for i, f, t in spans(3, 120, "a")] + [(None if k == 3 else 90 + k, *e) for k, e in enumerate(ends)]
+    b = [(i, i % 7 or None, f, t) for i, f, t in spans(4, 120, "b")] + [(200 + k, k, *e) for k, e in enumerate(ends)]
+    left = spark.createDataFrame(a + [a[5]], "i long, f long, t long")
+    right = spark.createDataFrame(b, "k long, v long, x long, y long")
+    out = j.overlap_join(left, right, (F.col("f"), F.col("t")), (F.col("x"), F.col("y")), per=["i"], totals={
+        "n": ("count", "*"), "known": ("count", "v"), "all": ("sum", "v"), "least": ("min", "v"), "most": ("max", "k")})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    want = {}
+    for i, f, t in [*a, a[5]]:
+        for k, v, x, y in b:
+            if None not in (f, t, x, y) and f <= t and x <= y and f <= y and x <= t:
+                want.setdefault(i, []).append((k, v))
+    whole = lambda pairs: [v for _, v in pairs if v is not None]
+    assert {r["i"]: tuple(r)[1:] for r in out.collect()} == {
+        i: (len(p), len(whole(p)), sum(whole(p)) if whole(p) else None, min(whole(p), default=None), max(k for k, _ in p))
+        for i, p in want.items()}
+
+
+def test_totals_of_overlaps_with_nothing(spark):
+    none = spark.createDataFrame([], "i long, f long, t long")
+    some = spark.createDataFrame([(1, 2, 3)], "k long, x long, y long")
+    sides = [(none, some, "f t x y i"), (some, none, "x y f t k")]
+    for left, right, names in sides:
+        f, t, x, y, per = names.split()
+        out = j.overlap_join(left, right, (F.col(f), F.col(t)), (F.col(x), F.col(y)), per=[per],
+                             totals={"n": ("count", "*")})
+        assert out.columns == [per, "n"] and out.count() == 0
+
+
 def test_substring_lineage(spark):
     names = ["a", "ab", "abc", "abcd", "abcde", "bcdeabcde", "zz", "", "größe", "abcde"]
     settings = [("abcdeabcde", "xaby"), ("größer", None), (None, None), ("", "zzz"), ("a", "a")]

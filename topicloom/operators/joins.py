@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from topicloom.session import fits_broadcast, maybe_broadcast
+from topicloom.session import fits_broadcast, materialize, maybe_broadcast
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: dict[str, str], take: Sequence[str],
@@ -154,7 +155,8 @@ def interval_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_mic
 
 
 def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[Column, Column],
-                 right_span: tuple[Column, Column]) -> DataFrame:
+                 right_span: tuple[Column, Column], per: Sequence[str] = (),
+                 totals: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """Pairs of rows whose closed intervals of whole numbers share a point; there is no equal key.
 
     Bins form a hierarchy: level k has bins 2**k wide. An interval lives at the level where it is at most one bin
@@ -162,7 +164,14 @@ def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[Column, Col
     wider one, in the bin that holds the larger of their starts, so each pair is made once and intervals of any
     length meet without a cross join. Intervals that are empty or lack an end match nothing. The two sides
     have different column names. Inputs are read more than once.
+
+    With ``totals`` the result is one row per value of the left columns ``per`` that has a pair, with totals over its
+    pairs, and the pairs are never made (see ``_overlap_totals``). ``totals`` maps names to a function of
+    TOTALS and a right column ("*" counts pairs).
     """
+    if totals is not None:
+        return _overlap_totals(left, right, left_span, right_span, per, totals)
+
     def placed(df: DataFrame, span: tuple[Column, Column], side: str) -> DataFrame:
         low, high = f"__{side}_low", f"__{side}_high"
         known = df.withColumns({low: span[0].cast("long"), high: span[1].cast("long")}).where(
@@ -199,6 +208,98 @@ def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[Column, Col
     return left_wider.select(*columns).unionByName(right_wider.select(*columns))
 
 
+# Functions that totals of parts add up with.
+TOTALS = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
+STEP = 2  # bits from one level of bins to the next in totals of overlaps
+NODE_ROWS = 100_000  # totals of the upper levels that are broadcast
+
+
+def _overlap_totals(left: DataFrame, right: DataFrame, left_span: tuple[Column, Column],
+                    right_span: tuple[Column, Column], per: Sequence[str],
+                    totals: dict[str, tuple[str, str]]) -> DataFrame:
+    """Totals over the right intervals that share a point with the left ones, without pairs.
+
+    A right interval meets a left one if it holds the left one's start or starts inside the left one after that,
+    never both. Level k has bins 2**(STEP * k) wide, and a range of whole numbers is a few bins of each level up to
+    its length. Right intervals are added up by the bins they consist of: those that hold a start are in the bins
+    around it, one a level. Right starts are added up by the bins around them: those inside a left interval
+    are in the bins it consists of. So rows grow with the intervals and the levels, not with the pairs. The few
+    bins of the upper levels, which every row meets, are broadcast; the others are joined.
+    """
+    low, high, keyed = F.col("__low"), F.col("__high"), ["__level", "__bin"]
+
+    def known(df: DataFrame, span: tuple[Column, Column], columns: dict[str, str]) -> DataFrame:
+        ends = df.withColumns({"__low": span[0].cast("long"), "__high": span[1].cast("long")}).where(low <= high)
+        return ends.select("__low", "__high", *[F.col(c).alias(x) for c, x in columns.items()])
+
+    def top(df: DataFrame) -> int:
+        """The highest level that has a whole bin within an interval; halves of lengths do not overflow."""
+        half = df.agg(F.max(F.shiftright(high, 1) - F.shiftright(low, 1))).first()[0]
+        return 0 if half is None else min(int(half + 1).bit_length(), 62) // STEP
+
+    def each_level(df: DataFrame, levels: Sequence[int]) -> DataFrame:
+        return df.withColumn("__level", F.explode(F.array(*[F.lit(k) for k in levels])))
+
+    def around(df: DataFrame, levels: Sequence[int], columns: Sequence[str]) -> DataFrame:
+        """Bins of the levels that hold the start."""
+        return each_level(df, levels).select(*columns, "__level", F.expr(
+            f"shiftright(__low, {STEP} * __level)").alias("__bin"))
+
+    def made_of(df: DataFrame, start: str, highest: int, levels: Sequence[int], columns: Sequence[str]) -> DataFrame:
+        """Bins of the levels that make up the range from the start to high."""
+        def whole(shift: str) -> list[Column]:
+            rest = f"(shiftleft(1L, {shift}) - 1L)"
+            return [F.expr(f"shiftright({start}, {shift}) + if(({start} & {rest}) != 0, 1L, 0L)"),
+                    F.expr(f"shiftright(__high, {shift}) - if((__high & {rest}) != {rest}, 1L, 0L)")]
+
+        at = each_level(df, levels).withColumns(dict(zip(("__first", "__last"), whole(f"{STEP} * __level"))))
+        at = at.where("__first <= __last").withColumns(dict(zip(
+            ("__inner", "__outer"), whole(f"{STEP} * least(__level + 1, {highest})"))))
+        # Where the next level has whole bins too, only the bins in front of and behind those.
+        split = f"__level < {highest} AND __inner <= __outer"
+        at = at.withColumns({
+            "__ahead": F.expr(f"if({split}, shiftleft(__inner, {STEP}) - __first, __last - __first + 1)"),
+            "__behind": F.expr(f"if({split}, __last - shiftleft(__outer, {STEP}) - {(1 << STEP) - 1}, 0L)")})
+        # There are twice a family less two of them at most.
+        counted = at.withColumn("__i", F.explode(F.array(*[F.lit(i) for i in range(2 << STEP)])))
+        return counted.where("__i < __ahead + __behind").select(*columns, "__level", F.expr(
+            "if(__i < __ahead, __first + __i, __last - (__i - __ahead))").alias("__bin"))
+
+    used = {c: f"__of_{c}" for _, c in totals.values() if c != "*"}
+    keys = {c: f"__per_{c}" for c in per}
+    a, b = known(left, left_span, keys), known(right, right_span, used)
+    tops = {"holds": top(b), "starts": top(a)}
+    every = {kind: range(most + 1) for kind, most in tops.items()}
+    parts = [getattr(F, how)(F.lit(1) if c == "*" else F.col(used[c])).alias(f"__{name}")
+             for name, (how, c) in totals.items()]
+    merged = [TOTALS[how](f"__{name}").alias(f"__{name}") for name, (how, _) in totals.items()]
+    # Intervals with a further point after their start.
+    longer = a.where(low < high).withColumn("__after", low + 1)
+    nodes = {
+        "holds": made_of(b, "__low", tops["holds"], every["holds"], list(used.values())),
+        "starts": around(b, every["starts"], list(used.values())),
+    }
+    found = []
+    for kind, spread in nodes.items():
+        summed = materialize(spread.groupBy(*keyed).agg(*parts), "nodes")
+        sizes, room, upper = summed.groupBy("__level").count().collect(), NODE_ROWS, []  # 32 rows at most
+        for size in sorted(sizes, key=lambda r: r["count"]):
+            room -= size["count"]
+            upper += [size["__level"]] if room >= 0 else []
+        lower = [r["__level"] for r in sizes if r["__level"] not in upper]
+        for levels, small in ((upper, True), (lower, False)):
+            if levels:
+                seekers = around(a, levels, list(keys.values())) if kind == "holds" else made_of(
+                    longer, "__after", tops["starts"], levels, list(keys.values()))
+                side = summed.where(F.col("__level").isin(levels))
+                met = seekers.join(F.broadcast(side) if small else side, keyed)
+                found.append(met.groupBy(*keys.values()).agg(*merged))
+    named = [F.col(x).alias(c) for c, x in keys.items()] + [F.col(f"__{name}").alias(name) for name in totals]
+    if not found:  # no right interval
+        return a.join(nodes["starts"].where("false").groupBy(*keyed).agg(*parts), F.lit(False)).select(*named)
+    return reduce(DataFrame.unionByName, found).groupBy(*keys.values()).agg(*merged).select(*named)
+
+
 GRAM = 4  # letters of the longest piece of a name that is looked up
 
 

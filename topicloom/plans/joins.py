@@ -221,9 +221,9 @@ def join_overlap(t):
 
     outages = spans("error", "a", 500, 94_608_000, 600)
     campaigns = spans("purchase", "b", 501, 63_072_000, 601)
-    pairs = j.overlap_join(outages, campaigns, (F.col("a_from"), F.col("a_to")), (F.col("b_from"), F.col("b_to")))
-    return pairs.groupBy("a_id").agg(F.count("*").alias("n"), F.min("b_id").alias("first_id"),
-                                     F.max("b_id").alias("last_id"))
+    return j.overlap_join(outages, campaigns, (F.col("a_from"), F.col("a_to")), (F.col("b_from"), F.col("b_to")),
+                          per=["a_id"], totals={"n": ("count", "*"), "first_id": ("min", "b_id"),
+                                                "last_id": ("max", "b_id")})
 
 
 @query("lineage_substring", """
