@@ -98,3 +98,34 @@ def test_a_text_without_blanks_takes_memory_for_its_pieces_only():
     tracemalloc.stop()
     assert peak < 150e6
     assert coder.decode(ids[1].tolist()) == long
+
+
+def merged(vocabulary, text):
+    """Merging by rank, written plainly: best neighbours first, leftmost of equals."""
+    parts = list(text)
+    while True:
+        ranks = [vocabulary.scores[vocabulary.ids[x + y]] if x + y in vocabulary.ids else None
+                 for x, y in zip(parts, parts[1:])]
+        known = [x for x in ranks if x is not None]
+        if not known:
+            return parts
+        at = ranks.index(max(known))
+        parts[at:at + 2] = [parts[at] + parts[at + 1]]
+
+
+@pytest.mark.parametrize("levels", [None, 3, 50])
+def test_pieces_stay_separate_as_when_merged(levels):
+    rng, vocabulary = random.Random(levels), pieces.Pieces(pieces.model_bytes())
+    if levels:  # many equal ranks
+        vocabulary.scores = [float(rng.randrange(levels)) for _ in vocabulary.scores]
+        vocabulary.ranks = {name: vocabulary.scores[k] for name, k in vocabulary.ids.items()}
+    names, known = vocabulary.names, list(vocabulary.ids.values())
+    pairs = [rng.choices(known, k=2) for _ in range(3000)]
+    # Cuts within pieces are pairs that do merge, or nearly.
+    pairs += [(vocabulary.ids[x], vocabulary.ids[y]) for k in rng.sample(known, 3000) for cut in range(1, len(names[k]))
+              if (x := names[k][:cut]) in vocabulary.ids and (y := names[k][cut:]) in vocabulary.ids]
+    found = {(a, b): vocabulary.stays_separate(a << 32 | b) for a, b in pairs}
+    assert found == {(a, b): merged(vocabulary, names[a] + names[b]) == [names[a], names[b]] for a, b in pairs}
+    assert any(found.values()) and not all(found.values())
+    for k, (lasts, firsts) in ((k, v) for k, v in vocabulary.made.items() if v):
+        assert len(lasts) == len(firsts) == len(names[k])  # a merge a character but one, and the end

@@ -21,6 +21,7 @@ also one without a blank, is taken whole: it needs memory in proportion to its c
 from __future__ import annotations
 
 import re
+import sys
 from itertools import chain
 
 import ahocorasick
@@ -40,6 +41,8 @@ KNOWN_SEGMENTS = 400_000  # segments a worker remembers, and as many it met befo
 KNOWN_PAIRS = 1_000_000
 PORTION_CHARS = 300_000  # characters that one run of the automaton takes; it holds about 250 bytes for each
 FIRST = np.iinfo(np.int64).min
+NEVER = -np.inf
+END = (NEVER, None)  # no further merge
 _SEGMENT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 _MARKS = re.compile(r"(.*\w)(\W+)\Z", re.S)  # a word and the marks behind it
 _BYTE = re.compile(r"^<0x([0-9A-F]{2})>$")
@@ -84,34 +87,70 @@ class Pieces:
         self.merges = all(self.scores[k].is_integer() for k in self.ids.values())
         self.lengths = np.array([len(x) for x in self.names])
         self.weights = np.array(self.scores)
+        self.ranks = {name: self.scores[k] for name, k in self.ids.items()}
+        self.made: dict[int, tuple[list, list] | None] = {}
         self.automaton = ahocorasick.Automaton()
         for name, k in self.ids.items():
             if len(name) > 1:  # single characters need no search
                 self.automaton.add_word(name, k)
+        # By code point: its piece, or -1 - code point.
+        self.single = -1 - np.arange(sys.maxunicode + 1)
+        for name, k in self.ids.items():
+            if len(name) == 1:
+                self.single[ord(name)] = k
         self.neighbours = {name[k:k + 2] for name in self.ids for k in range(len(name) - 1)}
         self.automaton.make_automaton()
         self.separate: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """Pieces of a short string by merging the best-ranked neighbours, leftmost first."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                piece = self.ids.get(parts[k] + parts[k + 1])
-                if piece is not None and (best is None or self.scores[piece] > best):
-                    best, at = self.scores[piece], k
-            if best is None:
-                break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+    def merges_of(self, piece: int) -> tuple[list, list] | None:
+        """The merges by rank, best first and leftmost of equals, that make a piece of its characters: the score of
+        each with the last part after it, and with the first part after it. None if they end with several parts."""
+        if piece not in self.made:
+            parts, lasts, firsts = list(self.names[piece]), [], []
+            while len(parts) > 1:
+                best, at = None, -1
+                for k in range(len(parts) - 1):
+                    score = self.ranks.get(parts[k] + parts[k + 1])
+                    if score is not None and (best is None or score > best):
+                        best, at = score, k
+                if best is None:
+                    break
+                parts[at:at + 2] = [parts[at] + parts[at + 1]]
+                lasts.append((best, parts[-1]))
+                firsts.append((best, parts[0]))
+            lasts.append(END)
+            firsts.append(END)
+            self.made[piece] = (lasts, firsts) if len(parts) == 1 else None
+        return self.made[piece]
 
     def stays_separate(self, code: int) -> bool:
-        """Whether merging two pieces by rank ends with just these two."""
-        a, b = self.names[code >> 32], self.names[code & 0xFFFFFFFF]
-        return (a + b) not in self.ids and self.merged(a + b) == [a, b]
+        """Whether merging two pieces by rank ends with just these two.
+
+        Until a merge takes a part of each, both are merged as if alone, the better merge first. It comes when the
+        parts that meet make a better one than the next merge of either side.
+        """
+        left, right = code >> 32, code & 0xFFFFFFFF
+        a, b = self.merges_of(left), self.merges_of(right)
+        if a is None or b is None:
+            return False
+        lasts, firsts = iter(a[0]), iter(b[1])
+        last, first = self.names[left][-1], self.names[right][0]
+        (a_score, a_next), (b_score, b_next) = next(lasts), next(firsts)
+        find = self.ranks.get
+        while True:
+            both = find(last + first, NEVER)
+            if both > a_score and both >= b_score:
+                return False
+            if a_score >= b_score:  # of equal merges the left one is first
+                if a_next is None:
+                    return True
+                last = a_next
+                a_score, a_next = next(lasts)
+            else:
+                first = b_next
+                b_score, b_next = next(firsts)
 
     def spelled(self, char: str) -> tuple[int, ...]:
         data = char.encode("utf-8", "replace")
@@ -126,13 +165,11 @@ class Pieces:
         found = np.fromiter(chain.from_iterable(self.automaton.iter(joined)), np.int64)
         ends, pieces = found[::2] + 1, found[1::2]
         begins = ends - self.lengths[pieces]
-        distinct, place = np.unique(chars, return_inverse=True)
-        single = np.array([self.ids.get(chr(c), -1 - c) for c in distinct.tolist()])[place]
         inside = np.ones(len(chars), bool)
         inside[np.cumsum(sizes + 1)[:-1] - 1] = False  # the separators
         at = np.flatnonzero(inside)
         begins, ends = np.r_[begins, at], np.r_[ends, at + 1]
-        pieces = np.r_[pieces, single[at]]
+        pieces = np.r_[pieces, self.single[chars[at]]]
         first = np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)
         offset = ends - first[begins]
         order = np.lexsort((begins, ends, offset))
@@ -201,11 +238,11 @@ class Pieces:
     def encode_all(self, texts) -> list[np.ndarray]:
         """Piece ids of each text."""
         split = [_segments(t) if t else [] for t in texts]
-        fresh = {x for segments in split for x in segments}.difference(self.known)
+        fresh = set().union(*split).difference(self.known)
         if len(self.known) > KNOWN_SEGMENTS:
             # What is met again moves over from the older half; the rest is forgotten.
             self.older, self.known = self.known, {}
-            fresh = {x for segments in split for x in segments}
+            fresh = set().union(*split)
         again = fresh.intersection(self.older)
         self.known.update((x, self.older[x]) for x in again)
         fresh -= again
