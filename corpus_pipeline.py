@@ -39,8 +39,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their piece ids."""
-    model = pieces.model_bytes()
-    coded = pieces.add_text(pieces.add_ids(docs, model), model, into="__decoded")
+    coded = pieces.add_ids_and_text(docs, into="__decoded")
     plain = F.translate(F.coalesce(F.col("text"), F.lit("")), pieces.BLANK, " ")
     return coded.withColumn("round_trip", F.col("__decoded") == plain).drop("__decoded")
 

@@ -129,3 +129,19 @@ def test_pieces_stay_separate_as_when_merged(levels):
     assert any(found.values()) and not all(found.values())
     for k, (lasts, firsts) in ((k, v) for k, v in vocabulary.made.items() if v):
         assert len(lasts) == len(firsts) == len(names[k])  # a merge a character but one, and the end
+
+
+def test_each_text_is_encoded_once_for_ids_and_text(spark):
+    df = documents(spark)
+    both = pieces.add_ids_and_text(df)
+    plan = pieces.encode_and_check(df)._jdf.queryExecution().executedPlan().toString()
+    assert "pythonUDF0" in plan and "pythonUDF1" not in plan
+    apart = pieces.add_text(pieces.add_ids(df))
+    assert both.schema == apart.schema
+    assert sorted(map(repr, both.collect())) == sorted(map(repr, apart.collect()))
+
+
+def test_null_ids_decode_to_nothing(spark):
+    rows = spark.createDataFrame([(1, None), (2, []), (3, [354, 355])], "doc_id int, piece_ids array<int>")
+    got = {r.doc_id: r.decoded for r in pieces.add_text(rows).collect()}
+    assert got == {1: "", 2: "", 3: pieces.Pieces(pieces.model_bytes()).decode([354, 355])}

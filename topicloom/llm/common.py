@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,26 @@ class WordCache(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_kept: dict[str, tuple] = {}
+
+
+def kept(operator: str, key, make):
+    """What an operator keeps in a worker process between batches and tasks, made anew for another ``key``.
+
+    What operators of earlier stages kept is let go: workers outlive stages, and their memory adds up.
+    """
+    task = TaskContext.get()
+    stage = task.stageId() if task else None
+    for other in [k for k, v in _kept.items() if k != operator and v[0] != stage]:
+        del _kept[other]
+    if operator not in _kept or _kept[operator][1] != key:
+        _kept.pop(operator, None)  # one at a time
+        _kept[operator] = (stage, key, make())
+    value = _kept[operator][2]
+    _kept[operator] = (stage, key, value)
+    return value
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values (finaliser of a public 64-bit mixing function)."""
     x = x ^ (x >> np.uint64(33))

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import WordCache, alnum_words, mixed, odd_keys, table
+from topicloom.llm.common import WordCache, alnum_words, kept, mixed, odd_keys, table
 from topicloom.llm.registry import query
 from topicloom.session import materialize
 
@@ -198,15 +198,13 @@ def finder(spark: SparkSession, block: Block):
 
     @F.pandas_udf(SCHEMA)
     def find(texts: pd.Series) -> pd.Series:
+        cache = kept("decontamination", None, WordCache)
         return pd.Series([[dict(zip(("item_id", "first_word", "n_words", "n_same"), x))
-                           for x in overlaps(t, shared.value, _CACHE)] for t in texts])
+                           for x in overlaps(t, shared.value, cache)] for t in texts])
 
     return find
 
 
-_CACHE = WordCache()
-
-
 def mark(docs: DataFrame, items: DataFrame, text: str = "text", into: str = "overlaps") -> DataFrame:
     """All rows and columns plus the overlaps with the test set."""
     out = docs.withColumn(into, F.array().cast(SCHEMA))

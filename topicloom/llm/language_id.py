@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import CACHE_WORDS, bucket, gathered, mixed, odd_keys, table
+from topicloom.llm.common import CACHE_WORDS, bucket, gathered, kept, mixed, odd_keys, table
 from topicloom.llm.registry import query
 from topicloom.session import materialize
 
@@ -211,18 +211,12 @@ def predictor(spark: SparkSession, model: Model):
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: pd.Series) -> pd.DataFrame:
-        if key not in _caches:
-            _caches.clear()  # one model at a time
-        cache = _caches.setdefault(key, {})
-        names, scores = _predict_batch(shared.value, batches.tolist(), cache)
+        names, scores = _predict_batch(shared.value, batches.tolist(), kept("language", key, dict))
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
     return predict
 
 
-_caches: dict[int, dict] = {}
-
-
 def training_rows(docs: DataFrame) -> DataFrame:
     """Rows to learn from: crc32 of the id as text is not 1 modulo 3."""
     return docs.filter(F.coalesce(bucket(F.col("doc_id"), 3) != 1, F.lit(True)))

@@ -26,19 +26,20 @@ from itertools import chain
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import table
+from topicloom.llm.common import kept, table
 from topicloom.llm.registry import query
 
 MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
-KNOWN_SEGMENTS = 400_000  # segments a worker remembers, and as many it met before those
-KNOWN_PAIRS = 1_000_000
+KNOWN_SEGMENTS = 200_000  # segments a worker remembers, and as many it met before those
+KNOWN_PAIRS = 400_000
 PORTION_CHARS = 300_000  # characters that one run of the automaton takes; it holds about 250 bytes for each
 FIRST = np.iinfo(np.int64).min
 NEVER = -np.inf
@@ -271,27 +272,35 @@ def model_bytes(path: str | None = None) -> bytes:
         return file.read()
 
 
-_loaded: dict[int, Pieces] = {}
-
-
 def _pieces(shared) -> Pieces:
     """One vocabulary per worker process."""
     data = shared.value
-    key = hash(data)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Pieces(data)
-    return _loaded[key]
+    return kept("pieces", hash(data), lambda: Pieces(data))
+
+
+def _listed(rows: list[np.ndarray]) -> pa.Array:
+    """Arrow lists of the ids, without a Python object for each id."""
+    stops = np.cumsum([0, *map(len, rows)], dtype=np.int64)
+    flat = pa.array(np.concatenate([np.empty(0, np.int32), *rows]), pa.int32())
+    if stops[-1] > np.iinfo(np.int32).max:
+        return pa.LargeListArray.from_arrays(stops, flat)
+    return pa.ListArray.from_arrays(stops.astype(np.int32), flat)
+
+
+def _unlisted(ids: pa.Array) -> list[list[int]]:
+    """The ids of each row, none for a null."""
+    flat = ids.flatten().to_numpy(zero_copy_only=False).tolist()
+    stops = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)).tolist()
+    return [flat[a:b] for a, b in zip([0, *stops], stops)]
 
 
 def encoder(spark: SparkSession, model: bytes):
     """A column function: text -> array of piece ids."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
-        pieces = _pieces(shared)
-        return pd.Series(pieces.encode_all(texts), dtype=object)
+    @F.arrow_udf("array<int>")
+    def encode(texts: pa.Array) -> pa.Array:
+        return _listed(_pieces(shared).encode_all(texts.to_pylist()))
 
     return encode
 
@@ -300,14 +309,28 @@ def decoder(spark: SparkSession, model: bytes):
     """A column function: array of piece ids -> text."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("string")
-    def decode(ids: pd.Series) -> pd.Series:
-        pieces = _pieces(shared)
-        return pd.Series([pieces.decode([] if x is None else x.tolist()) for x in ids], dtype=object)
+    @F.arrow_udf("string")
+    def decode(ids: pa.Array) -> pa.Array:
+        return pa.array(map(_pieces(shared).decode, _unlisted(ids)), pa.string())
 
     return decode
 
 
+def coder(spark: SparkSession, model: bytes):
+    """A column function: text -> its piece ids and the text decoded from them. Spark evaluates a function as often
+    as others take its result, so a decoder on top of an encoder would have each text encoded twice."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("ids array<int>, decoded string")
+    def code(texts: pa.Array) -> pa.Array:
+        pieces = _pieces(shared)
+        ids = pieces.encode_all(texts.to_pylist())
+        decoded = pa.array((pieces.decode(x.tolist()) for x in ids), pa.string())
+        return pa.StructArray.from_arrays([_listed(ids), decoded], ["ids", "decoded"])
+
+    return code
+
+
 def add_ids(docs: DataFrame, model: bytes | None = None, text: str = "text", into: str = "piece_ids") -> DataFrame:
     """All rows and columns plus the piece ids of the text."""
     return docs.withColumn(into, encoder(docs.sparkSession, model or model_bytes())(
@@ -319,10 +342,17 @@ def add_text(rows: DataFrame, model: bytes | None = None, ids: str = "piece_ids"
     return rows.withColumn(into, decoder(rows.sparkSession, model or model_bytes())(F.col(ids)))
 
 
+def add_ids_and_text(docs: DataFrame, model: bytes | None = None, text: str = "text", ids: str = "piece_ids",
+                     into: str = "decoded") -> DataFrame:
+    """What ``add_text(add_ids(docs))`` gives, each text encoded once."""
+    both = coder(docs.sparkSession, model or model_bytes())(F.col(text).cast("string"))
+    return docs.withColumn("__coded", both).withColumns(
+        {ids: F.col("__coded.ids"), into: F.col("__coded.decoded")}).drop("__coded")
+
+
 def encode_and_check(docs: DataFrame, model: bytes | None = None) -> DataFrame:
     """doc_id, n_pieces, piece_ids and whether decoding them gives the text back."""
-    model = model or model_bytes()
-    coded = add_text(add_ids(docs.select("doc_id", "text"), model), model)
+    coded = add_ids_and_text(docs.select("doc_id", "text"), model)
     plain = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), BLANK, " ")
     return coded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids",
                         (F.col("decoded") == plain).alias("round_trip"))
