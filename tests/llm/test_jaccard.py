@@ -159,3 +159,44 @@ def test_rows_that_share_an_id_are_kept_by_text(spark):
 def test_empty_table(spark):
     assert jj.linked_groups(empty(spark)).count() == 0
     assert jj.keep_one(empty(spark)).count() == 0
+
+
+def listed_sets(texts):
+    sets, keys = [], []
+    for data, cuts in jj._grouped_texts(jj.pa.array(texts, jj.pa.string())):
+        flat, stops = jj._shingled(data, cuts)
+        sets += [flat[a:b].tolist() for a, b in zip(stops[:-1], stops[1:])]
+        keys += jj._key(flat, stops).tolist()
+    return sets, keys
+
+
+@pytest.mark.parametrize("window, group", [(1, 1), (7, 50), (1 << 17, 1 << 19)])
+def test_shingles_of_many_texts_at_once(monkeypatch, window, group):
+    """No shingle runs from one text into the next, wherever the bytes are cut."""
+    monkeypatch.setattr(jj, "WINDOW_BYTES", window)
+    monkeypatch.setattr(jj, "GROUP_BYTES", group)
+    rng = random.Random(window)
+    texts = [None, "", " \n", "a", "A", "a b c d e", "a b c d e f", "e d c b a", "ab cd", "ba dc", "\x1c a", "x" * 700,
+             "x" * 699 + "y", "x" * 300 + " b", *("".join(rng.choices("aAbé \n\x85", k=rng.randint(0, 80)))
+                                                  for _ in range(60))]
+    words = [(t or "").encode().lower().split() for t in texts]
+    want = [{tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    sets, keys = listed_sets(texts)
+    assert [len(x) for x in sets] == [len(x) for x in want] and all(x == sorted(set(x)) for x in sets)
+    for p, q in ((p, q) for p in range(len(texts)) for q in range(p)):
+        assert len(set(sets[p]) & set(sets[q])) == len(want[p] & want[q])
+        assert (keys[p] == keys[q]) == (want[p] == want[q])
+
+
+def test_shingles_do_not_depend_on_what_a_worker_met_before():
+    fresh = jj.odd_keys(256, seed=7)
+    assert (jj._places(5000)[:256] == fresh).all()
+
+
+def test_describing_takes_no_step_for_each_word(monkeypatch):
+    """Words were hashed one by one in Python, most of what describing and postings took."""
+    met = []
+    monkeypatch.setattr("topicloom.llm.common.WordCache.__missing__", lambda self, word: met.append(word) or 1)
+    batch = jj.pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a b c d e f g", None]})
+    rows = next(jj._describe([batch]))
+    assert rows["n"].to_pylist() == [3, 0] and not met

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import WordCache, blank_words, mixed, odd_keys, shingle_set, table
+from topicloom.llm.common import mixed, odd_keys, shingle_set, table
 from topicloom.llm.registry import query
 from topicloom.session import materialize, maybe_broadcast
 
@@ -54,6 +54,8 @@ SHORT_LIST = 256  # nodes of a list whose pairs are listed
 BLOCK_NODES = 2048  # nodes, and
 BLOCK_SHINGLES = 1_000_000  # shingles of them, that one block search holds, about
 CHUNK_SHINGLES = 1_000_000  # shingles of candidates that one search holds at a time
+GROUP_BYTES = 1 << 19  # of texts whose shingles are made at a time
+WINDOW_BYTES = 1 << 17  # of texts whose letters are looked up at a time, about
 
 KEYS = odd_keys(WIDTH, seed=5)
 
@@ -61,44 +63,140 @@ DESCRIBED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.in
                        ("node2", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
 
 
-def _sets(texts, cache):
-    for text in texts:
-        yield shingle_set(cache.hashes(blank_words(text)), WIDTH, KEYS)
+_WORD = np.ones(256, bool)
+_WORD[[9, 10, 11, 12, 13, 32]] = False
+_LETTERS = odd_keys(256, seed=6)
+_LETTERS[65:91] = _LETTERS[97:123]  # A-Z are lowered
+_PLACES = [odd_keys(256, seed=7)]
 
 
-def _signed(value) -> int:
-    return int(np.uint64(value).astype(np.int64))
+def _places(count: int) -> np.ndarray:
+    """An odd number for each place in a word."""
+    if count > len(_PLACES[0]):
+        _PLACES[0] = odd_keys(2 * count, seed=7)
+    return _PLACES[0]
 
 
-def _key(shingles: np.ndarray) -> int:
+def _windows(data: np.ndarray, cuts: np.ndarray):
+    """Parts of the data of about WINDOW_BYTES that end behind a blank or a text."""
+    start, end = int(cuts[0]), int(cuts[-1])
+    while start < end:
+        stop = min(start + WINDOW_BYTES, end)
+        if stop < end:
+            blank = np.flatnonzero(~_WORD[data[start:stop]])
+            if len(blank):
+                stop = start + int(blank[-1]) + 1
+            else:  # a long word, up to the next blank or the end of its text
+                last = int(cuts[np.searchsorted(cuts, stop)])
+                blank = ~_WORD[data[stop:last]]
+                stop = stop + int(blank.argmax()) if blank.any() else last
+        yield start, stop
+        start = stop
+
+
+def word_hashes(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, words of each text); text k is data[cuts[k]:cuts[k + 1]].
+
+    A hash is the sum of products of a number for the letter and one for its place.
+    """
+    hashes, begins = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for start, stop in _windows(data, cuts):
+        part = data[start:stop]
+        inside = _WORD[part]
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        heads = cuts[np.searchsorted(cuts, start):np.searchsorted(cuts, stop)] - start
+        first[heads] = inside[heads]
+        letters = part[inside]
+        if not len(letters):
+            continue
+        at = np.flatnonzero(first[inside])
+        sizes = np.diff(at, append=len(letters))
+        place = np.arange(len(letters)) - np.repeat(at, sizes)
+        with np.errstate(over="ignore"):
+            terms = _LETTERS[letters] * _places(int(sizes.max()))[place]
+            hashes.append(mixed(np.add.reduceat(terms, at) + sizes.astype(np.uint64)))
+        begins.append(np.flatnonzero(first) + start)
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(begins), cuts))
+
+
+def _grouped_texts(texts: pa.Array):
+    """(bytes of the texts, where each begins and the last one ends), about GROUP_BYTES at a time."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    if not len(texts):
+        return
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    cuts = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    ends = np.r_[np.flatnonzero(np.diff((cuts[1:] - cuts[0]) // GROUP_BYTES)) + 1, len(texts)]
+    for low, high in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist()):
+        yield data, cuts[low:high + 1]
+
+
+def _shingled(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingles of each text, one text after the other, and where each text's begin and end."""
+    hashes, words = word_hashes(data, cuts)
+    ends = np.cumsum(words)
+    flat, counts = np.empty(0, np.uint64), np.maximum(words - WIDTH + 1, 0)
+    if counts.any():
+        size = len(hashes) - WIDTH + 1
+        text = np.repeat(np.arange(len(words)), words)
+        with np.errstate(over="ignore"):
+            total = np.full(size, WIDTH, np.uint64)
+            for k in range(WIDTH):
+                total += hashes[k:k + size] * KEYS[k]
+        flat = mixed(total[text[:size] == text[WIDTH - 1:]])
+    short = np.flatnonzero((words > 0) & (words < WIDTH))
+    if len(short):
+        whole = [shingle_set(hashes[ends[k] - words[k]:ends[k]], WIDTH, KEYS)[0] for k in short]
+        flat = np.insert(flat, (np.cumsum(counts) - counts)[short], np.array(whole, np.uint64))
+        counts[short] = 1
+    stops = np.r_[0, np.cumsum(counts)]
+    for low, high in zip(stops[:-1].tolist(), stops[1:].tolist()):
+        flat[low:high].sort()
+    distinct = np.r_[True, flat[1:] != flat[:-1]][:len(flat)]
+    distinct[stops[:-1][counts > 0]] = True
+    return flat[distinct], np.r_[0, np.cumsum(distinct)][stops]
+
+
+def _signed_sums(values: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Sum of each text's values."""
+    out, some = np.zeros(len(stops) - 1, np.uint64), np.diff(stops) > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, stops[:-1][some])
+    return out.view(np.int64)
+
+
+def _key(shingles: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The node of each text."""
     with np.errstate(over="ignore"):
-        return _signed(mixed(shingles).sum(dtype=np.uint64))
+        return _signed_sums(mixed(shingles), stops)
 
 
-def _keys(shingles: np.ndarray) -> tuple[int, int]:
+def _other_key(shingles: np.ndarray, stops: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return (_key(shingles),
-                _signed(mixed(shingles ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)))
+        return _signed_sums(mixed(shingles ^ np.uint64(0x9E3779B97F4A7C15)), stops)
 
 
-def _described_rows(docs, shingles):
-    keys = [_keys(x) for x in shingles]
-    return pa.RecordBatch.from_pydict({
-        "doc_id": docs, "n": [len(x) for x in shingles], "node": [k[0] for k in keys],
-        "node2": [k[1] for k in keys], "block": [None] * len(keys), "counts": [None] * len(keys),
-    }, schema=DESCRIBED)
+def _described_rows(docs: pa.Array, shingles: np.ndarray, stops: np.ndarray):
+    nothing = pa.nulls(len(docs))
+    return pa.RecordBatch.from_arrays([
+        docs, pa.array(np.diff(stops)), pa.array(_key(shingles, stops)), pa.array(_other_key(shingles, stops)),
+        nothing.cast(pa.int32()), nothing.cast(pa.binary())], schema=DESCRIBED)
 
 
 def _describe(batches):
-    cache, counts = WordCache(), np.zeros(1 << SKETCH_BITS, np.int32)
+    counts = np.zeros(1 << SKETCH_BITS, np.int32)
     shift, used = np.uint64(64 - SKETCH_BITS), False
     for batch in batches:
-        sets = list(_sets(batch["text"].to_pylist(), cache))
-        if sets:
-            counts += np.bincount((np.concatenate(sets) >> shift).astype(np.int64),
-                                  minlength=len(counts)).astype(np.int32)
+        done = 0
+        for data, cuts in _grouped_texts(batch["text"]):
+            shingles, stops = _shingled(data, cuts)
+            if len(shingles):
+                places, met = np.unique((shingles >> shift).astype(np.int64), return_counts=True)
+                counts[places] += met.astype(np.int32)
             used = True
-        yield _described_rows(batch["doc_id"].to_pylist(), sets)
+            yield _described_rows(batch["doc_id"].slice(done, len(cuts) - 1), shingles, stops)
+            done += len(cuts) - 1
     if used:
         parts = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, SKETCH_BLOCKS)]
         none = [None] * SKETCH_BLOCKS
@@ -153,27 +251,31 @@ def postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def rare(batches):
-        cache, done, shift = WordCache(), set(), np.uint64(64 - SKETCH_BITS)
+        done, shift = set(), np.uint64(64 - SKETCH_BITS)
         level = shared.value
         for batch in batches:
-            parts = []
-            for shingles in _sets(batch["text"], cache):
-                n = len(shingles)
-                if not n or (node := _key(shingles)) in done:
-                    continue
-                done.add(node)
-                heavy = level[(shingles >> shift).astype(np.int64)]
-                # A stable sort: shingles come in order of their hashes.
-                pick = np.argsort(heavy, kind="stable")[:n - needed(n) + 1]
-                at = (n << 32) + (np.arange(len(pick)) << 1) + (heavy[pick] > 0)
-                parts.append((shingles[pick].view(np.int64), node, at))
-            if parts:
-                yield pd.DataFrame({
-                    "shingle": np.concatenate([p[0] for p in parts]),
-                    "node": np.repeat([p[1] for p in parts], [len(p[0]) for p in parts]),
-                    "at": np.concatenate([p[2] for p in parts])})
-
-    found = docs.select(F.col("text").cast("string")).mapInPandas(rare, "shingle long, node long, at long")
+            for data, cuts in _grouped_texts(batch["text"]):
+                parts = []
+                shingles, stops = _shingled(data, cuts)
+                levels_of = level[(shingles >> shift).astype(np.int64)]
+                nodes = _key(shingles, stops).tolist()
+                for node, low, high in zip(nodes, stops[:-1].tolist(), stops[1:].tolist()):
+                    n = high - low
+                    if not n or node in done:
+                        continue
+                    done.add(node)
+                    heavy = levels_of[low:high]
+                    # A stable sort: shingles come in order of their hashes.
+                    pick = np.argsort(heavy, kind="stable")[:n - needed(n) + 1]
+                    at = (n << 32) + (np.arange(len(pick)) << 1) + (heavy[pick] > 0)
+                    parts.append((shingles[low + pick].view(np.int64), node, at))
+                if parts:
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.concatenate([p[0] for p in parts])),
+                        pa.array(np.repeat([p[1] for p in parts], [len(p[0]) for p in parts])),
+                        pa.array(np.concatenate([p[2] for p in parts]))], ["shingle", "node", "at"])
+
+    found = docs.select(F.col("text").cast("string")).mapInArrow(rare, "shingle long, node long, at long")
     # Short lists are bounded, so a window may see one whole; long lists are spread and kept.
     found = found.withColumn("spread", F.when(F.col("at") % 2 == 1, F.xxhash64("node")).otherwise(0))
     found.createOrReplaceTempView("jaccard_postings")
@@ -432,18 +534,21 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, described: DataFrame) -> Dat
                 .groupBy("node").agg(F.count("doc_id").alias("named")).filter("named = 0"))
 
     def build(batches):
-        cache = WordCache()
         for batch in batches:
-            rows = [(_keys(s)[0], len(s), s.tobytes()) for s in _sets(batch["text"], cache)]
-            yield pd.DataFrame(rows, columns=["node", "n", "shingles"])
+            for data, cuts in _grouped_texts(batch["text"]):
+                shingles, stops = _shingled(data, cuts)
+                sets = [shingles[a:b].tobytes() for a, b in zip(stops[:-1].tolist(), stops[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(_key(shingles, stops)), pa.array(np.diff(stops)), pa.array(sets, pa.binary())],
+                    ["node", "n", "shingles"])
 
     wanted = materialize(wanted.select("doc_id"), "jaccard-wanted")
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
     texts = named.join(maybe_broadcast(wanted), "doc_id", "left_semi").select("text")
     schema = "node long, n long, shingles binary"
-    built = texts.mapInPandas(build, schema)
+    built = texts.mapInArrow(build, schema)
     if nameless.limit(1).count():
-        built = built.union(named.filter("doc_id IS NULL").select("text").mapInPandas(build, schema))
+        built = built.union(named.filter("doc_id IS NULL").select("text").mapInArrow(build, schema))
     # Repeated ids may bring other texts along, and copies without id the same text again.
     return materialize(built.join(nodes, "node", "left_semi").dropDuplicates(["node"]),
                        "jaccard-built")
@@ -524,7 +629,11 @@ def linked_groups(docs: DataFrame) -> DataFrame:
 
 def set_keys(texts: pd.Series) -> pd.DataFrame:
     """The size of each text's set and the key of its class."""
-    return pd.DataFrame([(len(x), *_keys(x)) for x in _sets(texts, WordCache())], columns=["n", "node", "node2"])
+    found = [np.empty((0, 3), np.int64)]
+    for data, cuts in _grouped_texts(pa.array(texts, pa.large_string(), from_pandas=True)):
+        shingles, stops = _shingled(data, cuts)
+        found.append(np.column_stack((np.diff(stops), _key(shingles, stops), _other_key(shingles, stops))))
+    return pd.DataFrame(np.concatenate(found), columns=["n", "node", "node2"])
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
