@@ -17,6 +17,10 @@ from topicloom.llm.registry import QUERIES
 from topicloom.session import materialize
 
 
+# The last stage runs in executors that earlier ones have filled, so its workers remember less; this costs time only.
+PIECE_SEGMENTS = 60_000
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
     return quality.keep_good(docs)
@@ -39,7 +43,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their piece ids."""
-    coded = pieces.add_ids_and_text(docs, into="__decoded")
+    coded = pieces.add_ids_and_text(docs, into="__decoded", remember=PIECE_SEGMENTS)
     plain = F.translate(F.coalesce(F.col("text"), F.lit("")), pieces.BLANK, " ")
     return coded.withColumn("round_trip", F.col("__decoded") == plain).drop("__decoded")
 

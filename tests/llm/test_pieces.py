@@ -145,3 +145,21 @@ def test_null_ids_decode_to_nothing(spark):
     rows = spark.createDataFrame([(1, None), (2, []), (3, [354, 355])], "doc_id int, piece_ids array<int>")
     got = {r.doc_id: r.decoded for r in pieces.add_text(rows).collect()}
     assert got == {1: "", 2: "", 3: pieces.Pieces(pieces.model_bytes()).decode([354, 355])}
+
+
+def test_remembering_less_takes_less_memory_and_changes_nothing(library):
+    """The last stage of the pipeline was stopped for its memory."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    words = ["".join(map(chr, rng.integers(97, 123, 8))) for _ in range(30_000)]
+    texts = [" ".join(words[k:k + 100]) for k in range(0, len(words), 100)]
+    peaks, found = [], []
+    for remember in (None, 2000):
+        coder = pieces.Pieces(pieces.model_bytes(), remember)
+        tracemalloc.start()
+        found.append([x.tolist() for x in coder.encode_all(texts)])
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert found[0] == found[1] == [library.encode(t) for t in texts]
+    assert peaks[1] < peaks[0] / 2

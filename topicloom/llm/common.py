@@ -54,15 +54,21 @@ class WordCache(dict):
 _kept: dict[str, tuple] = {}
 
 
-def kept(operator: str, key, make):
-    """What an operator keeps in a worker process between batches and tasks, made anew for another ``key``.
-
-    What operators of earlier stages kept is let go: workers outlive stages, and their memory adds up.
-    """
+def let_go(operator: str | None = None) -> int | None:
+    """Drops what other operators kept in earlier stages: workers outlive stages, and their memory adds up."""
     task = TaskContext.get()
     stage = task.stageId() if task else None
     for other in [k for k, v in _kept.items() if k != operator and v[0] != stage]:
         del _kept[other]
+    return stage
+
+
+def kept(operator: str, key, make):
+    """What an operator keeps in a worker process between batches and tasks, made anew for another ``key``.
+
+    What operators of earlier stages kept is let go.
+    """
+    stage = let_go(operator)
     if operator not in _kept or _kept[operator][1] != key:
         _kept.pop(operator, None)  # one at a time
         _kept[operator] = (stage, key, make())

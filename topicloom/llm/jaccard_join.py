@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from topicloom.llm.common import mixed, odd_keys, shingle_set, table
+from topicloom.llm.common import let_go, mixed, odd_keys, shingle_set, table
 from topicloom.llm.registry import query
 from topicloom.session import materialize, maybe_broadcast
 
@@ -185,6 +185,7 @@ def _described_rows(docs: pa.Array, shingles: np.ndarray, stops: np.ndarray):
 
 
 def _describe(batches):
+    let_go()
     counts = np.zeros(1 << SKETCH_BITS, np.int32)
     shift, used = np.uint64(64 - SKETCH_BITS), False
     for batch in batches:

@@ -41,6 +41,7 @@ BLANK = "▁"
 KNOWN_SEGMENTS = 200_000  # segments a worker remembers, and as many it met before those
 KNOWN_PAIRS = 400_000
 PORTION_CHARS = 300_000  # characters that one run of the automaton takes; it holds about 250 bytes for each
+TEXT_PORTIONS = 8  # texts are split in runs of so many portions
 FIRST = np.iinfo(np.int64).min
 NEVER = -np.inf
 END = (NEVER, None)  # no further merge
@@ -55,12 +56,12 @@ def _segments(text: str) -> list[str]:
     return (BLANK + text.replace(" ", " " + BLANK)).split(" ")
 
 
-def _portions(segments: list[str]):
+def _portions(segments: list[str], chars: int):
     part, size = [], 0
     for segment in segments:
         part.append(segment)
-        size += len(segment)
-        if size >= PORTION_CHARS:
+        size += len(segment or "")
+        if size >= chars:
             yield part
             part, size = [], 0
     if part:
@@ -68,9 +69,16 @@ def _portions(segments: list[str]):
 
 
 class Pieces:
-    """Vocabulary and automaton of a model file."""
+    """Vocabulary and automaton of a model file.
 
-    def __init__(self, model: bytes):
+    ``remember`` is how many segments are kept, and as many older ones. Pairs, portions and the texts split at
+    a time shrink with it; it costs time only.
+    """
+
+    def __init__(self, model: bytes, remember: int | None = None):
+        self.remember = remember or KNOWN_SEGMENTS
+        self.pairs = min(KNOWN_PAIRS, 2 * self.remember)
+        self.portion = min(PORTION_CHARS, self.remember) if remember else PORTION_CHARS
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.names = [sp.id_to_piece(k) for k in range(sp.get_piece_size())]
         self.scores = [sp.get_score(k) for k in range(len(self.names))]
@@ -204,7 +212,7 @@ class Pieces:
         out = np.ones(len(left), bool)
         codes, place = np.unique((left[both] << 32) | right[both], return_inverse=True)
         codes = codes.tolist()
-        if len(self.separate) > KNOWN_PAIRS:
+        if len(self.separate) > self.pairs:
             self.separate.clear()
         for code in codes:
             if code not in self.separate:
@@ -238,9 +246,12 @@ class Pieces:
 
     def encode_all(self, texts) -> list[np.ndarray]:
         """Piece ids of each text."""
+        return [ids for part in _portions(texts, TEXT_PORTIONS * self.portion) for ids in self._encode(part)]
+
+    def _encode(self, texts) -> list[np.ndarray]:
         split = [_segments(t) if t else [] for t in texts]
         fresh = set().union(*split).difference(self.known)
-        if len(self.known) > KNOWN_SEGMENTS:
+        if len(self.known) > self.remember:
             # What is met again moves over from the older half; the rest is forgotten.
             self.older, self.known = self.known, {}
             fresh = set().union(*split)
@@ -252,7 +263,7 @@ class Pieces:
                if (m := _MARKS.match(x)) and x[m.end(1) - 1:m.end(1) + 1] not in self.neighbours}
         fresh.difference_update(cut)
         fresh.update(part for both in cut.values() for part in both if part not in self.known)
-        for part in _portions(sorted(fresh, key=len)):
+        for part in _portions(sorted(fresh, key=len), self.portion):
             self.known.update(zip(part, self.viterbi(part)))
         self.known.update((x, self.known[a] + self.known[b]) for x, (a, b) in cut.items())
         find = self.known.__getitem__
@@ -272,10 +283,10 @@ def model_bytes(path: str | None = None) -> bytes:
         return file.read()
 
 
-def _pieces(shared) -> Pieces:
+def _pieces(shared, remember: int | None = None) -> Pieces:
     """One vocabulary per worker process."""
     data = shared.value
-    return kept("pieces", hash(data), lambda: Pieces(data))
+    return kept("pieces", (hash(data), remember), lambda: Pieces(data, remember))
 
 
 def _listed(rows: list[np.ndarray]) -> pa.Array:
@@ -316,14 +327,14 @@ def decoder(spark: SparkSession, model: bytes):
     return decode
 
 
-def coder(spark: SparkSession, model: bytes):
+def coder(spark: SparkSession, model: bytes, remember: int | None = None):
     """A column function: text -> its piece ids and the text decoded from them. Spark evaluates a function as often
     as others take its result, so a decoder on top of an encoder would have each text encoded twice."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("ids array<int>, decoded string")
     def code(texts: pa.Array) -> pa.Array:
-        pieces = _pieces(shared)
+        pieces = _pieces(shared, remember)
         ids = pieces.encode_all(texts.to_pylist())
         decoded = pa.array((pieces.decode(x.tolist()) for x in ids), pa.string())
         return pa.StructArray.from_arrays([_listed(ids), decoded], ["ids", "decoded"])
@@ -343,9 +354,9 @@ def add_text(rows: DataFrame, model: bytes | None = None, ids: str = "piece_ids"
 
 
 def add_ids_and_text(docs: DataFrame, model: bytes | None = None, text: str = "text", ids: str = "piece_ids",
-                     into: str = "decoded") -> DataFrame:
-    """What ``add_text(add_ids(docs))`` gives, each text encoded once."""
-    both = coder(docs.sparkSession, model or model_bytes())(F.col(text).cast("string"))
+                     into: str = "decoded", remember: int | None = None) -> DataFrame:
+    """What ``add_text(add_ids(docs))`` gives, each text encoded once. ``remember``: see ``Pieces``."""
+    both = coder(docs.sparkSession, model or model_bytes(), remember)(F.col(text).cast("string"))
     return docs.withColumn("__coded", both).withColumns(
         {ids: F.col("__coded.ids"), into: F.col("__coded.decoded")}).drop("__coded")
 
