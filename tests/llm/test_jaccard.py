@@ -101,6 +101,39 @@ def test_links_by_long_lists_only(spark, monkeypatch, seed):
     assert len(searched) == 1
 
 
+def test_few_rows_are_few_files(spark, monkeypatch):
+    """Pairs, links and groups were written by each of all shuffle partitions, again and again."""
+    made = []
+    write = jj.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        made.append((label, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(jj, "materialize", counted)
+    rows = corpus(1)
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert got(documents(spark, rows)) == brute(rows)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    few = [n for label, n in made if label.split("-")[1] in ("pairs", "wanted", "found", "labels")]
+    assert few and max(few) <= spark.sparkContext.defaultParallelism
+    assert len(made) < 40
+
+
+def test_nothing_small_enough_for_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(jj, "fits_broadcast", lambda df: False)
+    monkeypatch.setattr(jj, "maybe_broadcast", lambda df: df)
+    rows = corpus(3, groups=6)
+    assert got(documents(spark, rows)) == brute(rows)
+
+
 def test_block_search_is_exact():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 120, dtype=np.uint64)

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from topicloom.llm.common import let_go, mixed, odd_keys, shingle_set, table
 from topicloom.llm.registry import query
-from topicloom.session import materialize, maybe_broadcast
+from topicloom.session import fits_broadcast, materialize, maybe_broadcast
 
 WIDTH = 5
 PERCENT = 80
@@ -206,6 +206,12 @@ def _describe(batches):
             "block": list(range(SKETCH_BLOCKS)), "counts": parts}, schema=DESCRIBED)
 
 
+def _few_files(df: DataFrame, label: str) -> DataFrame:
+    """``materialize`` for narrow rows that are few next to what they come from: a file for each core, not for
+    each shuffle partition. Writing nearly empty files takes longer than one more shuffle of such rows."""
+    return materialize(df.repartition(df.sparkSession.sparkContext.defaultParallelism), label)
+
+
 def describe(docs: DataFrame) -> DataFrame:
     """(doc_id, n, node, node2) per row, and per task the bucket counts (block, counts)."""
     return materialize(
@@ -281,11 +287,12 @@ def postings(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     found = found.withColumn("spread", F.when(F.col("at") % 2 == 1, F.xxhash64("node")).otherwise(0))
     found.createOrReplaceTempView("jaccard_postings")
     alone = found.sparkSession.sql("""
-        SELECT shingle, node, at, min(node) OVER w AS least, max(node) OVER w AS most
+        SELECT shingle, spread, node, at, min(node) OVER w AS least, max(node) OVER w AS most
         FROM jaccard_postings WINDOW w AS (PARTITION BY shingle, spread)""")
-    return materialize(alone.filter("at % 2 = 1 OR least <> most").selectExpr(
-        "shingle", "node", "at DIV 4294967296 AS n", "CAST(at % 4294967296 DIV 2 AS INT) AS pos").distinct(),
-        "jaccard-postings")
+    # With ``spread``, which follows from the rest, copies are found where the window has put them.
+    once = alone.filter("at % 2 = 1 OR least <> most").select("shingle", "spread", "node", "at").distinct()
+    return materialize(once.selectExpr(
+        "shingle", "node", "at DIV 4294967296 AS n", "CAST(at % 4294967296 DIV 2 AS INT) AS pos"), "jaccard-postings")
 
 
 def _close(a: str, b: str):
@@ -300,7 +307,7 @@ def mixed_lists(lists: DataFrame) -> DataFrame:
 
 
 def _counted(pairs: DataFrame, aside: DataFrame | None = None) -> DataFrame:
-    """Pairs of (pivot, node) that may still link, with ``low`` and ``high``.
+    """Pairs of (pivot, node) that may still link, with the node's size ``n``, ``low`` and ``high``.
 
     ``pairs`` has a row for each list in which the two meet, with their sizes (pn, n) and places (pp, pos);
     ``aside`` says of a node in how many lists it is that were left out. Of two nodes' common shingles those up to the end of the
@@ -311,7 +318,7 @@ def _counted(pairs: DataFrame, aside: DataFrame | None = None) -> DataFrame:
     size = 100 + PERCENT
     alpha = f"({PERCENT} * (less + more) + {size - 1}) DIV {size}"
     most = f"({PERCENT} * more + 99) DIV 100"
-    either = F.struct("pivot", "node")
+    either = F.struct("pivot", "node", "n")
     found = (pairs.groupBy(F.least("pivot", "node").alias("low"), F.greatest("pivot", "node").alias("high"))
              .agg(F.count("*").alias("met"), F.min(either).alias("x"),
                   F.max(F.least(F.col("n") - F.col("pos"), F.col("pn") - F.col("pp"))).alias("room"),
@@ -322,7 +329,7 @@ def _counted(pairs: DataFrame, aside: DataFrame | None = None) -> DataFrame:
             found = found.join(aside.select(F.col("node").alias(end), F.col("aside").alias(f"{end}_aside")), end, "left")
         found = found.withColumn("left", F.least(*[F.coalesce(f"{e}_aside", F.lit(0)) for e in ("low", "high")]))
     return (found.filter("met + left >= alpha - most + 1 AND (left > 0 OR room >= alpha)")
-            .select("x.pivot", "x.node", "low", "high"))
+            .select("x.pivot", "x.node", "x.n", "low", "high"))
 
 
 def centrality(lists: DataFrame) -> DataFrame:
@@ -379,19 +386,22 @@ def _blocks(nodes: DataFrame) -> DataFrame:
         "hint", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("block"))
 
 
-def block_links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, described: DataFrame) -> DataFrame:
+def block_links(lists: DataFrame, nodes: DataFrame, docs: DataFrame, owners: DataFrame) -> DataFrame:
     """Links between nodes of different groups that share one of ``lists`` (the long ones, with groups).
 
     Of each list all groups but the largest ask, so any two groups meet. Only blocks are paired by shingle.
     """
-    nodes = materialize(nodes, "jaccard-leading")
+    nodes = _few_files(nodes, "jaccard-leading")
     lists = lists.join(nodes.select("node"), "node", "left_semi")
     share = lists.groupBy("shingle", "group").agg(F.count("*").alias("rows"))
     major = share.groupBy("shingle").agg(F.max_by("group", F.struct("rows", "group")).alias("major"))
-    minor = lists.join(major, "shingle").filter("group <> major").select("node").distinct()
+    minor = _few_files(lists.join(major, "shingle").filter("group <> major").select("node").distinct(),
+                       "jaccard-asking")
+    if minor.isEmpty():
+        return _no_links(docs.sparkSession)
     asked = _blocks(nodes.join(minor, "node", "left_semi")).withColumnRenamed("block", "asker")
     held = _blocks(nodes)
-    sets = shingle_sets(docs, nodes.select("node"), described)
+    sets = materialize(shingle_sets(docs, nodes.select("node"), owners), "jaccard-built")
     asked, held = (materialize(x.join(sets, "node"), "jaccard-blocks") for x in (asked, held))
     at = lists.select("shingle", "node")
     meet = materialize(
@@ -495,10 +505,8 @@ def _search(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that link. A pivot with many candidates is searched in several chunks."""
-    load = (pairs.join(sets.select("node", "n"), "node").groupBy("pivot")
-            .agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).alias("chunks")))
-    load = materialize(load, "jaccard-load")
+    """The pairs (pivot, node, n) that link. A pivot with many candidates is searched in several chunks."""
+    load = pairs.groupBy("pivot").agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).alias("chunks"))
     candidates = pairs.join(load, "pivot").select(
         "pivot", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), "node")
     pivots = load.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"),
@@ -507,32 +515,39 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .groupBy("pivot", "chunk").applyInPandas(_search, "a long, b long"))
 
 
+def _no_links(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, group): the smallest node that links reach, for nodes with a link."""
-    links = materialize(links.distinct(), "jaccard-links")
+    """(node, group): the smallest node that links reach, for nodes with a link; broadcast if measured to be small."""
     both = links.union(links.select("b", "a"))
-    label = materialize(both.groupBy(F.col("a").alias("node")).agg(
-        F.least(F.min("b"), F.min("a")).alias("group")), "jaccard-labels")
+    label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("group"))
+    small = fits_broadcast(label)  # it keeps its nodes, so one measurement holds for every step
+    few = links.sparkSession.sparkContext.defaultParallelism
     while True:
+        label = F.broadcast(label) if small else label
         near = (both.join(label, both["b"] == label["node"]).groupBy(F.col("a").alias("node"))
                 .agg(F.min("group").alias("near")))
-        step = label.join(near, "node").select(
+        step = near.join(label, "node").select(
             "node", "group", F.least("group", "near").alias("best"))
         # One jump along the new label halves the way to the smallest node.
         jump = label.select(F.col("node").alias("best"), F.col("group").alias("far"))
-        step = materialize(step.join(jump, "best").select(
-            "node", F.least("best", "far").alias("next"), "group"), "jaccard-labels")
-        if not step.filter("next <> group").limit(1).count():
-            return label
+        step = step.join(jump, "best").select("node", F.least("best", "far").alias("next"), "group")
+        step = materialize(step.coalesce(few) if small else step, "jaccard-labels")
         label = step.select("node", F.col("next").alias("group"))
+        if not step.filter("next <> group").limit(1).count():
+            return F.broadcast(label) if small else label
+
+
+def owners_of(described: DataFrame) -> DataFrame:
+    """(node, doc_id): the smallest id of each node, null where no row has one."""
+    return materialize(described.filter("node IS NOT NULL AND n > 0").groupBy("node").agg(
+        F.min("doc_id").alias("doc_id")), "jaccard-owners")
 
 
-def shingle_sets(docs: DataFrame, nodes: DataFrame, described: DataFrame) -> DataFrame:
-    """(node, n, shingles) for the listed nodes, from one document of each."""
-    wanted = (described.filter("node IS NOT NULL").join(nodes, "node", "left_semi")
-              .groupBy("node", "n").agg(F.min("doc_id").alias("doc_id"))).filter("doc_id IS NOT NULL")
-    nameless = (described.filter("node IS NOT NULL").join(nodes, "node", "left_semi")
-                .groupBy("node").agg(F.count("doc_id").alias("named")).filter("named = 0"))
+def shingle_sets(docs: DataFrame, nodes: DataFrame, owners: DataFrame) -> DataFrame:
+    """(node, n, shingles) for the listed nodes (each once), from one document of each."""
 
     def build(batches):
         for batch in batches:
@@ -543,16 +558,16 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, described: DataFrame) -> Dat
                     pa.array(_key(shingles, stops)), pa.array(np.diff(stops)), pa.array(sets, pa.binary())],
                     ["node", "n", "shingles"])
 
-    wanted = materialize(wanted.select("doc_id"), "jaccard-wanted")
+    wanted = _few_files(owners.join(nodes, "node", "left_semi"), "jaccard-wanted")
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
-    texts = named.join(maybe_broadcast(wanted), "doc_id", "left_semi").select("text")
+    wanted = maybe_broadcast(wanted)
+    texts = named.join(wanted.filter("doc_id IS NOT NULL").select("doc_id"), "doc_id", "left_semi").select("text")
     schema = "node long, n long, shingles binary"
     built = texts.mapInArrow(build, schema)
-    if nameless.limit(1).count():
+    if wanted.filter("doc_id IS NULL").limit(1).count():
         built = built.union(named.filter("doc_id IS NULL").select("text").mapInArrow(build, schema))
     # Repeated ids may bring other texts along, and copies without id the same text again.
-    return materialize(built.join(nodes, "node", "left_semi").dropDuplicates(["node"]),
-                       "jaccard-built")
+    return built.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def _grouped(lists: DataFrame, label: DataFrame | None) -> DataFrame:
@@ -568,21 +583,25 @@ def _links(docs: DataFrame, described: DataFrame) -> DataFrame | None:
     lists = postings(docs, rarity(described))
     label, links, tried = None, None, None
     lists = materialize(lists.join(centrality(lists), "node"), "jaccard-weighted")
-    long = materialize(long_lists(lists), "jaccard-long")
+    long = _few_files(long_lists(lists), "jaccard-long")
+    owners = owners_of(described)
 
     def search(pairs: DataFrame) -> DataFrame:
         nonlocal tried
         # No pair is searched twice, whichever of the two was the pivot.
         if tried is not None:
             pairs = pairs.join(tried, ["low", "high"], "left_anti")
-        pairs = materialize(pairs, "jaccard-pairs")
-        nodes = pairs.select("node").union(pairs.select("pivot")).distinct()
-        sets = shingle_sets(docs, materialize(nodes, "jaccard-nodes"), described)
+        pairs = _few_files(pairs, "jaccard-pairs")
+        if pairs.isEmpty():
+            return _no_links(docs.sparkSession)
+        sets = shingle_sets(docs, pairs.select("node").union(pairs.select("pivot")), owners)
         done = pairs.select("low", "high")
         tried = done if tried is None else tried.union(done)
-        return verify(pairs.select("pivot", "node"), sets)
+        return verify(pairs.select("pivot", "node", "n"), sets)
 
     def mixed_now() -> DataFrame:
+        if label is None:  # every list holds several groups, but for some long ones that yield no pair
+            return _grouped(lists, label)
         return materialize(mixed_lists(_grouped(lists, label)), "jaccard-lists")
 
     for pivots in (*STAR_ROUNDS, None, 0):
@@ -592,8 +611,8 @@ def _links(docs: DataFrame, described: DataFrame) -> DataFrame | None:
         elif pivots is None:
             found = search(short_pairs(left, long))
         else:
-            found = block_links(left.join(long, "shingle", "left_semi"), leading(lists, long), docs, described)
-        found = materialize(found, "jaccard-found")
+            found = block_links(left.join(long, "shingle", "left_semi"), leading(lists, long), docs, owners)
+        found = _few_files(found, "jaccard-found")
         links = found if links is None else links.union(found)
         if label is None or found.limit(1).count():
             label = components(links)
