@@ -1,4 +1,5 @@
 import io
+import random
 import zlib
 
 import numpy as np
@@ -138,3 +139,26 @@ def test_marks_around_letters(text):
     chunks = tf.Chunks(tf.tokenizer_text())
     want = chunks.tokenizer.encode(text, add_special_tokens=False).ids
     assert np.frombuffer(chunks.encode_all([text])[0], np.uint32).tolist() == want
+
+
+def test_marks_behind_words_are_chunks_of_their_own():
+    """Words were looked up, encoded and remembered once more for each mark behind them."""
+    rng = random.Random(4)
+    texts = ["A. b, it's, 1,234. 5! x.. \u0130. \xd7. \xf7; \xe9? \u01c5: don\u2019t. \u7684. \xdf, <s>.", "", None, " . ", "a\x1fb, c."]
+    texts += ["".join(rng.choices("aZ9\xe9\xd7\xf7\u0130\xdf.,;:!?'\"<> \n\x1d\u0301\u2019\u01c5\u7684s", k=rng.randint(1, 60)))
+              for _ in range(3000)]
+    chunks, library = tf.Chunks(tf.tokenizer_text()), Tokenizer.from_str(tf.tokenizer_text())
+    for text, ids in zip(texts, chunks.encode_all(texts)):
+        assert np.frombuffer(ids, np.uint32).tolist() == library.encode(text or "", add_special_tokens=False).ids
+    chunks = tf.Chunks(tf.tokenizer_text())
+    chunks.encode_all(["word word. word, \xfcber \xfcber! 12 12;"])
+    assert not {"word.", "word,", "\xfcber!", "12;"} & set(chunks.known)
+
+
+def test_sliced_and_grouped_texts(monkeypatch):
+    monkeypatch.setattr(tf, "GROUP_BYTES", 5)
+    texts = tf.pa.array(["cut off", "one, two", None, "", "a\x1cb c", "three four. five", "cut off"])
+    want = tf.Chunks(tf.tokenizer_text())
+    want = [want.plain(x or "").tobytes() for x in texts.to_pylist()]
+    assert tf.Chunks(tf.tokenizer_text()).encode_all(texts[1:6]) == want[1:6]
+    assert tf.Chunks(tf.tokenizer_text()).encode_all(texts[:0]) == []

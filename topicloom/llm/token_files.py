@@ -12,7 +12,8 @@ offset. A word has a 4-bit selector and 60 bits of equally wide values; selector
 word is one value of more than 60 bits. Encoding and decoding handle all words of a selector at once.
 
 The tokenizer lowers and splits a text at white space first, so a text is encoded by the library chunk by
-chunk and chunks already seen are looked up.
+chunk. Arrow cuts the texts of a batch into numbered distinct chunks, chunks already seen are looked up, and
+numpy puts their ids where their numbers stand.
 
 Defined cases: null and empty texts have the end id only; rows without a doc_id come first; rows that
 repeat a doc_id are ordered by their ids; an empty table gives no files and no rows; other columns are
@@ -28,9 +29,9 @@ from array import array
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -45,14 +46,18 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 BLOCK = 4096
 FILE_IDS = 2_000_000  # a file is closed at this many ids
-KNOWN_CHUNKS = 200_000  # chunks a worker remembers, and as many it met before those
+GROUP_BYTES = 4 << 20  # of texts cut into chunks at a time, about
+KNOWN_CHUNKS = 400_000  # chunks a worker remembers, and as many it met before those
 # Latin letters that are one code point lowered and composed, between ASCII marks. An apostrophe before letters may be
 # part of a contraction, and a special token begins with <, so neither may stand before them.
 _LETTERS = re.compile("([!-&(-/:;=-@\\[-`{-~]*)([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)"
                       "([!-/:-@\\[-`{-~]*)")
-# White space of the tokenizer (Unicode White_Space), and what str.split() would cut at besides.
+# White space of the tokenizer (Unicode White_Space), and what str.split() and Arrow would cut at besides.
 _MORE = re.compile("[\\x1c-\\x1f]")
 _BLANKS = re.compile("[\\t-\\r \\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+")
+_MARKS, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
+_MARKS[list(b"!,.:;?")] = True
+_PLAIN[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
 MAGIC = b"S8BTOKEN"
 HEAD = struct.Struct("<8s6q")
 
@@ -201,10 +206,51 @@ class TokenFile:
 
 
 def _split(text: str) -> list[str]:
-    """Chunks between the tokenizer's white space; the faster str.split() where it cuts at the same places."""
+    """Chunks between the tokenizer's white space."""
     return [x for x in _BLANKS.split(text) if x] if _MORE.search(text) else text.split()
 
 
+def _grouped(texts: pa.Array):
+    """Parts of about GROUP_BYTES, so that a batch of long texts takes no more memory than its longest one."""
+    sizes = np.asarray(pc.binary_length(texts), np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // GROUP_BYTES)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)]):
+        yield texts[a:b]
+
+
+def _chunked(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(chunks, where those of each text begin and the last ones end), no text being null; chunks may be empty."""
+    begin, end = texts.offset, texts.offset + len(texts)
+    ends = np.frombuffer(texts.buffers()[1], np.int32)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[begin]:ends[end]]
+    if ((data >= 28) & (data <= 31)).any():
+        lists = pa.array([_split(x) for x in texts.to_pylist()], pa.list_(pa.string()))
+    else:
+        lists = pc.utf8_split_whitespace(texts)
+    return _marks_apart(lists.values, np.asarray(lists.offsets, np.int64))
+
+
+def _marks_apart(chunks: pa.Array, begins: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """One mark behind a letter or digit is a chunk of its own: the tokenizer always cuts there."""
+    if not len(chunks):
+        return chunks, begins
+    _, ends, data = chunks.buffers()
+    ends = np.frombuffer(ends, np.int32)[chunks.offset:chunks.offset + len(chunks) + 1]
+    data = np.frombuffer(data or b"", np.uint8)
+    sizes = np.diff(ends)
+    at = np.flatnonzero(sizes > 1)
+    at = at[_MARKS[data[ends[at + 1] - 1]]]
+    last = data[ends[at + 1] - 2]
+    before = np.where(sizes[at] > 2, data[ends[at + 1] - 3], 0)
+    # Two bytes from U+00C0 to U+024F but \u00D7, \u00F7 and \u0130, whose lower case ends in a mark.
+    two = (last >= 0x80) & (before >= 0xC3) & (before <= 0xC9) & ~((before == 0xC3) & (last & 0xDF == 0x97))
+    two &= ~((before == 0xC4) & (last == 0xB0))
+    at = at[_PLAIN[last] | two]
+    cut = np.insert(ends, at + 1, ends[at + 1] - 1)
+    return (pa.StringArray.from_buffers(len(cut) - 1, pa.py_buffer(cut), chunks.buffers()[2]),
+            begins + np.searchsorted(at, begins))
+
+
 class Known(dict):
     """Ids of chunks; a chunk that is missing is looked for among the older ones, then encoded."""
 
@@ -227,6 +273,7 @@ class Chunks:
 
     def __init__(self, model: str):
         self.tokenizer = Tokenizer.from_str(model)
+        self.tokenize = self.tokenizer.model.tokenize
         self.spelling: dict[str, str] = {}
         self.marks: dict[str, bytes] = {}
         self.known = Known({}, self.chunk)
@@ -239,7 +286,7 @@ class Chunks:
         spelled = word.lower()
         if not word.isascii():  # ASCII letters are spelled as they are
             spelled = "".join([self.spelling.get(c) or self._spell(c) for c in spelled])
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+        return array("I", [t.id for t in self.tokenize(spelled)]).tobytes()
 
     def _spell(self, char: str) -> str:
         self.spelling[char] = found = self.tokenizer.pre_tokenizer.pre_tokenize_str(char)[0][0]
@@ -268,10 +315,24 @@ class Chunks:
 
     def encode_all(self, texts) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string(), from_pandas=True)
+        return [x for part in _grouped(pc.fill_null(texts, "")) for x in self._encode(part)]
+
+    def _encode(self, texts: pa.Array) -> list[bytes]:
         if len(self.known) > KNOWN_CHUNKS:
             self.known = Known(dict(self.known), self.chunk)
-        find = self.known.__getitem__
-        return [b"".join(map(find, _split(t))) if t else b"" for t in texts]
+        chunks, begins = _chunked(texts.cast(pa.string()))
+        coded = chunks.dictionary_encode()
+        chunk = coded.indices.to_numpy()
+        ids = [self.known[x] if x else b"" for x in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, begin = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(sizes) - sizes
+        n = sizes[chunk]
+        stop = np.r_[0, np.cumsum(n)]
+        found = flat[np.repeat(begin[chunk] - stop[:-1], n) + np.arange(stop[-1])].tobytes()
+        cuts = (4 * stop[begins]).tolist()
+        return [found[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def tokenizer_text(path: str | None = None) -> str:
@@ -287,13 +348,13 @@ def encoder(spark: SparkSession, model: str):
     shared = spark.sparkContext.broadcast(model)
     end = np.uint32(END_ID).tobytes()
 
-    @F.pandas_udf("binary")
-    def encode(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("binary")
+    def encode(texts: pa.Array) -> pa.Array:
         key = hash(shared.value)
         if key not in _loaded:
             _loaded.clear()
             _loaded[key] = Chunks(shared.value)
-        return pd.Series([x + end for x in _loaded[key].encode_all(texts)], dtype=object)
+        return pa.array([x + end for x in _loaded[key].encode_all(texts)], pa.binary())
 
     return encode
 
