@@ -6,6 +6,7 @@ from compare import check, connect
 from conftest import SF
 from odd import documents, empty
 
+from topicloom import session
 from topicloom.llm import jaccard_join as jj
 from topicloom.llm.registry import ORACLES, QUERIES
 
@@ -233,3 +234,55 @@ def test_describing_takes_no_step_for_each_word(monkeypatch):
     batch = jj.pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a b c d e f g", None]})
     rows = next(jj._describe([batch]))
     assert rows["n"].to_pylist() == [3, 0] and not met
+
+
+def test_long_lists_stand_last_however_full_the_buckets_are(spark):
+    """At some GB a list of 257 was taken for chance; all its nodes then met each other in blocks."""
+    counts = np.full(1 << jj.SKETCH_BITS, 3000, np.int32)
+    counts[7] += jj.SHORT_LIST + 1
+    parts = [(k, jj.zlib.compress(x.tobytes(), 1)) for k, x in enumerate(np.split(counts, jj.SKETCH_BLOCKS))]
+    levels = jj.rarity(spark.createDataFrame(parts, "block int, counts binary"))
+    assert levels[7] > 0 and levels.sum() == levels[7]
+
+
+def test_shuffle_files_go_with_the_step_that_made_them(spark, monkeypatch):
+    """They stayed until the driver collected garbage, so all steps' files could lie on disk at once."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        names = (str(b).rpartition("/")[2] for b in _items(disk.getAllFiles()))
+        return {n.split("_")[1] for n in names if n.startswith("shuffle_")}
+
+    before, left, write = shuffles(), [], jj.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        left.append((label, len(shuffles() - before)))
+        return out
+
+    monkeypatch.setattr(jj, "materialize", counted)
+    rows = corpus(1)
+    assert got(documents(spark, rows)) == brute(rows)
+    # Files of a small count that has just ended may still be on their way out.
+    assert left and max(n for _, n in left) <= 3
+    assert spark.conf.get(session.CLEANUP) == "false"
+
+
+def _items(seq):
+    each = seq.iterator()
+    while each.hasNext():
+        yield each.next()
+
+
+def test_only_rows_that_may_match_are_shuffled(spark, monkeypatch):
+    """All texts were shuffled as soon as the ids looked for were too many for a broadcast."""
+    monkeypatch.setattr(session, "fits_broadcast", lambda df, **limits: False)
+    df = spark.range(20_000).selectExpr("CASE WHEN id % 50 = 0 THEN NULL ELSE id DIV 2 END AS k", "id AS v")
+    keys = spark.range(0, 10_000, 10).withColumnRenamed("id", "k")
+    rows = [(r.k, r.v) for r in df.collect()]
+    want = {x for x in rows if x[0] is not None and x[0] % 10 == 0}
+    among = session.rows_among(df, keys, "k")
+    assert among.columns == df.columns
+    assert {tuple(r) for r in among.collect()} == want and among.count() == len(want)
+    near = session._marked(df, keys, "k", "left").filter("__mark")
+    assert len(want) <= near.count() < len(want) + 100

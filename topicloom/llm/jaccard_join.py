@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from topicloom.llm.common import let_go, mixed, odd_keys, shingle_set, table
 from topicloom.llm.registry import query
-from topicloom.session import fits_broadcast, materialize, maybe_broadcast
+from topicloom.session import fits_broadcast, materialize, maybe_broadcast, released_shuffles, rows_among
 
 WIDTH = 5
 PERCENT = 80
@@ -233,7 +233,9 @@ def _add_up(batches):
 def rarity(described: DataFrame) -> np.ndarray:
     """Level per bucket: 0 for short lists, then one more for each doubling of the list.
 
-    The driver receives the bucket counts, whose size is fixed by SKETCH_BITS.
+    A list of SHORT_LIST nodes must be told from a short one however full the buckets are: a long list that
+    stands in front of others makes all its nodes ``leading``. A short list that is taken for a longer one by
+    chance only stands further behind. The driver receives the bucket counts, whose size is fixed by SKETCH_BITS.
     """
     rows = (described.filter("block IS NOT NULL").select("block", "counts")
             .repartition(SKETCH_BLOCKS, "block")
@@ -243,7 +245,7 @@ def rarity(described: DataFrame) -> np.ndarray:
     counts = np.concatenate([np.frombuffer(r["counts"], np.int64)
                              for r in sorted(rows, key=lambda r: r["block"])])
     usual = counts.mean()
-    over = np.maximum(1, (counts - usual - 6 * np.sqrt(usual)) / 64)
+    over = np.maximum(1, (counts - usual - np.sqrt(usual)) / (SHORT_LIST / 4))
     return np.ceil(np.log2(over)).astype(np.uint8)
 
 
@@ -560,14 +562,13 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, owners: DataFrame) -> DataFr
 
     wanted = _few_files(owners.join(nodes, "node", "left_semi"), "jaccard-wanted")
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
-    wanted = maybe_broadcast(wanted)
-    texts = named.join(wanted.filter("doc_id IS NOT NULL").select("doc_id"), "doc_id", "left_semi").select("text")
+    texts = rows_among(named, wanted.filter("doc_id IS NOT NULL").select("doc_id"), "doc_id").select("text")
     schema = "node long, n long, shingles binary"
     built = texts.mapInArrow(build, schema)
     if wanted.filter("doc_id IS NULL").limit(1).count():
         built = built.union(named.filter("doc_id IS NULL").select("text").mapInArrow(build, schema))
     # Repeated ids may bring other texts along, and copies without id the same text again.
-    return built.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return built.join(maybe_broadcast(wanted.select("node")), "node", "left_semi").dropDuplicates(["node"])
 
 
 def _grouped(lists: DataFrame, label: DataFrame | None) -> DataFrame:
@@ -622,6 +623,11 @@ def _links(docs: DataFrame, described: DataFrame) -> DataFrame | None:
 def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n, node, node2) of ``docs``, and of each class of equal sets (node, node2) the smallest id
     (class_id), the group it is linked to and that group's smallest id (component_id)."""
+    with released_shuffles(docs.sparkSession):
+        return _linked_classes(docs)
+
+
+def _linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     described = describe(docs)
     label = _links(docs, described)
     rows = described.filter("node IS NOT NULL").select("doc_id", "n", "node", "node2")

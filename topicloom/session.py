@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,9 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 MEASURE_FACTOR = 16
 UNKNOWN_SIZE = 2**63 - 1  # what Spark plans with where it knows nothing
+MARK_BITS = 24  # of the keys of a table that is too large for a broadcast
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(app: str = "topicloom", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -97,6 +101,19 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def released_shuffles(spark: SparkSession):
+    """Shuffle files of each query that runs in here go when it ends, not when the driver happens to collect
+    garbage. For steps that are written and read again: a table that was computed in here is computed anew if
+    it is asked once more."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)
@@ -167,3 +184,26 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS,
 def maybe_broadcast(df: DataFrame, **limits: int) -> DataFrame:
     """Hint a broadcast when the table is proven small; otherwise leave a shuffle join to AQE."""
     return F.broadcast(df) if fits_broadcast(df, **limits) else df
+
+
+def _marked(df: DataFrame, keys: DataFrame, column: str, how: str) -> DataFrame:
+    """``df`` with ``__mark``: false only in rows whose value is none of ``keys``.
+
+    One of 2 ** MARK_BITS bits per key is broadcast, however many keys there are.
+    """
+    kind = keys.schema[column].dataType
+    hashed = F.xxhash64(F.col(column).cast(kind))
+    word = F.shiftrightunsigned(hashed, 64 - (MARK_BITS - 6))
+    place = hashed.bitwiseAND(F.lit(63)).cast("int")
+    bits = (keys.select(word.alias("__word"), place.alias("__place")).groupBy("__word")
+            .agg(F.expr("bit_or(shiftleft(1L, __place))").alias("__bits")))
+    return (df.withColumns({"__word": word, "__place": place}).join(F.broadcast(bits), "__word", how)
+            .withColumn("__mark", F.coalesce(F.expr("getbit(__bits, __place) = 1"), F.lit(False)))
+            .drop("__word", "__place", "__bits"))
+
+
+def rows_among(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows whose ``column`` is one of ``keys``. Only rows that may be are shuffled."""
+    if fits_broadcast(keys):
+        return df.join(F.broadcast(keys), column, "left_semi")
+    return _marked(df, keys, column, "inner").filter("__mark").drop("__mark").join(keys, column, "left_semi")
