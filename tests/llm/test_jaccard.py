@@ -274,6 +274,15 @@ def _items(seq):
         yield each.next()
 
 
+def test_one_of_each_group_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(session, "fits_broadcast", lambda df, **limits: False)
+    monkeypatch.setattr(jj, "fits_broadcast", lambda df: False)
+    test_odd_rows_and_one_of_each_group(spark)
+    test_rows_that_share_an_id_are_kept_by_text(spark)
+    rows = corpus(3, groups=6)
+    assert got(documents(spark, rows)) == brute(rows)
+
+
 def test_only_rows_that_may_match_are_shuffled(spark, monkeypatch):
     """All texts were shuffled as soon as the ids looked for were too many for a broadcast."""
     monkeypatch.setattr(session, "fits_broadcast", lambda df, **limits: False)
@@ -281,8 +290,9 @@ def test_only_rows_that_may_match_are_shuffled(spark, monkeypatch):
     keys = spark.range(0, 10_000, 10).withColumnRenamed("id", "k")
     rows = [(r.k, r.v) for r in df.collect()]
     want = {x for x in rows if x[0] is not None and x[0] % 10 == 0}
-    among = session.rows_among(df, keys, "k")
-    assert among.columns == df.columns
+    among, rest = session.rows_among(df, keys, "k"), session.rows_not_among(df, keys, "k")
+    assert among.columns == rest.columns == df.columns
     assert {tuple(r) for r in among.collect()} == want and among.count() == len(want)
+    assert {tuple(r) for r in rest.collect()} == set(rows) - want and rest.count() == len(rows) - len(want)
     near = session._marked(df, keys, "k", "left").filter("__mark")
     assert len(want) <= near.count() < len(want) + 100

@@ -43,7 +43,8 @@ from pyspark.sql import functions as F
 
 from topicloom.llm.common import let_go, mixed, odd_keys, shingle_set, table
 from topicloom.llm.registry import query
-from topicloom.session import fits_broadcast, materialize, maybe_broadcast, released_shuffles, rows_among
+from topicloom.session import (fits_broadcast, materialize, maybe_broadcast, released_shuffles, rows_among,
+                               rows_not_among)
 
 WIDTH = 5
 PERCENT = 80
@@ -670,14 +671,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     rows, named = linked_classes(docs)
     rows = rows.filter("n > 0")
-    repeated = materialize(rows.filter("doc_id IS NOT NULL").groupBy("doc_id").count()
-                           .filter("count > 1").select("doc_id"), "jaccard-repeated")
-    gone = materialize(rows.join(named, ["node", "node2"]).filter("doc_id <> component_id").select("doc_id")
-                       .join(maybe_broadcast(repeated), "doc_id", "left_anti"), "jaccard-gone")
+    with released_shuffles(docs.sparkSession):
+        repeated = materialize(rows.filter("doc_id IS NOT NULL").groupBy("doc_id").count()
+                               .filter("count > 1").select("doc_id"), "jaccard-repeated")
+        gone = materialize(rows.join(named, ["node", "node2"]).filter("doc_id <> component_id").select("doc_id")
+                           .join(maybe_broadcast(repeated), "doc_id", "left_anti"), "jaccard-gone")
     with_id = docs.filter("doc_id IS NOT NULL")
-    once = (with_id.join(maybe_broadcast(gone), "doc_id", "left_anti")
-            .join(maybe_broadcast(repeated), "doc_id", "left_anti"))
-    odd = with_id.join(maybe_broadcast(repeated), "doc_id", "left_semi").unionByName(docs.filter("doc_id IS NULL"))
+    once = rows_not_among(with_id, gone.union(repeated), "doc_id")
+    odd = rows_among(with_id, repeated, "doc_id").unionByName(docs.filter("doc_id IS NULL"))
     if not odd.limit(1).count():
         return once
     # An id alone does not tell these rows apart, so they are looked up by their sets.

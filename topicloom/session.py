@@ -207,3 +207,12 @@ def rows_among(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     if fits_broadcast(keys):
         return df.join(F.broadcast(keys), column, "left_semi")
     return _marked(df, keys, column, "inner").filter("__mark").drop("__mark").join(keys, column, "left_semi")
+
+
+def rows_not_among(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows whose ``column`` is none of ``keys``. Only rows that may be are shuffled."""
+    if fits_broadcast(keys):
+        return df.join(F.broadcast(keys), column, "left_anti")
+    marked = _marked(df, keys, column, "left")
+    near = marked.filter("__mark").drop("__mark").join(keys, column, "left_anti")
+    return marked.filter("NOT __mark").drop("__mark").unionByName(near)
